@@ -1,6 +1,6 @@
 """Toxicity by subword-bag embeddings under a linear softmax.
 
-A word is the average of the vectors of its byte n-grams (4 to 6 long inside, 3 to 8 long at its ends, hashed into
+A word is a bag of subwords, the average of the vectors of its byte n-grams (4 to 6 long inside, 3 to 8 long at its ends, hashed into
 BUCKETS) and of itself; a segment of
 SEGMENT_WORDS words is the average of its words, and a linear softmax scores it. A text's logit is that of its most toxic
 segment, so that a few words in a long text are not averaged away. Vectors and softmax are trained jointly in numpy: the
@@ -28,7 +28,7 @@ BUCKETS = 1 << 18
 DIM = 8
 NGRAMS = (4, 5, 6)
 EDGES = (3, 4, 5, 6, 7, 8)
-SEGMENT_WORDS = 4
+SEGMENT_WORDS = 1
 TRAIN_DOCS = 3000
 TRAIN_BYTES = 6000
 THRESHOLD = 0.7

@@ -126,12 +126,14 @@ class FingerprintIndex:
     def __init__(self, spark: SparkSession, path: str, n_buckets: int):
         self.spark, self.path, self.n_buckets = spark, path, n_buckets
         self.runs: list[str] = []
+        self.written = 0
 
     def append(self, docs: DataFrame, size: int = SIZE) -> None:
         """Writes the anchors of a batch (dealt by chunked()) as a new run; compacts when there are too many."""
-        at = f"{self.path}/run-{len(self.runs):05d}"
+        at = f"{self.path}/run-{self.written:05d}"
         entries(docs, self.n_buckets, size).write.parquet(at)
         self.runs.append(at)
+        self.written += 1
         if len(self.runs) > FANOUT:
             self.compact()
 
@@ -162,7 +164,7 @@ class FingerprintIndex:
             key, low, high, _ = _smallest(_joined(t["hashes"], np.uint64), _joined(t["lows"], np.int64), _joined(t["highs"], np.int64))
             return table(RUN, [t["bucket"][0].as_py()], [-1], [key.tobytes()], [low.tobytes()], [high.tobytes()])
 
-        at = f"{self.path}/compacted-{len(self.runs):05d}"
+        at = f"{self.path}/compacted-{self.written:05d}"
         self.rows().groupBy("bucket").applyInArrow(merge, RUN).write.parquet(at)
         self.runs = [at]
 
