@@ -18,7 +18,7 @@ CHUNK_BYTES = 12 << 20
 #: Fewest chunks, so that small inputs are dealt evenly too.
 LEAST_CHUNKS = 48
 #: Bytes of text that the numpy passes take at once (one longer document is taken whole).
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 

@@ -34,6 +34,8 @@ from .common import _BYTE_VALUES, answer, buckets_for, chunked, documents, empty
 
 SIZE = 400
 GRAM = 160
+#: Bytes of neighbourhoods that are hashed at once in a merge.
+SLICE_BYTES = 1 << 19
 
 GRAMS = "bucket int,chunk int,hashes binary,many binary"
 SHARED = "chunk int,hashes binary"
@@ -235,22 +237,32 @@ def runs(docs: DataFrame, shared: DataFrame, n_buckets: int, size: int = SIZE, g
 
 def _repeated(group: list[tuple], size: int):
     """For the members (left, suffix, many, ...) of groups (their numbers first): which strings of `size` bytes are found twice in their group, as (member, first, last) in strings from the neighbourhood's begin."""
-    texts = [m[1] + m[2] for m in group]
-    length = np.array([len(x) for x in texts])
-    begin = np.cumsum(length) - length
-    prefix = prefix_hash(_BYTE_VALUES[np.frombuffer(b"".join(texts), np.uint8)])
-    count = length - size + 1
-    member = np.repeat(np.arange(len(group)), count)
-    index = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    start = begin[member] + index
-    left = np.array([len(m[1]) for m in group])
-    place = np.array([m[0] for m in group], np.uint64)[member] << np.uint64(20) | (left[member] - index + size).astype(np.uint64)
-    key = mix(range_hash(prefix, start, start + size) ^ mix(place))
-    many = np.array([m[3] for m in group])[member]
+    keys, counts, i = [], [], 0
+    while i < len(group):  # a slice of the members at a time: of a large group only keys are held together
+        j, held = i, 0
+        while j < len(group) and (j == i or held < SLICE_BYTES):
+            held += len(group[j][1]) + len(group[j][2])
+            j += 1
+        texts = [m[1] + m[2] for m in group[i:j]]
+        length = np.array([len(x) for x in texts])
+        begin = np.cumsum(length) - length
+        prefix = prefix_hash(_BYTE_VALUES[np.frombuffer(b"".join(texts), np.uint8)])
+        count = length - size + 1
+        inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        start = np.repeat(begin, count) + inside
+        left = np.repeat(np.array([len(m[1]) for m in group[i:j]]), count)
+        place = np.repeat(np.array([m[0] for m in group[i:j]], np.uint64) << np.uint64(20), count) | (left - inside + size).astype(np.uint64)
+        keys.append(mix(range_hash(prefix, start, start + size) ^ mix(place)))
+        counts.append(count)
+        i = j
+    key, count = np.concatenate(keys), np.concatenate(counts)
+    member = np.repeat(np.arange(len(group), dtype=np.int32), count)
+    index = (np.arange(len(key)) - np.repeat(np.cumsum(count) - count, count)).astype(np.int32)
+    many = np.array([m[3] for m in group], np.int8)[member]
     order = np.argsort(key, kind="stable")
     k = key[order]
     edge = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-    total = np.add.reduceat(1 + many[order], edge)
+    total = np.add.reduceat(1 + many[order], edge, dtype=np.int64)
     dup = np.zeros(len(key), bool)
     dup[order] = np.repeat(total > 1, np.diff(np.append(edge, len(k))))
     rise = np.flatnonzero(dup & np.append(True, ~dup[:-1] | (member[1:] != member[:-1])))
@@ -285,7 +297,7 @@ def merged(run_rows: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame
             if same < gram:
                 close()
                 number += 1
-                if held > 2 << 20:
+                if held > SLICE_BYTES:
                     flush(batch)
                     batch, held = [], 0
                 seen: dict[int, int] = {}
@@ -351,7 +363,7 @@ def dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM, with_text: bool =
     if not 8 <= gram < size:
         raise ValueError("a gram is shorter than a string")
     total = text_bytes(docs)
-    n_buckets = buckets_for(docs.sparkSession, total)
+    n_buckets = buckets_for(docs.sparkSession, total, 6 << 20)
     dealt = chunked(docs, total=total)
     shared = twice(grams(dealt, n_buckets, size, gram))
     return rebuilt(dealt, merged(runs(dealt, shared, n_buckets, size, gram), size, gram), size, gram, with_text)
