@@ -169,9 +169,37 @@ def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, total: int | None =
     return docs.select(chunk.alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartition(n, "chunk")
 
 
+def tidy() -> None:
+    """Gives freed memory back to the system; an idle worker would hold it otherwise."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def answer(docs: DataFrame, other: DataFrame, func, schema: str) -> DataFrame:
     """func(documents of a chunk, rows of `other` for it) for every chunk that has documents."""
-    return docs.groupBy("chunk").cogroup(other.groupBy("chunk")).applyInArrow(lambda a, b: func(a, b) if a.num_rows else empty(schema), schema)
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = func(a, b) if a.num_rows else empty(schema)
+        tidy()
+        return out
+
+    return docs.groupBy("chunk").cogroup(other.groupBy("chunk")).applyInArrow(run, schema)
+
+
+def by_group(rows: DataFrame, key: str, func, schema: str) -> DataFrame:
+    """func(rows of a group) for every value of key."""
+
+    def run(t: pa.Table) -> pa.Table:
+        out = func(t)
+        tidy()
+        return out
+
+    return rows.groupBy(key).applyInArrow(run, schema)
 
 
 _TYPES = {"int": pa.int32(), "bigint": pa.int64(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}

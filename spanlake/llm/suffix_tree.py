@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, _BYTE_VALUES, answer, buckets_for, chunked, documents, mix, prefix_hash, range_hash, shared_path, split_sorted, table, text_bytes, text_steps
+from .common import LOWER, SPACE, _BYTE_VALUES, answer, buckets_for, by_group, chunked, documents, mix, prefix_hash, range_hash, shared_path, split_sorted, table, text_bytes, text_steps
 from .windows import release
 
 DEPTH = 5
@@ -133,7 +133,7 @@ def gather(docs: DataFrame, n_buckets: int) -> DataFrame:
                 rows.append((-1 - i, key[at].tobytes(), count[at].astype("<u4").tobytes()))
         return table(FOUND, [r[0] for r in rows], [chunk] * len(rows), [r[1] for r in rows], [r[2] for r in rows])
 
-    return docs.groupBy("chunk").applyInArrow(run, FOUND)
+    return by_group(docs, "chunk", run, FOUND)
 
 
 def _nodes(key: np.ndarray, count: np.ndarray, least: float) -> list[tuple[int, np.ndarray, np.ndarray]]:
@@ -181,7 +181,7 @@ def added(found: DataFrame, least: float) -> DataFrame:
         totals = np.array([all_counts.sum(), known.sum(), (all_counts == 1).sum()], np.int64).tobytes()
         return table(ADDED, [0] * n + [1], [bucket] * (n + 1), [*t["chunk"].to_pylist(), -1], [*back, totals], [b""] * (n + 1), [b""] * (n + 1))
 
-    return found.groupBy("bucket").applyInArrow(run, ADDED)
+    return by_group(found, "bucket", run, ADDED)
 
 
 class Tree:

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import _BYTE_VALUES, answer, buckets_for, chunked, documents, empty, leftmost_minima, mix, prefix_hash, range_hash, split_sorted, table, text_bytes, text_steps
+from .common import _BYTE_VALUES, answer, buckets_for, by_group, chunked, documents, empty, leftmost_minima, mix, prefix_hash, range_hash, split_sorted, table, text_bytes, text_steps
 
 SIZE = 400
 GRAM = 160
@@ -172,7 +172,7 @@ def grams(docs: DataFrame, n_buckets: int, size: int = SIZE, gram: int = GRAM) -
         many = count > 1
         return table(GRAMS, some, [t["chunk"][0].as_py()] * len(some), [key[edges[i] : edges[i + 1]].tobytes() for i in some], [np.packbits(many[edges[i] : edges[i + 1]]).tobytes() for i in some])
 
-    return docs.groupBy("chunk").applyInArrow(run, GRAMS)
+    return by_group(docs, "chunk", run, GRAMS)
 
 
 def twice(found: DataFrame) -> DataFrame:
@@ -193,7 +193,7 @@ def twice(found: DataFrame) -> DataFrame:
         some = [i for i in range(len(per)) if cut[i] < cut[i + 1]]
         return table(SHARED, [t["chunk"][i].as_py() for i in some], [key[cut[i] : cut[i + 1]].tobytes() for i in some])
 
-    return found.groupBy("bucket").applyInArrow(run, SHARED)
+    return by_group(found, "bucket", run, SHARED)
 
 
 def _all(column, kind) -> np.ndarray:
@@ -318,7 +318,7 @@ def merged(run_rows: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame
             out[2].append(np.array([r[1:] for r in rows], np.uint16).tobytes())
         return table(HITS, *out)
 
-    return run_rows.groupBy("bucket").applyInArrow(run, HITS)
+    return by_group(run_rows, "bucket", run, HITS)
 
 
 def rebuilt(docs: DataFrame, hits: DataFrame, size: int = SIZE, gram: int = GRAM, with_text: bool = False) -> DataFrame:

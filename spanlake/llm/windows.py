@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, _BYTE_VALUES, answer, buckets_for, chunked, covered, documents, empty, leftmost_minima, prefix_hash, range_hash, shared_path, split_sorted, table, text_bytes, text_steps, window_counts
+from .common import SPACE, _BYTE_VALUES, answer, buckets_for, by_group, chunked, covered, documents, empty, leftmost_minima, prefix_hash, range_hash, shared_path, split_sorted, table, text_bytes, text_steps, window_counts
 
 SIZE = 50
 FANOUT = 8
@@ -117,7 +117,7 @@ def entries(docs: DataFrame, n_buckets: int, size: int = SIZE) -> DataFrame:
         key, low, high, _ = _smallest(np.concatenate(keys), np.concatenate(ids), np.concatenate(ids))
         return _blobs(RUN, t["chunk"][0].as_py(), n_buckets, key, low, high)
 
-    return docs.groupBy("chunk").applyInArrow(run, RUN)
+    return by_group(docs, "chunk", run, RUN)
 
 
 class FingerprintIndex:
@@ -155,7 +155,7 @@ class FingerprintIndex:
             edge = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, int)
             return table(SHARED, owner[edge], [x.tobytes() for x in np.split(key, edge[1:])] if len(edge) else [])
 
-        return self.rows().groupBy("bucket").applyInArrow(merge, SHARED)
+        return by_group(self.rows(), "bucket", merge, SHARED)
 
     def compact(self) -> None:
         """Merges all runs into one: an entry per distinct anchor, no longer by chunk (chunk -1)."""
@@ -165,7 +165,7 @@ class FingerprintIndex:
             return table(RUN, [t["bucket"][0].as_py()], [-1], [key.tobytes()], [low.tobytes()], [high.tobytes()])
 
         at = f"{self.path}/compacted-{self.written:05d}"
-        self.rows().groupBy("bucket").applyInArrow(merge, RUN).write.parquet(at)
+        by_group(self.rows(), "bucket", merge, RUN).write.parquet(at)
         self.runs = [at]
 
 
@@ -207,7 +207,7 @@ def verified(docs: DataFrame, shared: DataFrame, n_buckets: int, size: int = SIZ
         cut = (lambda x: [y.tobytes() for y in np.split(x, edge[1:])]) if len(edge) else (lambda x: [])
         return table(HITS, owner[edge], cut(key), cut(least))
 
-    return answer(docs, shared, windows, SEEN).groupBy("bucket").applyInArrow(smallest, HITS)
+    return answer(docs, shared, windows, by_group(SEEN), "bucket", smallest, HITS)
 
 
 def removals(docs: DataFrame, hits: DataFrame, size: int = SIZE, with_text: bool = False) -> DataFrame:
