@@ -207,7 +207,7 @@ def verified(docs: DataFrame, shared: DataFrame, n_buckets: int, size: int = SIZ
         cut = (lambda x: [y.tobytes() for y in np.split(x, edge[1:])]) if len(edge) else (lambda x: [])
         return table(HITS, owner[edge], cut(key), cut(least))
 
-    return answer(docs, shared, windows, by_group(SEEN), "bucket", smallest, HITS)
+    return by_group(answer(docs, shared, windows, SEEN), "bucket", smallest, HITS)
 
 
 def removals(docs: DataFrame, hits: DataFrame, size: int = SIZE, with_text: bool = False) -> DataFrame:
