@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, Texts, arrow_schema, covered, documents, mix, prefix_hash, range_hash, text_steps, window_counts, _BYTE_VALUES
 
-TRAIN_DOCS = 3000
+TRAIN_DOCS = 1200
 TRAIN_LINES = 64
 CONTENT_SHARE = 0.5
 FEATURES = ("bias", "empty", "few words", "many words", "symbols", "symbol words", "repeated words", "repeated line", "sentence end", "digits", "capitals", "long words")
@@ -112,7 +112,7 @@ def _padded(xs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, n
 
 
-def train(xs: list[np.ndarray], ys: list[int], rounds: int = 160, rate: float = 0.08, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def train(xs: list[np.ndarray], ys: list[int], rounds: int = 60, rate: float = 0.15, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Weights of content over boilerplate, and the 2 x 2 transition scores, at the (regularised) likelihood's maximum."""
     w, tr = PRIOR.copy(), np.array([[PRIOR_STAY, 0.0], [0.0, PRIOR_STAY]])
     keep = [i for i, x in enumerate(xs) if len(x)]
