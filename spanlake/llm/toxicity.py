@@ -22,15 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, _BYTE_VALUES, documents, mix, prefix_hash, range_hash, text_steps
+from .common import LOWER, SPACE, _BYTE_VALUES, documents, mix, prefix_hash, range_hash, text_steps, tidy
 
 BUCKETS = 1 << 18
 DIM = 8
 NGRAMS = (4, 5, 6)
 EDGES = (3, 4, 5, 6, 7, 8)
 SEGMENT_WORDS = 1
-TRAIN_DOCS = 3000
-TRAIN_BYTES = 6000
+TRAIN_DOCS = 2000
+TRAIN_BYTES = 5000
 THRESHOLD = 0.7
 
 
@@ -104,7 +104,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 12, rate: float = 0
     for i, t in text_steps(pa.array(texts)):
         a, b, wd = subwords(t)
         ids.append(a)
-        owner.append(b + at)
+        owner.append((b + at).astype(np.int32))
         wds.append(wd + i)
         at += len(wd)
     ids, owner, wd = np.concatenate(ids), np.concatenate(owner), np.concatenate(wds)
@@ -112,7 +112,8 @@ def train(texts: list[str], labels: list[int], rounds: int = 12, rate: float = 0
     seg, sd = segments(wd, n)
     # documents that have a bucket, by class: the vectors' start
     pairs = np.unique(ids.astype(np.int64) * n + wd[owner])
-    bucket, doc = pairs // n, pairs % n
+    bucket, doc = (pairs // n).astype(np.int32), (pairs % n).astype(np.int32)
+    del pairs
     pos, neg = (np.bincount(bucket[y[doc] == c], minlength=BUCKETS) / (y == c).sum() for c in (1, 0))
     soft = smooth / min((y == 1).sum(), (y == 0).sum())
     odds = np.log((pos + soft) / (neg + soft))
@@ -127,7 +128,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 12, rate: float = 0
     fit = np.arange(n) % 5 > 0  # the rest calibrates
     class_share = np.where(y == 1, 0.5 / max(1, (y[fit] == 1).sum()), 0.5 / max(1, (y[fit] == 0).sum())) * fit
     by_doc = np.lexsort((np.arange(len(sd)), sd))
-    order_owner = np.argsort(owner, kind="stable")
+    order_owner = np.argsort(owner, kind="stable").astype(np.int32)
     first_sub = np.searchsorted(owner[order_owner], np.arange(n_words + 1))
     scale, shift = 4.0, -4.0
 
@@ -191,7 +192,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, most_bytes:
         part = usable.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2)
         picked = part if picked is None else picked.unionByName(part)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.octet_length("text") <= most_bytes).join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "text").limit(most).collect()
-    return train([r.text for r in rows], [r.toxic for r in rows])
+    model = train([r.text for r in rows], [r.toxic for r in rows])
+    del rows
+    tidy()
+    return model
 
 
 SCORED = "doc_id long, held_out boolean, score double"
