@@ -65,7 +65,7 @@ class Anchors:
         edge = np.flatnonzero(np.append(True, (best[1:] != best[:-1]) | (start[1:] != start[:-1] + 1)))
         self.at, self.low = best[edge], start[edge]
         self.high = start[np.append(edge[1:], len(start)) - 1]
-        self.gram = g[self.at]
+        self.gram = mix(g[self.at])  # smallest hashes are all small: mixed again, they fall evenly into buckets
         # the whole neighbourhood, with the anchor's place in it
         self.classes = mix(range_hash(self.prefix, self.low, self.high + size) ^ mix((self.at - self.low).astype(np.uint64)))
 
