@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, _BYTE_VALUES, answer, buckets_for, by_group, chunked, covered, documents, empty, leftmost_minima, prefix_hash, range_hash, shared_path, split_sorted, table, text_bytes, text_steps, window_counts
+from .common import SPACE, _BYTE_VALUES, answer, buckets_for, by_group, chunked, covered, documents, empty, leftmost_minima, mix, prefix_hash, range_hash, shared_path, split_sorted, table, text_bytes, text_steps, window_counts
 
 SIZE = 50
 FANOUT = 8
@@ -65,7 +65,7 @@ class Words:
             return np.zeros(0, np.uint64)
         at = np.arange(len(self.doc) - gram + 1)
         g = range_hash(self.prefix, at, at + gram)
-        return g[leftmost_minima(g, self.size - gram + 1)[self.start]]
+        return mix(g[leftmost_minima(g, self.size - gram + 1)[self.start]])  # smallest hashes are all small: mixed again, they fall evenly into buckets
 
     def window_hashes(self, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return range_hash(self.prefix, start, start + self.size), (range_hash(self.second, start, start + self.size) >> np.uint64(32)).astype(np.uint32)

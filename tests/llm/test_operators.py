@@ -211,6 +211,16 @@ def test_suffix_dedup(docs, rows, nothing):
     assert suffixes.dedup(nothing).count() == 0
 
 
+def test_anchors_fall_evenly():
+    from spanlake.llm.common import Texts
+
+    r = np.random.default_rng(3)
+    text = Texts(np.frombuffer(r.choice(np.frombuffer(b"abcdefgh ", np.uint8), 200_000).tobytes(), np.uint8), np.array([0, 200_000]))
+    for key in (suffixes.Anchors(text, 400, 160).gram, np.unique(windows.Words(text, 50).anchors())):
+        share = np.bincount((key >> np.uint64(61)).astype(int), minlength=8) / len(key)
+        assert len(key) > 500 and share.min() > 0.07 and share.max() < 0.2
+
+
 def test_loser_tree():
     words = [("".join(R.choice("ab") for _ in range(R.randint(0, 9)))).encode() for _ in range(200)]
     for _ in range(30):
