@@ -121,3 +121,48 @@ def holm(tests: DataFrame) -> DataFrame:
     w = W.orderBy("p", "name")
     t = tests.withColumn("i", F.row_number().over(w)).withColumn("m", F.count("*").over(W.partitionBy()))
     return t.withColumn("adjusted", F.max(F.least(F.lit(1.0), (F.col("m") - F.col("i") + 1) * F.col("p"))).over(w.rowsBetween(W.unboundedPreceding, 0))).select("name", "p", "adjusted")
+
+
+def agreement(gold: DataFrame, systems: dict[str, DataFrame]) -> DataFrame:
+    """(system, agreed, tp): of each system's predictions that all other systems make too, how many are right. Strict."""
+    key = ["doc_id", *KEY]
+    right = gold.select(*key).distinct().withColumn("right", F.lit(1))
+    out = None
+    for name, pred in systems.items():
+        p = pred.select(*key)
+        for other, theirs in systems.items():
+            if other != name:
+                p = p.join(theirs.select(*key).distinct(), key, "left_semi")
+        one = p.join(right, key, "left").agg(F.lit(name).alias("system"), F.count("*").alias("agreed"), F.count("right").alias("tp"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+#: Where a uniform 32-bit hash passes from one Poisson(1) weight to the next.
+POISSON_EDGES = tuple(int(2**32 * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))) for k in range(10))
+
+
+def paired_bootstrap(a: DataFrame, b: DataFrame, metric: str = "recall", n_resamples: int = 1000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+    """One row: a metric of two systems, its difference, the interval (an order statistic, not interpolated) and the p value.
+
+    a, b: doc_counts(). A resample weighs each document by Poisson(1), drawn from an MD5 of resample and id, instead of
+    drawing n positions: no numbering of documents, and counts are summed before they are shuffled."""
+    if metric not in ("recall", "precision", "f1"):
+        raise ValueError(f"unknown metric {metric}")
+    side = lambda d, x: d.groupBy("doc_id").agg(*[F.sum(c).alias(c + x) for c in ("tp", "fp", "fn")])
+    both = side(a, "_a").join(side(b, "_b"), "doc_id", "full").fillna(0)
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "r", "doc_id")), 1, 8), 16, 10).cast("long")
+    weight = sum((h >= e).cast("long") for e in POISSON_EDGES)
+    names = [c + x for x in ("_a", "_b") for c in ("tp", "fp", "fn")]
+
+    def value(x: str) -> Column:
+        tp, fp, fn = (F.col(c + x) for c in ("tp", "fp", "fn"))
+        return ratio(tp, tp + fn) if metric == "recall" else ratio(tp, tp + fp) if metric == "precision" else ratio(2 * tp, 2 * tp + fp + fn)
+
+    draws = both.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1)))).withColumn("w", weight).where("w > 0")
+    delta = draws.groupBy("r").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in names]).select((value("_a") - value("_b")).alias("d"))
+    spread = delta.agg(F.array_sort(F.collect_list("d")).alias("d"), F.sum((F.col("d") <= 0).cast("long")).alias("le"), F.sum((F.col("d") >= 0).cast("long")).alias("ge"), F.count("*").alias("k"))
+    at = lambda q: F.try_element_at("d", (F.floor(q * (F.col("k") - 1)) + 1).cast("int"))
+    spread = spread.select(at(F.lit(alpha / 2)).alias("lo"), at(F.lit(1 - alpha / 2)).alias("hi"), F.least(F.lit(1.0), 2 * F.least("le", "ge") / F.col("k")).alias("p"))
+    seen = both.agg(F.count("*").alias("n_docs"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).select("n_docs", value("_a").alias("value_a"), value("_b").alias("value_b"))
+    return seen.crossJoin(spread).select("n_docs", *[F.round(x, 6).alias(n) for n, x in (("value_a", F.col("value_a")), ("value_b", F.col("value_b")), ("delta", F.col("value_a") - F.col("value_b")), ("lo", F.col("lo")), ("hi", F.col("hi")), ("p", F.col("p")))])

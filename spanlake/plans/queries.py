@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import text as T
 from ..operators import metrics as M
-from ..operators import routing, spans, tokens
+from ..operators import routing, spans, splits, tokens
 from ..sources import records
 
 
@@ -242,6 +242,43 @@ def strip_placeholders(spark, sf):
     return documents(spark, sf).select("doc_id", F.length(text).alias("n_chars"), n.alias("n_removed"))
 
 
+_COUNTS = """, {0}n AS (SELECT doc_id, s, e, label, row_number() OVER (PARTITION BY doc_id, s, e, label) AS n FROM {0}),
+{0}c AS (SELECT coalesce(g.doc_id, p.doc_id) AS doc_id, CAST(count(*) FILTER (g.s IS NOT NULL AND p.s IS NOT NULL) AS BIGINT) AS tp, CAST(count(*) FILTER (p.s IS NULL) AS BIGINT) AS fn
+  FROM num g FULL JOIN {0}n p ON g.doc_id = p.doc_id AND g.s = p.s AND g.e = p.e AND g.label = p.label AND g.n = p.n GROUP BY 1)"""
+_WEIGHT = " + ".join(f"(h >= {e})::BIGINT" for e in M.POISSON_EDGES)
+_RESAMPLES = 200
+
+
+@query(SPAN_SQL + _COUNTS.format("tc") + _COUNTS.format("llm") + f""", b AS (SELECT doc_id, coalesce(x.tp, 0) AS ta, coalesce(x.fn, 0) AS fa, coalesce(y.tp, 0) AS tb, coalesce(y.fn, 0) AS fb FROM tcc x FULL JOIN llmc y USING (doc_id)),
+v AS (SELECT count(*) AS n_docs, sum(ta) / sum(ta + fa)::DOUBLE AS va, sum(tb) / sum(tb + fb)::DOUBLE AS vb FROM b),
+z AS (SELECT *, {_WEIGHT} AS w FROM (SELECT b.*, r, {_H("'0:' || r || ':' || doc_id")} AS h FROM b, range({_RESAMPLES}) t(r))),
+d AS (SELECT r, CASE WHEN sum(w * (ta + fa)) > 0 THEN sum(w * ta) / sum(w * (ta + fa))::DOUBLE ELSE 0 END - CASE WHEN sum(w * (tb + fb)) > 0 THEN sum(w * tb) / sum(w * (tb + fb))::DOUBLE ELSE 0 END AS d FROM z WHERE w > 0 GROUP BY r),
+q AS (SELECT list_sort(list(d)) AS ds, count(*) FILTER (d <= 0) AS le, count(*) FILTER (d >= 0) AS ge, count(*) AS k FROM d)
+SELECT n_docs, round(va, 6) AS value_a, round(vb, 6) AS value_b, round(va - vb, 6) AS delta, round(ds[CAST(floor(0.025::DOUBLE * (k - 1)) AS BIGINT) + 1], 6) AS lo, round(ds[CAST(floor(0.975::DOUBLE * (k - 1)) AS BIGINT) + 1], 6) AS hi, round(least(1.0::DOUBLE, 2 * least(le, ge) / k::DOUBLE), 6) AS p FROM v, q""")
+def bootstrap_recall(spark, sf):
+    g, tc, llm = all_spans(spark, sf)
+    return M.paired_bootstrap(M.doc_counts(M.match(g, tc)), M.doc_counts(M.match(g, llm)), "recall", _RESAMPLES)
+
+
+_AGREED = "(SELECT '{0}' AS system, count(*) AS agreed, count(*) FILTER (EXISTS (FROM gold g WHERE g.doc_id = p.doc_id AND g.s = p.s AND g.e = p.e AND g.label = p.label)) AS tp FROM {0} p WHERE EXISTS (FROM {1} o WHERE o.doc_id = p.doc_id AND o.s = p.s AND o.e = p.e AND o.label = p.label))"
+
+
+@query(SPAN_SQL + " " + _AGREED.format("tc", "llm") + " UNION ALL " + _AGREED.format("llm", "tc"))
+def agreement_precision(spark, sf):
+    g, tc, llm = all_spans(spark, sf)
+    return M.agreement(g, {"tc": tc, "llm": llm})
+
+
+@query("""WITH RECURSIVE s AS (SELECT coalesce(lang, '') AS stratum, count(*) AS n, row_number() OVER (ORDER BY coalesce(lang, '')) AS i FROM documents GROUP BY 1),
+f AS (SELECT CAST(0 AS BIGINT) AS i, '' AS stratum, CAST(0 AS BIGINT) AS t, CAST(0 AS BIGINT) AS d, 0::DOUBLE AS ct, 0::DOUBLE AS cd UNION ALL
+ SELECT i, stratum, t, d, wt - t, wd - d FROM (SELECT *, least(n - t, greatest(0, CAST(round_even(wd, 0) AS BIGINT))) AS d FROM (SELECT *, least(n, greatest(0, CAST(round_even(wt, 0) AS BIGINT))) AS t
+  FROM (SELECT s.i, s.stratum, s.n, 0.7::DOUBLE * s.n + f.ct AS wt, 0.1::DOUBLE * s.n + f.cd AS wd FROM f JOIN s ON s.i = f.i + 1)))),
+r AS (SELECT doc_id, coalesce(lang, '') AS stratum, row_number() OVER (PARTITION BY coalesce(lang, '') ORDER BY md5('0:' || doc_id), doc_id) AS r FROM documents)
+SELECT doc_id, stratum, CASE WHEN r <= t THEN 'train' WHEN r <= t + d THEN 'dev' ELSE 'test' END AS split FROM r JOIN (SELECT * FROM f WHERE i > 0) USING (stratum)""")
+def stratified_split(spark, sf):
+    return splits.stratified(spark.read.parquet(f"{sf}/documents.parquet"), "lang")
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Strict scores by label of the union of two detectors."""
     g, tc, llm = all_spans(spark, sf)
