@@ -18,8 +18,8 @@ def prepare(spans: DataFrame, level: str = "subtype", hipaa: bool = False) -> Da
     return s.withColumn("label", relabel(F.col("label"), level))
 
 
-def match(gold: DataFrame, pred: DataFrame, mode: str = "strict") -> DataFrame:
-    """(doc_id, gold_label, pred_label): one row per pair, per missed gold span (pred_label null) and per spurious one (gold_label null).
+def match(gold: DataFrame, pred: DataFrame, mode: str = "strict", extents: bool = False) -> DataFrame:
+    """(doc_id, gold_label, pred_label), with `extents` the gold span's start and end too: one row per pair, per missed gold span (pred_label null) and per spurious one (gold_label null).
 
     strict: equal extent and label, as an equi join of numbered repeats. relaxed (overlap and equal label) and typeless
     (overlap): gold spans in order take the best free prediction, as a fold over each document."""
@@ -27,7 +27,7 @@ def match(gold: DataFrame, pred: DataFrame, mode: str = "strict") -> DataFrame:
         n = F.row_number().over(W.partitionBy("doc_id", *KEY).orderBy("source"))
         g = gold.withColumn("n", n).select("doc_id", *KEY, "n", F.col("label").alias("gold_label"))
         p = pred.withColumn("n", n).select("doc_id", *KEY, "n", F.col("label").alias("pred_label"))
-        return g.join(p, ["doc_id", *KEY, "n"], "full").select("doc_id", "gold_label", "pred_label")
+        return g.join(p, ["doc_id", *KEY, "n"], "full").select("doc_id", "gold_label", "pred_label", *(KEY[:2] if extents else ()))
     if mode not in ("relaxed", "typeless"):
         raise ValueError(f"unknown mode {mode}")
     side = lambda d, name: d.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*KEY))).alias(name))
@@ -37,9 +37,10 @@ def match(gold: DataFrame, pred: DataFrame, mode: str = "strict") -> DataFrame:
         filter(sequence(0, size(p) - 1), j -> size(p) > 0 AND NOT array_contains(used, j) AND p[j].start < x.end AND x.start < p[j].end {label}),
         j -> struct(IF(p[j].start = x.start AND p[j].end = x.end, 1, 0) AS e, least(p[j].end, x.end) - greatest(p[j].start, x.start) AS o, -j AS j))).j, -1))))"""
     d = d.withColumn("used", F.expr(taken))
-    hit = d.select("doc_id", F.posexplode("g").alias("i", "x"), "used", "p").select("doc_id", F.col("x.label").alias("gold_label"), F.expr("IF(used[i] >= 0, p[greatest(used[i], 0)].label, NULL)").alias("pred_label"))
+    where = [F.col(f"x.{c}").alias(c) for c in KEY[:2]] if extents else []
+    hit = d.select("doc_id", F.posexplode("g").alias("i", "x"), "used", "p").select("doc_id", F.col("x.label").alias("gold_label"), F.expr("IF(used[i] >= 0, p[greatest(used[i], 0)].label, NULL)").alias("pred_label"), *where)
     spare = d.select("doc_id", F.posexplode("p").alias("i", "x"), "used").where(~F.array_contains("used", F.col("i"))).select("doc_id", F.lit(None).cast("string").alias("gold_label"), F.col("x.label").alias("pred_label"))
-    return hit.unionByName(spare)
+    return hit.unionByName(spare, allowMissingColumns=True)
 
 
 def doc_counts(matched: DataFrame) -> DataFrame:
@@ -92,15 +93,29 @@ def by_bucket(counts: DataFrame, train: DataFrame) -> DataFrame:
     return c.groupBy(frequency_bucket(F.coalesce("n", F.lit(0))).alias("bucket")).agg(*[F.sum(x).alias(x) for x in ("tp", "fp", "fn")]).select("bucket", "tp", "fp", "fn", *prf())
 
 
-def misses(gold: DataFrame, systems: dict[str, DataFrame]) -> DataFrame:
-    """Gold spans with a column miss_<system>: no prediction of that system has their extent and label."""
+def misses(gold: DataFrame, systems: dict[str, DataFrame], mode: str = "strict") -> DataFrame:
+    """Gold spans with a column miss_<system>: that system matches no gold span of their extent and label."""
     out = gold
     for name, pred in systems.items():
-        found = pred.select("doc_id", *KEY).distinct().withColumn(f"miss_{name}", F.lit(False))
+        if mode == "strict":
+            found = pred.select("doc_id", *KEY)
+        else:
+            found = match(gold, pred, mode, True).where("gold_label is not null and pred_label is not null").select("doc_id", *KEY[:2], F.col("gold_label").alias("label"))
+        found = found.distinct().withColumn(f"miss_{name}", F.lit(False))
         out = out.join(found, ["doc_id", *KEY], "left").withColumn(f"miss_{name}", F.coalesce(f"miss_{name}", F.lit(True)))
     return out
 
 
+def shared_misses(missed: DataFrame, names: list[str], by: str | None = None) -> DataFrame:
+    """n_gold, n_all and n_any: gold spans, those that all systems miss, those that any misses; over all spans, or by group."""
+    flags = [F.col(f"miss_{x}") for x in names]
+    total = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    every, some = flags[0], flags[0]
+    for f in flags[1:]:
+        every, some = every & f, some | f
+    return missed.groupBy(*([by] if by else [])).agg(F.count("*").alias("n_gold"), total(every).alias("n_all"), total(some).alias("n_any"))
+
+
 def complementarity(missed: DataFrame, a: str, b: str, by: str | None = None) -> DataFrame:
     """What two systems miss, together and alone: over all spans, or by group."""
     ma, mb = F.col(f"miss_{a}").cast("long"), F.col(f"miss_{b}").cast("long")
