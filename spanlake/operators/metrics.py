@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -131,6 +132,15 @@ def mcnemar_p(chi: float) -> float:
     return math.erfc(math.sqrt(chi / 2)) if chi > 0 else 1.0
 
 
+def with_p(tests: DataFrame, chi: str = "mcnemar") -> DataFrame:
+    """A small table of tests with the p value of each statistic: Spark has no erfc."""
+
+    def each(values: pd.Series) -> pd.Series:
+        return values.map(mcnemar_p)
+
+    return tests.withColumn("p", F.pandas_udf(each, "double")(F.coalesce(chi, F.lit(0.0))))
+
+
 def holm(tests: DataFrame) -> DataFrame:
     """(name, p, adjusted): Holm's correction of a small table of tests."""
     w = W.orderBy("p", "name")

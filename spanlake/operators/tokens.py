@@ -40,9 +40,11 @@ def windows(n: Column, longest: int, stride: int) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda k: F.struct((k * step).alias("first"), F.least(n, k * step + longest).cast("int").alias("last")))
 
 
-def merge_windows(predictions: DataFrame) -> DataFrame:
-    """One prediction a token from rows (doc_id, window, k, size, ix, tag, prob): that whose token stands farthest from its window's ends, then the earlier window's."""
-    w = W.partitionBy("doc_id", "ix").orderBy(F.least(F.col("k"), F.col("size") - 1 - F.col("k")).desc(), "window")
+def merge_windows(predictions: DataFrame, latest: bool = False) -> DataFrame:
+    """One prediction a token from rows (doc_id, window, k, size, ix, tag, prob): that whose token stands farthest from its window's ends, then the earlier window's; with `latest` then by largest tag, probability and window."""
+    inner = F.least(F.col("k"), F.col("size") - 1 - F.col("k")).desc()
+    ties = [F.col(c).desc() for c in ("tag", "prob", "window")] if latest else ["window"]
+    w = W.partitionBy("doc_id", "ix").orderBy(inner, *ties)
     return predictions.withColumn("r", F.row_number().over(w)).where("r = 1").select("doc_id", "ix", "tag", "prob")
 
 

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..functions import outputs as O
 from ..functions import text as T
+from ..operators import injection, routing, simulate, spans, splits, tokens
 from ..operators import metrics as M
-from ..operators import routing, spans, splits, tokens
 from ..sources import records
 
 
@@ -214,7 +215,15 @@ def match_typeless(spark, sf):
     return M.per_label(M.doc_counts(M.match(g, tc, "typeless")))
 
 
-@query()
+_NOT_HIPAA = ", ".join(f"'{x}'" for x in L.NOT_HIPAA)
+_HIPAA = lambda t: f"""(SELECT doc_id, s, e, {_CATS} AS label FROM {t} WHERE CASE label WHEN 'AGE' THEN coalesce(TRY_CAST(regexp_extract(text, '[0-9]{{1,3}}') AS INT), 0) >= 90
+    WHEN 'DATE' THEN NOT regexp_matches(text, '^[^\\p{{L}}\\p{{N}}_]*(1[89]|20)[0-9]{{2}}[^\\p{{L}}\\p{{N}}_]*$') ELSE label NOT IN ({_NOT_HIPAA}) END)"""
+_NUMBERED = "(SELECT *, row_number() OVER (PARTITION BY doc_id, s, e, label) AS n FROM {0})"
+
+
+@query(SPAN_SQL + ", hg AS " + _NUMBERED.format(_HIPAA("gold")) + ", hp AS " + _NUMBERED.format(_HIPAA("tc")) + f""",
+hz AS (SELECT coalesce(g.label, p.label) AS label, count(*) FILTER (g.s IS NOT NULL AND p.s IS NOT NULL) AS tp, count(*) FILTER (g.s IS NULL) AS fp, count(*) FILTER (p.s IS NULL) AS fn
+  FROM hg g FULL JOIN hp p ON g.doc_id = p.doc_id AND g.s = p.s AND g.e = p.e AND g.label = p.label AND g.n = p.n GROUP BY 1) SELECT label, tp, fp, fn, tp + fn AS support, {PRF_SQL} FROM hz""")
 def hipaa_view(spark, sf):
     g, tc, _ = all_spans(spark, sf)
     return M.per_label(M.doc_counts(M.match(M.prepare(g, "category", True), M.prepare(tc, "category", True))))
@@ -279,6 +288,95 @@ def stratified_split(spark, sf):
     return splits.stratified(spark.read.parquet(f"{sf}/documents.parquet"), "lang")
 
 
+_DRAW = lambda what: f"({_H(chr(39) + '3:sim:' + what + ':' + chr(39) + ' || key')} / 4294967296.0::DOUBLE)"
+
+
+@query(SPAN_SQL + f""", sk AS (SELECT *, doc_id || ':' || s || ':' || e || ':' || label AS key FROM gold),
+sf AS (SELECT *, CASE WHEN {_DRAW('noise')} < 0.2::DOUBLE AND e - s > 2 THEN 1 ELSE 0 END AS cut FROM sk WHERE {_DRAW('miss')} >= CASE label WHEN 'DATE' THEN 0.5::DOUBLE ELSE 0.1::DOUBLE END),
+si AS (SELECT doc_id, label, spot AS s, CAST(least(n, spot + 5) AS INT) AS e FROM (SELECT sf.doc_id, label, n, CAST({_H("'3:sim:spot:' || key")} % greatest(1, n - 6) AS INT) AS spot FROM sf JOIN (SELECT doc_id, length(text) AS n FROM documents) d USING (doc_id) WHERE {_DRAW('invent')} < 0.1::DOUBLE AND n > 0)),
+sa AS (SELECT doc_id, s, CAST(e - cut AS INT) AS e, label, 0.8::DOUBLE AS score FROM sf UNION ALL SELECT doc_id, s, e, label, 0.4::DOUBLE FROM si WHERE NOT EXISTS (FROM gold g WHERE g.doc_id = si.doc_id AND g.s < si.e AND si.s < g.e))
+SELECT sa.doc_id, s AS start, e AS "end", label, substring(text, s + 1, e - s) AS text, 'sim' AS source, score FROM sa JOIN documents USING (doc_id)""")
+def simulated_detector(spark, sf):
+    docs, gold = documents(spark, sf), all_spans(spark, sf)[0]
+    return simulate.detect(docs, gold, "sim", {"DATE": 0.5, "default": 0.1}, 0.1, 0.2, 0.8, 3)
+
+
+@query(SPAN_SQL + """, v AS (SELECT DISTINCT doc_id, s, e, label FROM tc) SELECT doc_id, s AS start, e AS "end", label, EXISTS (FROM gold g WHERE g.doc_id = v.doc_id AND g.label = v.label AND g.s < v.e AND v.s < g.e) AS is_phi FROM v""")
+def verdicts(spark, sf):
+    g, tc, _ = all_spans(spark, sf)
+    return simulate.right(tc, g)
+
+
+@query(SPAN_SQL + " SELECT doc_id, s AS start, e AS \"end\", label, 1.0::DOUBLE AS score FROM gold")
+def decode_tags(spark, sf):
+    t = token_rows(spark, sf)
+    tags = tokens.encode(t, draw(t, "g"))
+    return tokens.decode(t.select("doc_id", "ix", "start", "end").join(tags, ["doc_id", "ix"]).withColumn("prob", F.lit(1.0)))
+
+
+@query(TOKEN_SQL + """, n AS (SELECT doc_id, count(*) AS n FROM token GROUP BY doc_id), w AS (SELECT doc_id, n, unnest(range(0, CASE WHEN n <= 128 THEN 0 ELSE CAST(ceil((n - 128) / 96.0) AS BIGINT) END + 1)) AS i FROM n),
+p AS (SELECT doc_id, i, unnest(range(i * 96, least(n, i * 96 + 128))) AS ix, i * 96 AS a, least(n, i * 96 + 128) AS z FROM w)
+SELECT doc_id, CAST(ix AS INT) AS ix, CAST(i AS VARCHAR) AS tag FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, ix ORDER BY least(ix - a, z - 1 - ix) DESC, i) AS r FROM p) WHERE r = 1""")
+def merge_window_predictions(spark, sf):
+    n = T.find_all(documents(spark, sf), T.TOKEN).groupBy("doc_id").agg(F.count("*").alias("n"))
+    w = n.select("doc_id", F.posexplode(tokens.windows(F.col("n"), 128, 32)).alias("window", "w"))
+    p = w.select("doc_id", "window", (F.col("w.last") - F.col("w.first")).alias("size"), "w.first", F.explode(F.expr("sequence(w.first, CAST(w.last AS INT) - 1)")).alias("ix"))
+    p = p.select("doc_id", "window", (F.col("ix") - F.col("first")).alias("k"), "size", "ix", F.col("window").cast("string").alias("tag"), F.lit(1.0).alias("prob"))
+    return tokens.merge_windows(p).select("doc_id", F.col("ix").cast("int").alias("ix"), "tag")
+
+
+@query(SPAN_SQL + f""", q AS (SELECT DISTINCT doc_id, s, e, label FROM tc), m AS (SELECT q.doc_id, q.s, q.e, q.label, avg(CASE WHEN t.label = q.label THEN ({_H("'p' || t.k")} % 100) / 100.0::DOUBLE ELSE 0 END) AS p FROM q JOIN token t ON t.doc_id = q.doc_id AND t.s < q.e AND q.s < t.e GROUP BY ALL)
+SELECT doc_id, s AS start, e AS "end", label, round(p, 6) AS p FROM m""")
+def span_label_probability(spark, sf):
+    t = token_rows(spark, sf)
+    p = (T.hashed(F.concat(F.lit("p"), "k")) % 100) / 100.0
+    dist = t.select("doc_id", "ix", F.col("start").alias("ts"), F.col("end").alias("te"), F.explode(F.array(F.struct(F.concat(F.lit("B-"), "label").alias("tag"), p.alias("p")), F.struct(F.lit("O").alias("tag"), (1 - p).alias("p")))).alias("x")).select("doc_id", "ix", "ts", "te", "x.tag", "x.p")
+    got = tokens.label_probability(dist, draw(t, "t").select("doc_id", "start", "end", "label").distinct())
+    return got.withColumn("p", F.round("p", 6))
+
+
+@query()
+def mcnemar_holm(spark, sf):
+    g, tc, llm = all_spans(spark, sf)
+    tests = M.with_p(M.complementarity(M.misses(g, {"tc": tc, "llm": llm}), "tc", "llm", "label"))
+    return M.holm(tests.select(F.col("label").alias("name"), F.round("p", 6).alias("p")))
+
+
+@query()
+def opf_records(spark, sf):
+    g = all_spans(spark, sf)[0]
+    nested = g.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "label")).alias("spans"))
+    return records.to_opf(documents(spark, sf).join(nested, "doc_id"))
+
+
+@query()
+def segment_documents(spark, sf):
+    return O.segments(documents(spark, sf)).select("doc_id", "segment", "start", "end")
+
+
+@query()
+def ground_items(spark, sf):
+    """The surfaces that the second detector names, one item each, grounded anew."""
+    llm = all_spans(spark, sf)[2]
+    items = llm.groupBy("doc_id", "text", "label").agg(F.min("start").alias("item"))
+    return O.deduped(O.ground(documents(spark, sf), items)).select("doc_id", "start", "end", "label", "method", "score")
+
+
+@query()
+def tagged_outputs(spark, sf):
+    """A detector's spans written as tags, read back."""
+    docs = documents(spark, sf)
+    return O.tagged(docs, spans.render_tagged(docs, all_spans(spark, sf)[1]).withColumnRenamed("text", "output"))
+
+
+@query()
+def inject_identifiers(spark, sf):
+    profile = injection.Profile.of({"weights": {"DATE": 40, "DOCTOR": 15, "HOSPITAL": 8, "PATIENT": 7, "AGE": 6, "PHONE": 1.5}})
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source")
+    made = injection.inject(docs, profile, 0, "source")
+    return made.select("doc_id", F.length("text").alias("n_chars"), F.size("spans").alias("n_spans"), F.sha1("text").alias("sha"))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Strict scores by label of the union of two detectors."""
     g, tc, llm = all_spans(spark, sf)

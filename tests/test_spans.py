@@ -106,3 +106,68 @@ def test_split(spark):
     assert splits.stratified(docs.where("false"), "kind").count() == 0
     with pytest.raises(ValueError):
         metrics.paired_bootstrap(docs, docs, "recal")
+
+
+def resolved(rows):
+    kept = []
+    for s in sorted(merged(rows), key=lambda r: (0 if "tc" in r[5].split("+") else 1, -(r[6] or 0), r[1] - r[2], r[1], r[2], r[3])):
+        if not any(meets(s, k) and k[3] != s[3] for k in kept):
+            kept.append(s)
+    return Counter((s[0], s[1], s[2], s[3], s[5], s[6]) for s in kept)
+
+
+COUNTS = {"DATE": 50, "PHONE": 10, "AGE": 9}
+
+
+def test_label_routed(spark, drawn_spans):
+    _, tc, llm = drawn_spans
+    counts = spark.createDataFrame(list(COUNTS.items()), "label string, n long")
+    for unsupported, both in (((), ()), (("DATE",), ("AGE",))):
+        known = lambda x: x not in unsupported and COUNTS[x] >= 10  # noqa: B023, E731
+        want = Counter()
+        for rows in per_doc([r for r in tc + llm if r[3] in both or known(r[3]) == (r[5] == "tc")]).values():
+            want += resolved(rows)
+        got = spans.label_routed(spark.createDataFrame(tc + llm, DDL), counts, 10, unsupported, both)
+        assert Counter(map(tuple, got.select("doc_id", "start", "end", "label", "source", "score").collect())) == want
+
+
+@pytest.mark.parametrize("asked", [False, True])
+def test_gate(spark, drawn_spans, asked):
+    _, tc, llm = drawn_spans
+    counts = spark.createDataFrame(list(COUNTS.items()), "label string, n long")
+    yes = lambda s: (s[1] + s[2]) % 2 == 0
+    sure = lambda s: 0.5 if s[1] % 3 == 0 else 0.05
+    keys = sorted({r[:4] for d in range(12) for rows in (tc, llm) for r in merged(per_doc(rows).get(d, []))})
+    verdicts = spark.createDataFrame([(*k, yes(k)) for k in keys], "doc_id long, start int, end int, label string, is_phi boolean") if asked else None
+    forced = spark.createDataFrame([(*k, sure(k)) for k in keys], "doc_id long, start int, end int, label string, p double") if asked else None
+    rules, want = Counter(), Counter()
+    for d in range(12):
+        a, b = (merged(per_doc(x).get(d, [])) for x in (tc, llm))
+        taken, kept = set(), []
+        for s in a:
+            partners = sorted((x for x in b if meets(s, x)), key=lambda x: x[1:4])
+            taken.update(partners)
+            if partners:
+                kept.append((*s[:3], s[3] if s[6] is None or s[6] >= 0.3 else partners[0][3], "", "llm+tc", s[6]))
+                rules["agree", True] += 1
+                continue
+            rule, ok = ("tc-only:high", True) if s[6] is not None and s[6] >= 0.9 else ("tc-only:low:verified", yes(s)) if asked else ("tc-only:low:no-verifier", False)
+            rules[rule, ok] += 1
+            kept += [s] * ok
+        for s in b:
+            if s in taken:
+                continue
+            if s[3] == "PHONE" or COUNTS[s[3]] < 10:
+                rule, ok = "llm-only:rare-or-unsupported", True
+            elif asked and sure(s) >= 0.3:
+                rule, ok = "llm-only:tc-forced", True
+            else:
+                rule, ok = ("llm-only:frequent:verified", yes(s)) if asked else ("llm-only:frequent:no-verifier", False)
+            rules[rule, ok] += 1
+            kept += [s] * ok
+        want += resolved(kept)
+    options = {"unsupported": ("PHONE",), "verdicts": verdicts, "forced": forced}
+    every = spark.createDataFrame(tc + llm, DDL)
+    assert Counter((r.rule, r.accepted) for r in spans.gate(every, counts, **options).collect()) == rules
+    got = spans.confidence_gated(every, counts, **options)
+    assert Counter(map(tuple, got.select("doc_id", "start", "end", "label", "source", "score").collect())) == want
