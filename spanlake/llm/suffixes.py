@@ -14,7 +14,9 @@ GRAM bytes or more form a group; (5) strings of SIZE bytes around the anchor are
 twice go back to their chunks, where documents are rebuilt.
 
 Text moves in one exchange, which the three passes share. A passage in a third of all documents is one entry per chunk
-and neighbourhood. A group holds the distinct neighbourhoods of one gram and meets in one task.
+and neighbourhood. A group holds the distinct neighbourhoods of one gram and meets in one task, so it is bounded: a gram
+that stands more than HOT times (a line of a third of all documents, each time among other words) sends no suffixes; its
+strings of SIZE bytes go by their own hashes, each once per chunk, to buckets all over, are counted there and come back.
 
 Cases: null and empty texts are no bytes; a text under SIZE bytes is kept whole; repeated rows are copies of each other,
 so both lose what repeats; a string that overlaps its own copy counts; what is left may be cut within a code point, so
@@ -28,19 +30,22 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import _BYTE_VALUES, answer, buckets_for, by_group, chunked, documents, empty, leftmost_minima, mix, prefix_hash, range_hash, split_sorted, table, text_bytes, text_steps
 
 SIZE = 400
 GRAM = 160
+#: A gram that stands more often isn't merged in one task; its strings are counted apart.
+HOT = 1 << 14
 #: Bytes of neighbourhoods that are hashed at once in a merge.
 SLICE_BYTES = 1 << 19
 
-GRAMS = "bucket int,chunk int,hashes binary,many binary"
-SHARED = "chunk int,hashes binary"
-RUN = "bucket int,chunk int,run binary"
-HITS = "chunk int,classes binary,spans binary"
+GRAMS = "bucket int,chunk int,hashes binary,counts binary"
+SHARED = "chunk int,hashes binary,hot binary"
+RUN = "bucket int,chunk int,run binary,strings binary,many binary"
+HITS = "chunk int,classes binary,spans binary,strings binary"
 OUT = "doc_id bigint,n_bytes bigint,n_removed bigint,n_spans bigint,kept_sha256 string"
 
 
@@ -54,7 +59,7 @@ class Anchors:
         long = t.end - t.begin >= size
         np.add.at(valid, t.begin[long], 1)
         np.add.at(valid, t.end[long] - size + 1, -1)
-        start = np.flatnonzero(np.cumsum(valid)[:-1] > 0)
+        start = self.start = np.flatnonzero(np.cumsum(valid)[:-1] > 0)
         if not len(start):
             self.at = self.low = self.high = np.zeros(0, np.int64)
             self.gram = self.classes = np.zeros(0, np.uint64)
@@ -66,9 +71,14 @@ class Anchors:
         self.at, self.low = best[edge], start[edge]
         self.high = start[np.append(edge[1:], len(start)) - 1]
         self.gram = mix(g[self.at])  # smallest hashes are all small: mixed again, they fall evenly into buckets
+        self.size = size
         # the whole neighbourhood, with the anchor's place in it
         self.classes = mix(range_hash(self.prefix, self.low, self.high + size) ^ mix((self.at - self.low).astype(np.uint64)))
 
+    def strings(self, start: np.ndarray) -> np.ndarray:
+        """Hashes of the strings of SIZE bytes that begin at `start`, apart from those of grams."""
+        return mix(range_hash(self.prefix, start, start + self.size) ^ np.uint64(1))
+
 
 def common(a: bytes, b: bytes, known: int = 0) -> int:
     """The length of the common prefix of a and b, of which `known` bytes are known to be equal."""
@@ -162,53 +172,65 @@ class LoserTree:
 
 
 def grams(docs: DataFrame, n_buckets: int, size: int = SIZE, gram: int = GRAM) -> DataFrame:
-    """GRAMS rows: for each chunk and bucket the distinct hashes of its anchors' grams, and which stand there more than once."""
+    """GRAMS rows: for each chunk and bucket the distinct hashes of its anchors' grams, and how often they stand there (65,535 for more)."""
 
     def run(t: pa.Table) -> pa.Table:
         found = [Anchors(part, size, gram).gram for _, part in text_steps(t["text"])]
         key, count = np.unique(np.concatenate(found), return_counts=True)
         edges = split_sorted(key, n_buckets)
         some = [i for i in range(n_buckets) if edges[i] < edges[i + 1]]
-        many = count > 1
-        return table(GRAMS, some, [t["chunk"][0].as_py()] * len(some), [key[edges[i] : edges[i + 1]].tobytes() for i in some], [np.packbits(many[edges[i] : edges[i + 1]]).tobytes() for i in some])
+        count = np.minimum(count, 65535).astype(np.uint16)
+        return table(GRAMS, some, [t["chunk"][0].as_py()] * len(some), [key[edges[i] : edges[i + 1]].tobytes() for i in some], [count[edges[i] : edges[i + 1]].tobytes() for i in some])
 
     return by_group(docs, "chunk", run, GRAMS)
 
 
-def twice(found: DataFrame) -> DataFrame:
-    """SHARED rows: for each chunk the hashes that stand more than once in the corpus."""
+def found_twice(per: list[np.ndarray], counts: list[np.ndarray], most: int | None = None):
+    """(which list, its hashes that stand more than once in all, which of these stand more than `most` times) for each list of hashes that has any."""
+    key, owner = np.concatenate(per), np.repeat(np.arange(len(per)), [len(x) for x in per])
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    edge = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+    total = np.add.reduceat(np.concatenate(counts)[order].astype(np.int64), edge)
+    each = np.empty(len(key), np.int64)
+    each[order] = np.repeat(total, np.diff(np.append(edge, len(k))))
+    key, owner, each = key[each > 1], owner[each > 1], each[each > 1]
+    cut = np.searchsorted(owner, np.arange(len(per) + 1))
+    for i in range(len(per)):
+        if cut[i] < cut[i + 1]:
+            part = slice(cut[i], cut[i + 1])
+            yield i, key[part], each[part] > (most or 0)
+
+
+def twice(found: DataFrame, hot: int = HOT) -> DataFrame:
+    """SHARED rows: for each chunk the hashes that stand more than once in the corpus, and which more than `hot` times."""
 
     def run(t: pa.Table) -> pa.Table:
-        per = [np.frombuffer(x.as_py(), np.uint64) for x in t["hashes"]]
-        many = np.concatenate([np.unpackbits(np.frombuffer(m.as_py(), np.uint8), count=len(h)) for m, h in zip(t["many"], per, strict=True)])
-        key = np.concatenate(per)
-        owner = np.repeat(np.arange(len(per)), [len(x) for x in per])
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        edge = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-        total = np.add.reduceat(1 + many[order].astype(np.int64), edge)
-        hit = np.isin(key, k[edge][total > 1])
-        key, owner = key[hit], owner[hit]
-        cut = np.searchsorted(owner, np.arange(len(per) + 1))
-        some = [i for i in range(len(per)) if cut[i] < cut[i + 1]]
-        return table(SHARED, [t["chunk"][i].as_py() for i in some], [key[cut[i] : cut[i + 1]].tobytes() for i in some])
+        per, counts = ([np.frombuffer(x.as_py(), kind) for x in t[c]] for c, kind in (("hashes", np.uint64), ("counts", np.uint16)))
+        rows = [(t["chunk"][i].as_py(), key.tobytes(), np.packbits(many).tobytes()) for i, key, many in found_twice(per, counts, hot)]
+        return table(SHARED, *(zip(*rows, strict=True) if rows else ([], [], [])))
 
     return by_group(found, "bucket", run, SHARED)
 
 
 def _all(column, kind) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x.as_py(), kind) for x in column]) if len(column) else np.zeros(0, kind)
+    parts = [np.frombuffer(x, kind) for x in column.to_pylist() if x is not None]
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
 def runs(docs: DataFrame, shared: DataFrame, n_buckets: int, size: int = SIZE, gram: int = GRAM) -> DataFrame:
-    """RUN rows: for each chunk and bucket its suffixes at shared anchors, sorted and front coded."""
+    """RUN rows: for each chunk and bucket its suffixes at shared anchors, sorted and front coded; and the hashes of the strings at hot ones."""
     width = -(-(1 << 64) // n_buckets)
 
     def run(t: pa.Table, other: pa.Table) -> pa.Table:
-        wanted = np.sort(_all(other["hashes"], np.uint64))
+        wanted = _all(other["hashes"], np.uint64)
         if not len(wanted):
             return empty(RUN)
+        bits = [np.unpackbits(np.frombuffer(h.as_py(), np.uint8), count=len(x.as_py()) // 8) for h, x in zip(other["hot"], other["hashes"], strict=True)]
+        order = np.argsort(wanted)
+        wanted, hot = wanted[order], np.concatenate(bits)[order].astype(bool)
         held: dict[int, list] = {}
+        strings = []
         for _, part in text_steps(t["text"]):
             a = Anchors(part, size, gram)
             if not len(a.at):
@@ -216,20 +238,33 @@ def runs(docs: DataFrame, shared: DataFrame, n_buckets: int, size: int = SIZE, g
             near = np.minimum(np.searchsorted(wanted, a.gram), len(wanted) - 1)
             raw = part.buf.tobytes()
             some = wanted[near] == a.gram
+            apart = some & hot[near]
+            if apart.any():
+                count = a.high[apart] - a.low[apart] + 1
+                strings.append(a.strings(np.arange(count.sum()) + np.repeat(a.low[apart] - (np.cumsum(count) - count), count)))
+                some &= ~apart
             for at, low, high, g, cls in zip(a.at[some].tolist(), a.low[some].tolist(), a.high[some].tolist(), a.gram[some].tolist(), a.classes[some].tolist(), strict=True):
                 if cls in held:
                     held[cls][4] = 1
                 else:
                     held[cls] = [g // width, raw[at : high + size], raw[low:at], cls, 0]
         entries = sorted(held.values())
-        chunk, out, i = t["chunk"][0].as_py(), ([], [], []), 0
+        chunk, out, i = t["chunk"][0].as_py(), ([], [], [], [], []), 0
         while i < len(entries):
             j = i
             while j < len(entries) and entries[j][0] == entries[i][0]:
                 j += 1
-            for column, v in zip(out, (entries[i][0], chunk, encode([tuple(e[1:]) for e in entries[i:j]])), strict=True):
+            for column, v in zip(out, (entries[i][0], chunk, encode([tuple(e[1:]) for e in entries[i:j]]), None, None), strict=True):
                 column.append(v)
             i = j
+        if strings:
+            key, count = np.unique(np.concatenate(strings), return_counts=True)
+            edges = split_sorted(key, n_buckets)
+            for i in range(n_buckets):
+                part = slice(edges[i], edges[i + 1])
+                if edges[i] < edges[i + 1]:
+                    for column, v in zip(out, (i, chunk, None, key[part].tobytes(), np.packbits(count[part] > 1).tobytes()), strict=True):
+                        column.append(v)
         return table(RUN, *out)
 
     return answer(docs, shared, run, RUN)
@@ -271,9 +306,20 @@ def _repeated(group: list[tuple], size: int):
 
 
 def merged(run_rows: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
-    """HITS rows: for each chunk its neighbourhoods (by class) in which strings of `size` bytes are found twice, and which."""
+    """HITS rows: for each chunk its neighbourhoods (by class) in which strings of `size` bytes are found twice, and which; and those hashes of hot grams' strings that are found twice."""
 
     def run(t: pa.Table) -> pa.Table:
+        out = ([], [], [], [])
+        apart = t.filter(pc.is_valid(t["strings"]))
+        if apart.num_rows:
+            per = [np.frombuffer(x.as_py(), np.uint64) for x in apart["strings"]]
+            counts = [1 + np.unpackbits(np.frombuffer(m.as_py(), np.uint8), count=len(h)) for m, h in zip(apart["many"], per, strict=True)]
+            for i, key, _ in found_twice(per, counts):
+                for column, v in zip(out, (apart["chunk"][i].as_py(), None, None, key.tobytes()), strict=True):
+                    column.append(v)
+        t = t.filter(pc.is_valid(t["run"]))
+        if not t.num_rows:
+            return table(HITS, *out)
         chunks = t["chunk"].to_pylist()
         got: dict[int, list] = {}
 
@@ -311,11 +357,11 @@ def merged(run_rows: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame
         close()
         if batch:
             flush(batch)
-        out = ([], [], [])
         for chunk, rows in got.items():
             out[0].append(chunk)
             out[1].append(np.array([r[0] for r in rows], np.uint64).tobytes())
             out[2].append(np.array([r[1:] for r in rows], np.uint16).tobytes())
+            out[3].append(None)
         return table(HITS, *out)
 
     return by_group(run_rows, "bucket", run, HITS)
@@ -329,21 +375,27 @@ def rebuilt(docs: DataFrame, hits: DataFrame, size: int = SIZE, gram: int = GRAM
         cls, spans = _all(other["classes"], np.uint64), _all(other["spans"], np.uint16).reshape(-1, 2).astype(np.int64)
         order = np.argsort(cls, kind="stable")
         cls, spans = cls[order], spans[order]
+        strings = np.sort(_all(other["strings"], np.uint64))
         rows = ([], [], [], [])
         texts = []
         for _, part in text_steps(t["text"]):
             gone = None
-            if len(cls):
+            if len(cls) or len(strings):
                 a = Anchors(part, size, gram)
+                diff = np.zeros(len(part.buf) + 1, np.int32)
+                if len(strings) and len(a.at):
+                    key = a.strings(a.start)
+                    twin = a.start[strings[np.minimum(np.searchsorted(strings, key), len(strings) - 1)] == key]
+                    np.add.at(diff, twin, 1)
+                    np.add.at(diff, twin + size, -1)
                 first, last = np.searchsorted(cls, a.classes, "left"), np.searchsorted(cls, a.classes, "right")
                 n = last - first
                 if n.any():
                     which = np.repeat(np.arange(len(n)), n)
                     hit = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-                    diff = np.zeros(len(part.buf) + 1, np.int32)
                     np.add.at(diff, a.low[which] + spans[hit, 0], 1)
                     np.add.at(diff, a.low[which] + spans[hit, 1] + size, -1)
-                    gone = np.cumsum(diff[:-1]) > 0
+                gone = np.cumsum(diff[:-1]) > 0
             for i, j in zip(part.begin.tolist(), part.end.tolist(), strict=True):
                 kept, n_spans = part.buf[i:j], 0
                 if gone is not None and (g := gone[i:j]).any():
@@ -359,13 +411,13 @@ def rebuilt(docs: DataFrame, hits: DataFrame, size: int = SIZE, gram: int = GRAM
     return answer(docs, hits, run, ddl)
 
 
-def dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM, with_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM, with_text: bool = False, hot: int = HOT) -> DataFrame:
     if not 8 <= gram < size:
         raise ValueError("a gram is shorter than a string")
     total = text_bytes(docs)
     n_buckets = buckets_for(docs.sparkSession, total, 6 << 20)
     dealt = chunked(docs, total=total)
-    shared = twice(grams(dealt, n_buckets, size, gram))
+    shared = twice(grams(dealt, n_buckets, size, gram), hot)
     return rebuilt(dealt, merged(runs(dealt, shared, n_buckets, size, gram), size, gram), size, gram, with_text)
 
 

@@ -207,10 +207,26 @@ def test_suffix_dedup(docs, rows, nothing):
                     gone[k : k + size] = True
             spans = int(np.sum(gone & ~np.append(False, gone[:-1]))) if len(b) else 0
             want[i, len(b), int(gone.sum()), spans, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()] += 1
-        assert got(suffixes.dedup(docs, size, gram), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+        for hot in (suffixes.HOT, 3, 1):  # grams that stand more often go another way
+            assert got(suffixes.dedup(docs, size, gram, hot=hot), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
     assert suffixes.dedup(nothing).count() == 0
 
 
+def test_suffix_dedup_of_a_hot_line(spark):
+    """A line that every document holds among other words: no task gets all its neighbourhoods."""
+    r = random.Random(4)
+    line, word = "".join(r.choice("abcdef ") for _ in range(90)), lambda: "".join(r.choice("ghijkl ") for _ in range(70))
+    made = [(i, word() + line + word()) for i in range(300)] + [(300 + i, "x" * i + made_of) for i, made_of in enumerate([word() + line] * 3)]
+    d = spark.createDataFrame(made, "doc_id long, text string")
+    columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    want = got(suffixes.dedup(d, 60, 24), *columns)
+    assert got(suffixes.dedup(d, 60, 24, hot=50), *columns) == want and sum(k[2] > 0 for k in want) == 303
+    dealt = suffixes.chunked(d)
+    shared = suffixes.twice(suffixes.grams(dealt, 24, 60, 24), 50)
+    sent = suffixes.runs(dealt, shared, 24, 60, 24)
+    assert sent.where("run is not null").count() < sent.where("strings is not null").count()
+
+
 def test_anchors_fall_evenly():
     from spanlake.llm.common import Texts
 
