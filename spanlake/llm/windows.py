@@ -6,10 +6,12 @@ filed under its anchor: of the SIZE / 2-word grams that it contains the leftmost
 have equal anchors, and neighbouring windows share theirs, so a run has about a fourteenth as many entries as words.
 
 Steps for a batch: (1) its anchors are sorted and written as a run; (2) the run is merge-joined, bucket by bucket of the
-hash space, with all older runs, which gives the anchors that stand in two or more documents; (3) only windows at such
-anchors are verified, by two independent hashes of their whole word sequence (96 bits), each with the smallest doc_id it
-starts in; (4) words under windows that start in a smaller document go; (5) when there are more than FANOUT runs they are
-compacted into one. What a chunk of documents ships is deduplicated first, so a passage that a third of all documents
+hash space, with itself and all older runs, which gives its anchors that stand in two or more documents; (3) only windows at
+such anchors are verified, in the batch and in the chunks of history that the index names, by two independent hashes of
+their whole word sequence (96 bits), each with the smallest doc_id it starts in; (4) words of the batch under windows that
+start in a smaller document go; (5) the run joins the index, and when there are more than FANOUT runs they are compacted
+into one. An entry names its chunk, also when compacted, so no run loses what verification needs; verification reads the
+texts of history again. Batches come in order of doc_id, so what is settled for one stays settled. What a chunk of documents ships is deduplicated first, so a passage that a third of all documents
 share is one entry per chunk, and buckets are ranges of a hash, so none grows with such a passage.
 
 Cases: null and empty texts have no words; a text under SIZE words has no windows; a null doc_id counts as larger than
@@ -35,7 +37,7 @@ FANOUT = 8
 NULL_ID = (1 << 63) - 1
 SECOND_BASE = 0x2545F4914F6CDD1D
 
-RUN = "bucket int,chunk int,hashes binary,lows binary,highs binary"
+RUN = "bucket int,chunk int,hashes binary,lows binary,highs binary,owners binary"
 SHARED = "chunk int,hashes binary"
 SEEN = "bucket int,chunk int,hashes binary,checks binary,lows binary,highs binary"
 HITS = "chunk int,hashes binary,lows binary"
@@ -101,7 +103,7 @@ def _lengths(column, width: int) -> np.ndarray:
 
 
 def entries(docs: DataFrame, n_buckets: int, size: int = SIZE) -> DataFrame:
-    """RUN rows: for each chunk and bucket the anchors' hashes in order, and the smallest and largest doc_id of each."""
+    """RUN rows: for each chunk and bucket the anchors' hashes in order, the smallest and largest doc_id of each, and its chunk."""
 
     def run(t: pa.Table) -> pa.Table:
         keys, ids = [], []
@@ -115,7 +117,8 @@ def entries(docs: DataFrame, n_buckets: int, size: int = SIZE) -> DataFrame:
             keys.append(a[fresh])
             ids.append(d[fresh])
         key, low, high, _ = _smallest(np.concatenate(keys), np.concatenate(ids), np.concatenate(ids))
-        return _blobs(RUN, t["chunk"][0].as_py(), n_buckets, key, low, high)
+        chunk = t["chunk"][0].as_py()
+        return _blobs(RUN, chunk, n_buckets, key, low, high, np.full(len(key), chunk, np.int32))
 
     return by_group(docs, "chunk", run, RUN)
 
@@ -128,41 +131,54 @@ class FingerprintIndex:
         self.runs: list[str] = []
         self.written = 0
 
-    def append(self, docs: DataFrame, size: int = SIZE) -> None:
-        """Writes the anchors of a batch (dealt by chunked()) as a new run; compacts when there are too many."""
+    def write(self, docs: DataFrame, size: int = SIZE) -> str:
+        """Writes the anchors of a batch (dealt by chunked()) as a run that add() makes part of the index."""
         at = f"{self.path}/run-{self.written:05d}"
         entries(docs, self.n_buckets, size).write.parquet(at)
-        self.runs.append(at)
         self.written += 1
+        return at
+
+    def add(self, run: str) -> None:
+        """Makes a written run part of the index; compacts when there are too many."""
+        self.runs.append(run)
         if len(self.runs) > FANOUT:
             self.compact()
 
+    def append(self, docs: DataFrame, size: int = SIZE) -> None:
+        self.add(self.write(docs, size))
+
+    def read(self, *runs: str) -> DataFrame:
+        return self.spark.read.schema(RUN.replace(",", ", ").replace("bigint", "long")).parquet(*runs)
+
     def rows(self) -> DataFrame:
-        return self.spark.read.schema(RUN.replace(",", ", ").replace("bigint", "long")).parquet(*self.runs)
+        return self.read(*self.runs)
 
-    def matched(self) -> DataFrame:
-        """SHARED rows: for each chunk the anchors that stand in two or more documents of all runs, by a merge join of the sorted runs."""
+    def matched(self, batch: str) -> DataFrame:
+        """SHARED rows: for each chunk the anchors of a written run that stand in two or more documents of it and the index, by a merge join of the sorted runs."""
 
         def merge(t: pa.Table) -> pa.Table:
             key, low, high = _joined(t["hashes"], np.uint64), _joined(t["lows"], np.int64), _joined(t["highs"], np.int64)
-            owner = np.repeat(t["chunk"].to_numpy(), _lengths(t["hashes"], 8))
+            owner = _joined(t["owners"], np.int32)
+            new = np.repeat(t["new"].to_numpy(zero_copy_only=False), _lengths(t["hashes"], 8))
             k, lo, hi, _ = _smallest(key, low, high)
-            shared = k[lo != hi]
-            hit = np.isin(key, shared) & (owner >= 0)
+            hit = np.isin(key, k[lo != hi]) & np.isin(key, key[new])
             key, owner = key[hit], owner[hit]
             order = np.argsort(owner, kind="stable")
             key, owner = key[order], owner[order]
             edge = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, int)
             return table(SHARED, owner[edge], [x.tobytes() for x in np.split(key, edge[1:])] if len(edge) else [])
 
-        return by_group(self.rows(), "bucket", merge, SHARED)
+        rows = self.read(batch).withColumn("new", F.lit(True))
+        if self.runs:
+            rows = rows.unionByName(self.rows().withColumn("new", F.lit(False)))
+        return by_group(rows, "bucket", merge, SHARED)
 
     def compact(self) -> None:
-        """Merges all runs into one: an entry per distinct anchor, no longer by chunk (chunk -1)."""
+        """Merges all runs into one: a row per bucket (chunk -1) with an entry per distinct anchor and chunk."""
 
         def merge(t: pa.Table) -> pa.Table:
-            key, low, high, _ = _smallest(_joined(t["hashes"], np.uint64), _joined(t["lows"], np.int64), _joined(t["highs"], np.int64))
-            return table(RUN, [t["bucket"][0].as_py()], [-1], [key.tobytes()], [low.tobytes()], [high.tobytes()])
+            key, low, high, owner = _smallest(_joined(t["hashes"], np.uint64), _joined(t["lows"], np.int64), _joined(t["highs"], np.int64), _joined(t["owners"], np.int32))
+            return table(RUN, [t["bucket"][0].as_py()], [-1], [key.tobytes()], [low.tobytes()], [high.tobytes()], [owner.tobytes()])
 
         at = f"{self.path}/compacted-{self.written:05d}"
         by_group(self.rows(), "bucket", merge, RUN).write.parquet(at)
@@ -252,25 +268,29 @@ def release(spark: SparkSession) -> None:
 
 
 def dedup(docs: DataFrame, size: int = SIZE, batches: int = 2, path: str | None = None, with_text: bool = False) -> DataFrame:
-    """Takes a table in `batches` batches in order of doc_id: each is appended to the index as a run; then all windows at anchors that the merge join of the runs matched are verified."""
+    """Takes a table in `batches` batches in order of doc_id: each is matched and verified against the index and itself, then becomes a run of the index."""
     spark = docs.sparkSession
     total = text_bytes(docs)
     n_buckets = buckets_for(spark, total)
-    index = FingerprintIndex(spark, path or shared_path(spark, "window-index"), n_buckets)
-    dealt = chunked(docs, total=total)
+    path = path or shared_path(spark, "window-index")
+    index = FingerprintIndex(spark, path, n_buckets)
     edges = [float("-inf")]
     if batches > 1:  # a summary of bounded size
         cuts = docs.where("doc_id is not null").approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) or []
         edges += [x for x in sorted(set(cuts))]
     key = F.coalesce(F.col("doc_id").cast("double"), F.lit(float("inf")))
+    outs = []
     for i, low in enumerate(edges):
-        inside = key > low if i else F.lit(True)
-        if i + 1 < len(edges):
-            inside &= key <= edges[i + 1]
-        index.append(chunked(docs.where(inside), total=total), size)
+        so_far = key <= edges[i + 1] if i + 1 < len(edges) else F.lit(True)
+        batch = chunked(docs.where(so_far & (key > low) if i else so_far), total=total)
+        run = index.write(batch, size)
+        release(spark)
+        hits = verified(chunked(docs.where(so_far), total=total), index.matched(run), n_buckets, size)
+        outs.append(f"{path}/out-{i:05d}")
+        removals(batch, hits, size, with_text).write.parquet(outs[-1])
+        index.add(run)
         release(spark)
-    hits = verified(dealt, index.matched(), n_buckets, size)
-    return removals(dealt, hits, size, with_text)
+    return spark.read.schema((OUT + (",kept string" if with_text else "")).replace(",", ", ")).parquet(*outs)
 
 
 def op8_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -285,6 +285,16 @@ def test_window_dedup(docs, rows, size, batches):
     assert got(windows.dedup(docs, size, batches), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_windows(rows, size)
 
 
+def test_window_dedup_of_more_batches_than_runs(docs, rows, monkeypatch):
+    """Duplicates within and against compacted runs are found, too."""
+    monkeypatch.setattr(windows, "FANOUT", 2)
+    made, compact = [], windows.FingerprintIndex.compact
+    monkeypatch.setattr(windows.FingerprintIndex, "compact", lambda self: (made.append(len(self.runs)), compact(self)))
+    want = brute_windows(rows, 8)
+    assert got(windows.dedup(docs, 8, 5), "doc_id", "n_words", "n_removed", "kept_sha256") == want
+    assert made and sum(k[2] > 0 for k in want) > 5
+
+
 def test_window_index_compacts(spark, docs, rows, nothing, tmp_path, monkeypatch):
     monkeypatch.setattr(windows, "FANOUT", 2)
     index = windows.FingerprintIndex(spark, str(tmp_path), 24)
