@@ -162,29 +162,55 @@ def _scan_slice(d: DataFrame, items: list[tuple], k: int, keep_text: bool) -> Da
     return d.mapInArrow(run, SCAN)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW) -> DataFrame:
-    """Documents (doc_id, text, lang, source, n_chars) without the passages of the benchmark: each hit run of words is cut out of the original text."""
-    shared = [list(s) for s in _slices(benchmark, MOST_BENCHMARK_BYTES)]
+FOUND = "__found"
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW, most_bytes: int = MOST_BENCHMARK_BYTES) -> DataFrame:
+    """Documents (doc_id, text, lang, source, n_chars) without the passages of the benchmark: the runs of words that any slice hits are united, then cut out of the original text."""
+    slices = list(_slices(benchmark, most_bytes))
     out = docs
-    for items in shared:
-        out = _cut_slice(out, items, k)
-    return out
+    for items in slices[:-1]:
+        out = _find_slice(out, items, k)
+    return _cut_slice(out, slices[-1], k)
+
+
+def _find_slice(docs: DataFrame, items: list[tuple], k: int) -> DataFrame:
+    """docs with the hits of a slice added to FOUND: first word and last + 1 of each, one after another."""
+    shared = docs.sparkSession.sparkContext.broadcast(items)
+    names = [x for x in docs.columns if x != FOUND]
+    at, more = names.index("text"), FOUND in docs.columns
+
+    def run(batches):
+        machine = automaton(shared.value, k)
+        for b in batches:
+            found = b.column(len(names)).to_pylist() if more else [[] for _ in range(b.num_rows)]
+            for i, text in enumerate(b.column(at).to_pylist()):
+                if text:
+                    found[i] += [x for r in hits(machine, text)[1] for x in r]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(found, pa.list_(pa.int32()))], names=[*names, FOUND])
+
+    return docs.mapInArrow(run, docs.schema if more else docs.withColumn(FOUND, F.expr("CAST(array() AS ARRAY<INT>)")).schema)
 
 
 def _cut_slice(docs: DataFrame, items: list[tuple], k: int) -> DataFrame:
+    """docs without the words that a slice hits or that are in FOUND."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
-    names = docs.columns
+    names = [x for x in docs.columns if x != FOUND]
     at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+    more = FOUND in docs.columns
 
     def run(batches):
         machine = automaton(shared.value, k)
         for b in batches:
             texts = b.column(at).to_pylist()
+            found = b.column(len(names)).to_pylist() if more else [[]] * len(texts)
+            b = b.select(names)
             changed = False
             for i, text in enumerate(texts):
-                if text and (r := hits(machine, text))[1]:
+                runs = [*hits(machine, text)[1], *zip(found[i][::2], found[i][1::2], strict=True)] if text else []
+                if runs:
                     out, last, changed = [], 0, True
-                    for a, z in original_spans(text, united(*r[:2])):
+                    for a, z in original_spans(text, united(0, runs)):
                         out.append(text[last:a])
                         last = z
                     texts[i] = "".join(out) + text[last:]
@@ -197,7 +223,7 @@ def _cut_slice(docs: DataFrame, items: list[tuple], k: int) -> DataFrame:
                 b = pa.RecordBatch.from_arrays(cols, schema=b.schema)
             yield b
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.select(names).schema)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

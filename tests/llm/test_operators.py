@@ -337,6 +337,18 @@ def test_decontaminate(spark, docs, rows, nothing):
     assert decontaminate.original_spans("Aé, Bb! cc", [(1, 3)]) == [(4, 10)]
 
 
+def test_decontaminate_cuts_once_for_all_slices(spark):
+    """Passages of which two items, in different slices, each have a part."""
+    words = [[f"w{i}x{j}" for j in range(15)] for i in range(12)]
+    bench = spark.createDataFrame([(2 * i + h, " ".join(w[5 * h : 5 * h + 10])) for i, w in enumerate(words) for h in (0, 1)], "item_id long, text string")
+    made = [(i, f"Before {' '.join(w)}, after.", 0) for i, w in enumerate(words)] + [(99, None, None), (100, "", 0), (101, "clean", 5)]
+    d = spark.createDataFrame(made, "doc_id long, text string, n_chars int")
+    want = Counter({(i, "Before , after.", 15): 1 for i in range(12)} | {x: 1 for x in made[12:]})
+    for most in (decontaminate.MOST_BENCHMARK_BYTES, 700):
+        out = decontaminate.decontaminate(d, bench, most_bytes=most)
+        assert out.columns == d.columns and got(out, *d.columns) == want
+
+
 def test_toxicity_model(spark, nothing):
     bad = ["grumbold", "snarfic", "wexley"]
     rng = random.Random(3)
