@@ -5,7 +5,8 @@ BUCKETS) and of itself; a segment of
 SEGMENT_WORDS words is the average of its words, and a linear softmax scores it. A text's logit is that of its most toxic
 segment, so that a few words in a long text are not averaged away. Vectors and softmax are trained jointly in numpy: the
 vectors start from smoothed log odds of the n-grams along one axis, then all are descended together on the documents'
-labels, each document by its highest segment. A misspelling that was never seen still shares most n-grams with its word.
+labels, each document by its highest segment. A misspelling that was never seen still shares most n-grams with its word;
+n-grams that training never saw have no vector, so a word is the average of those it did see.
 
 Training takes at most TRAIN_DOCS labelled rows, half of either class where there are enough (those first by a hash of
 doc_id, of texts up to TRAIN_BYTES long); they alone are collected. Scoring takes all texts whole in one narrow pass;
@@ -70,10 +71,12 @@ def segments(wd: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """value: each bucket's share of the logit (its vector times the softmax weights); scale and shift: the softmax's calibration."""
+    """value: each bucket's share of the logit (its vector times the softmax weights); scale and shift: the softmax's calibration; known: the buckets seen in training (all if not given)."""
 
-    def __init__(self, value: np.ndarray | None, scale: float, shift: float):
-        self.value, self.scale, self.shift = value, scale, shift
+    def __init__(self, value: np.ndarray | None, scale: float, shift: float, known: np.ndarray | None = None):
+        self.scale, self.shift = scale, shift
+        self.known = np.ones(BUCKETS, bool) if known is None else known
+        self.value = None if value is None else np.where(self.known, value, 0).astype(np.float32)
 
     def logits(self, t) -> np.ndarray:
         n = len(t.begin)
@@ -83,7 +86,7 @@ class Model:
         out = np.zeros(n)
         if not len(wd):
             return out
-        word = np.bincount(owner, weights=self.value[ids], minlength=len(wd)) / np.bincount(owner, minlength=len(wd))
+        word = np.bincount(owner, weights=self.value[ids], minlength=len(wd)) / np.maximum(1, np.bincount(owner, weights=self.known[ids], minlength=len(wd)))
         seg, sd = segments(wd, n)
         score = np.bincount(seg, weights=word) / np.bincount(seg)
         best = np.full(n, -np.inf)
@@ -175,7 +178,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 12, rate: float = 0
     w = np.where(y[docs] == 1, 0.5 / max(1, (y[docs][own] == 1).sum()), 0.5 / max(1, (y[docs][own] == 0).sum())) * own
     if (y[docs][own] == 1).any() and (y[docs][own] == 0).any():
         scale, shift = calibrate(z, y[docs], w)
-    return Model(value, scale, shift)
+    return Model(value, scale, shift, np.bincount(ids, minlength=BUCKETS) > 0)
 
 
 def remainder(modulus: int) -> Column:

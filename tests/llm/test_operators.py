@@ -370,6 +370,15 @@ def test_toxicity_model(spark, nothing):
     assert toxicity.train(["a"], [1]).value is None
 
 
+def test_toxicity_of_an_unseen_misspelling():
+    rng = random.Random(3)
+    plain = lambda n: " ".join("".join(rng.choice(["ta", "re", "no", "li", "su"]) for _ in range(rng.randint(2, 4))) for _ in range(n))
+    texts = [plain(rng.randint(5, 80)) + (f" {rng.choice(['grumbold', 'snarfic', 'wexley'])}{rng.choice(['', 's', 'ing'])} " + plain(20) if i % 4 == 0 else "") for i in range(400)]
+    m = toxicity.train(texts, [int(i % 4 == 0) for i in range(400)])
+    s = m.scores(pa.array([plain(300), plain(150) + " grumbolld " + plain(150), plain(20) + " qqzzvv"]))
+    assert s[0] < 0.1 and s[1] >= 0.7 and s[2] < 0.1
+
+
 def test_toxicity_held_out(spark):
     r = toxicity.op9_toxicity(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("held_out").toPandas()
     right = r[r.toxic == 1].predicted.mean(), r[r.toxic == 0].predicted.mean()
