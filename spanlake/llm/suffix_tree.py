@@ -1,24 +1,22 @@
 """Language-model scoring by a probabilistic suffix tree.
 
 The symbols are the bytes of the normalised text: A-Z lower-cased, words parted by one blank, one end. A context (up to
-DEPTH last symbols) becomes a node if it is frequent enough (share P_MIN of the training bytes) and its next-symbol
-distribution diverges from that of its parent, the context without its oldest symbol: Kullback-Leibler divergence at
-least LEAST_DIVERGENCE, and LEAST_GAIN in all. Distributions are smoothed towards the parent's in proportion to the number of
-distinct next symbols (Witten-Bell), at the root towards all bytes alike. Every symbol is scored at the node of the
-longest suffix of what stands before it. The product over a word's symbols is the tree's probability of the word.
-
-Outcomes are those of the base score: the V distinct training tokens and one unknown token. The unknown token has the
-share u of training tokens seen once (Good and Turing); a known one (1 - u) (c + V * tree) / (N + V) for its count c among
-all N tokens, so rare words lean on the tree. (These add up to 1 less what the tree gives to words never seen.) The sum over
-a text, end included, is its log10 probability.
-
-Counts cover all training texts: each chunk ships its distinct words and its distinct (DEPTH + 1)-grams with counts;
-buckets add them up. N-grams are dealt by the context's last two symbols, so a node meets its parent in one bucket, and
-P_MIN bounds the tree to DEPTH / P_MIN nodes whatever the corpus: it is what is broadcast, as the transitions of a suffix
-automaton over the nodes (and their prefixes). The counts of words go back to the chunks that asked, never to the driver.
-The added-up counts are written once to the checkpoint folder, from where both the tree and the chunks read them.
-
-Words are told apart by 64-bit hashes. Cases: null and empty texts hold just the end; a null doc_id counts as training
+DEPTH last symbols) is a node of the tree if it stands LEAST_COUNT times or more in training and its next-symbol
+distribution diverges from that of its suffix (the context without its oldest symbol): its count times the Kullback-Leibler
+divergence, which is the log likelihood that the node gains, is LEAST_GAIN or more. Every depth is tested alike; the root
+is always there. A node's distribution is smoothed towards that of its longest suffix in the tree in proportion to the
+number of distinct next symbols (Witten-Bell), the root's towards all 256 bytes alike, so the probabilities of the 256
+next symbols add up to 1 in every state. A text's score is the sum over its symbols, end included, of the log10
+probability at the longest suffix of what stands before that is a node: words never seen are scored like all others.
+
+The tree grows with the corpus and is never gathered in one place: counts cover all training texts. Each chunk ships its
+distinct words and its distinct (DEPTH + 1)-grams with counts; buckets add them up. N-grams are dealt by the context's last
+two symbols, so a context and all its suffixes down to two symbols meet in one bucket, which tests the nodes and sends
+the log10 probability of each distinct n-gram back to the chunks that asked. Only contexts of one symbol and none span
+buckets; their counts, at most 256 * 256 numbers whatever the corpus, are added up first and broadcast. The counts of
+words (for the base score) go back in the same way. The answers are written once to the checkpoint folder.
+
+Words are told apart by 64-bit hashes, n-grams by their bytes. Cases: null and empty texts hold just the end; a null doc_id counts as training
 (its remainder isn't 0); repeated rows count each; very long texts are scored whole; other columns are ignored; an empty
 table gives no rows; without training texts every byte is as likely as any other.
 """
@@ -35,19 +33,17 @@ from pyspark.sql import functions as F
 from .common import LOWER, SPACE, _BYTE_VALUES, answer, buckets_for, by_group, chunked, documents, mix, prefix_hash, range_hash, shared_path, split_sorted, table, text_bytes, text_steps
 from .windows import release
 
-DEPTH = 5
-P_MIN = 1e-5
-LEAST_DIVERGENCE = 0.01
-LEAST_GAIN = 30.0
+DEPTH = 6
+LEAST_COUNT = 2
+LEAST_GAIN = 3.0
 FOLDS = 10
 END = 10  # the byte \n, which no word or blank is
-LANES = 2048
 
 _MASK = [np.uint64((1 << 8 * k) - 1) for k in range(8)]
 _END_WORD = np.uint64(0x656E64)
 
 FOUND = "bucket int,chunk int,hashes binary,counts binary"
-ADDED = "kind int,bucket int,chunk int,a binary,b binary,c binary"
+ADDED = "kind int,bucket int,chunk int,a binary"
 OUT = "doc_id bigint,held_out boolean,n_tokens bigint,n_known bigint,train_tokens bigint,base_score double,score double"
 
 
@@ -103,221 +99,195 @@ def _sums(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[edge], np.add.reduceat(count[order], edge)
 
 
+def _packed(key: np.ndarray) -> bytes:
+    """Sorted keys as byte planes, which compress well in an exchange."""
+    return key.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
+def _dealt(key: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of sorted n-grams by bucket, and the buckets' edges in it. The last two symbols of the context decide."""
+    bucket = (mix((key >> np.uint64(8)) & _MASK[2]) % np.uint64(n_buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+
+
+def pairs(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """How often each symbol follows each in training texts (256 x 256), and the number of training tokens: a scan that sends at most 65,536 sums a task."""
+
+    def run(batches):
+        total, n = np.zeros(1 << 16, np.int64), 0
+        for b in batches:
+            train = ~held(b.column(0).to_pylist())
+            n += int(train.sum())
+            for i, part in text_steps(b.column(1)):
+                s = Symbols(part)
+                learn = train[i : i + s.n]
+                total += np.bincount((s.grams(learn) & _MASK[2]).astype(np.int64), minlength=1 << 16)
+                n += int(learn[s.word_doc].sum())
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], n))], names=["pair", "n"])
+
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out, n = np.zeros(1 << 16, np.int64), 0
+    for r in d.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # at most 65,537 rows
+        if r.pair < 0:
+            n = r.n
+        else:
+            out[r.pair] = r.n
+    return out.reshape(256, 256), n
+
+
+class Stem:
+    """The tree down to contexts of one symbol: counts, and the probability of each symbol after each."""
+
+    def __init__(self, counts: np.ndarray, least_count: int = LEAST_COUNT, least_gain: float = LEAST_GAIN):
+        self.counts = counts.astype(np.float64)
+        self.total, root = self.counts.sum(1), self.counts.sum(0)
+        kinds = (root > 0).sum()
+        self.root = (root + kinds / 256) / (root.sum() + kinds) if kinds else np.full(256, 1 / 256)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = np.where(self.counts > 0, self.counts * np.log((self.counts / self.total[:, None]) / (root / root.sum())), 0).sum(1)
+        self.is_node = (self.total >= least_count) & (gain >= least_gain)
+        n1 = (self.counts > 0).sum(1)
+        smooth = (self.counts + n1[:, None] * self.root) / np.maximum(1, self.total + n1)[:, None]
+        self.prob = np.where(self.is_node[:, None], smooth, self.root)
+
+
+def probabilities(key: np.ndarray, count: np.ndarray, stem: Stem, least_count: int = LEAST_COUNT, least_gain: float = LEAST_GAIN) -> tuple[np.ndarray, int]:
+    """The probability of each distinct n-gram's last symbol at the longest suffix of its context that is a node, and the number of nodes of two symbols or more. All n-grams with the same last two context symbols are there."""
+    p = stem.prob.ravel()[(key & _MASK[2]).astype(np.int64)]
+    n_nodes = 0
+    up_ctx = np.arange(256, dtype=np.uint64)
+    up_total = stem.total
+    up_gram, up_count = np.arange(1 << 16, dtype=np.uint64), stem.counts.ravel()
+    for d in range(2, DEPTH + 1):
+        own = key & _MASK[d + 1]
+        gram, times = _sums(own, count)
+        ctx, total = _sums(gram >> np.uint64(8), times)
+        which = np.searchsorted(ctx, gram >> np.uint64(8))
+        seen = times > 0
+        kinds = np.bincount(which[seen], minlength=len(ctx))
+        g, w = gram[seen], which[seen]
+        parent = up_count[np.searchsorted(up_gram, g & _MASK[d])] / up_total[np.searchsorted(up_ctx, (g >> np.uint64(8)) & _MASK[d - 1])]
+        gain = np.bincount(w, weights=times[seen] * np.log(times[seen] / total[w] / parent), minlength=len(ctx))
+        is_node = (total >= least_count) & (gain >= least_gain)
+        n_nodes += int(is_node.sum())
+        at = np.searchsorted(gram, own)
+        c = which[at]
+        p = np.where(is_node[c], (times[at] + kinds[c] * p) / np.maximum(1, total[c] + kinds[c]), p)
+        up_ctx, up_total, up_gram, up_count = ctx, total, gram, times
+    return p, n_nodes
+
+
+def _distinct(table_: pa.Table, learn_from=None):
+    """What a chunk ships and looks up: (distinct words, their training counts, distinct n-grams, their training counts), and per step its Symbols with the places of its words and n-grams among the distinct ones of the step."""
+    train = ~held(table_["doc_id"].to_pylist())
+    words, weights, grams, times, steps = [np.array([_END_WORD])], [np.array([int(train.sum())])], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
+    for i, part in text_steps(table_["text"]):
+        s = Symbols(part)
+        learn = train[i : i + s.n]
+        w, w_at = np.unique(s.words, return_inverse=True)
+        words.append(w)
+        weights.append(np.bincount(w_at, weights=learn[s.word_doc], minlength=len(w)).astype(np.int64))
+        doc = np.repeat(np.arange(s.n, dtype=np.int32), np.diff(np.append(s.begin_at, len(s.stream))) - DEPTH)
+        g, g_at = np.unique(s.grams(np.ones(s.n, bool)), return_inverse=True)
+        grams.append(g)
+        times.append(np.bincount(g_at, weights=learn[doc], minlength=len(g)).astype(np.int64))
+        if learn_from is not None:
+            steps.append((i, s.n, s.n_words, s.word_doc, w, w_at.astype(np.int32), doc, g, g_at.astype(np.int32)))
+    return (*_sums(np.concatenate(words), np.concatenate(weights)), *_sums(np.concatenate(grams), np.concatenate(times)), steps)
+
+
 def gather(docs: DataFrame, n_buckets: int) -> DataFrame:
-    """FOUND rows: of each chunk its distinct words (buckets from 0) and n-grams (buckets below 0) with their counts in training texts."""
+    """FOUND rows: of each chunk its distinct words (buckets from 0) and n-grams (buckets below 0) with their counts in training texts (0 for those of held-out texts only)."""
 
     def run(t: pa.Table) -> pa.Table:
-        train = ~held(t["doc_id"].to_pylist())
         chunk = t["chunk"][0].as_py()
-        words, weights, grams, times = [np.array([_END_WORD])], [np.array([int(train.sum())])], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for i, part in text_steps(t["text"]):
-            s = Symbols(part)
-            learn = train[i : i + s.n]
-            k, c = _sums(s.words, learn[s.word_doc].astype(np.int64))
-            words.append(k)
-            weights.append(c)
-            k, c = np.unique(s.grams(learn), return_counts=True)
-            grams.append(k)
-            times.append(c)
-        key, count = _sums(np.concatenate(words), np.concatenate(weights))
+        key, count, gram, times, _ = _distinct(t)
         edges = split_sorted(key, n_buckets)
         some = [i for i in range(n_buckets) if edges[i] < edges[i + 1]]
-        rows = [(i, key[edges[i] : edges[i + 1]].tobytes(), count[edges[i] : edges[i + 1]].astype("<u4").tobytes()) for i in some]
-        key, count = _sums(np.concatenate(grams), np.concatenate(times))
-        bucket = (mix((key >> np.uint64(8)) & _MASK[2]) % np.uint64(n_buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+        rows = [(i, _packed(key[edges[i] : edges[i + 1]]), count[edges[i] : edges[i + 1]].astype("<u4").tobytes()) for i in some]
+        order, cut = _dealt(gram, n_buckets)
         for i in range(n_buckets):
             at = order[cut[i] : cut[i + 1]]
             if len(at):
-                rows.append((-1 - i, key[at].tobytes(), count[at].astype("<u4").tobytes()))
+                rows.append((-1 - i, _packed(gram[at]), times[at].astype("<u4").tobytes()))
         return table(FOUND, [r[0] for r in rows], [chunk] * len(rows), [r[1] for r in rows], [r[2] for r in rows])
 
     return by_group(docs, "chunk", run, FOUND)
 
 
-def _nodes(key: np.ndarray, count: np.ndarray, least: float) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(depth, context with next symbol, count) of the nodes among the n-grams of some buckets, and of depth 1."""
-    levels = {d: _sums(key & _MASK[d + 1], count) for d in range(1, DEPTH + 1)}
-    keep: dict[int, np.ndarray] = {}
-    contexts, totals = {}, {}
-    for d in range(1, DEPTH + 1):
-        contexts[d], totals[d] = _sums(levels[d][0] >> np.uint64(8), levels[d][1])
-    for d in range(2, DEPTH + 1):
-        frequent = totals[d] >= least
-        if d > 2:
-            k, c = levels[d]
-            own = np.searchsorted(contexts[d], k >> np.uint64(8))
-            up = np.searchsorted(contexts[d - 1], (k >> np.uint64(8)) & _MASK[d - 1])
-            up_gram = np.searchsorted(levels[d - 1][0], k & _MASK[d])
-            gain = c * np.log((c / totals[d][own]) / (levels[d - 1][1][up_gram] / totals[d - 1][up]))
-            gain = np.bincount(own, weights=gain, minlength=len(contexts[d]))
-            frequent &= (gain >= LEAST_GAIN) & (gain >= LEAST_DIVERGENCE * totals[d])
-        keep[d] = frequent
-    for d in range(DEPTH, 2, -1):  # with a node, its suffixes
-        keep[d - 1] |= np.isin(contexts[d - 1], contexts[d][keep[d]] & _MASK[d - 1])
-    out = [(1, *levels[1])]
-    for d in range(2, DEPTH + 1):
-        at = keep[d][np.searchsorted(contexts[d], levels[d][0] >> np.uint64(8))]
-        out.append((d, levels[d][0][at], levels[d][1][at]))
-    return out
-
-
-def added(found: DataFrame, least: float) -> DataFrame:
-    """ADDED rows: kind 0, for each chunk the corpus's counts of its words; 1, totals of a bucket of words; 2, nodes of a bucket of n-grams."""
+def added(found: DataFrame, stem: Stem) -> DataFrame:
+    """ADDED rows: kind 0, for each chunk the corpus's counts of its words; 1, the distinct words and the nodes of a bucket; 2, for each chunk the log10 probabilities of its n-grams."""
+    shared = found.sparkSession.sparkContext.broadcast(stem)  # 256 x 256 numbers
 
     def run(t: pa.Table) -> pa.Table:
         bucket = t["bucket"][0].as_py()
-        per = [np.frombuffer(x.as_py(), np.uint64) for x in t["hashes"]]
-        key = np.concatenate(per)
-        count = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in t["counts"]]).astype(np.int64)
-        if bucket < 0:
-            nodes = _nodes(*_sums(key, count), least)
-            return table(ADDED, [2] * len(nodes), [d for d, _, _ in nodes], [-1] * len(nodes), [k.tobytes() for _, k, _ in nodes], [c.tobytes() for _, _, c in nodes], [b""] * len(nodes))
-        all_keys, all_counts = _sums(key, count)
-        known = all_counts > 0
-        back = [all_counts[np.searchsorted(all_keys, h)].astype("<i8").tobytes() for h in per]
+        per = [_unpacked(x.as_py()) for x in t["hashes"]]
+        key, count = _sums(np.concatenate(per), np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in t["counts"]]).astype(np.int64))
         n = len(per)
-        totals = np.array([all_counts.sum(), known.sum(), (all_counts == 1).sum()], np.int64).tobytes()
-        return table(ADDED, [0] * n + [1], [bucket] * (n + 1), [*t["chunk"].to_pylist(), -1], [*back, totals], [b""] * (n + 1), [b""] * (n + 1))
+        if bucket < 0:
+            p, nodes = probabilities(key, count, shared.value)
+            value, kind, totals = np.log10(p).astype("<f4"), 2, [0, nodes]
+        else:
+            value, kind, totals = count.astype("<i8"), 0, [int((count > 0).sum()), 0]
+        back = [value[np.searchsorted(key, h)].tobytes() for h in per]
+        return table(ADDED, [kind] * n + [1], [bucket] * (n + 1), [*t["chunk"].to_pylist(), -1], [*back, np.array(totals, np.int64).tobytes()])
 
     return by_group(found, "bucket", run, ADDED)
 
 
-class Tree:
-    """The tree as an automaton: class of each byte, next state and log10 probability by state and class."""
-
-    def __init__(self, rows: list[tuple[int, np.ndarray, np.ndarray]]):
-        levels = {d: _sums(np.concatenate([k for e, k, _ in rows if e == d] or [np.zeros(0, np.uint64)]), np.concatenate([c for e, _, c in rows if e == d] or [np.zeros(0, np.int64)])) for d in range(1, DEPTH + 1)}
-        levels[0] = _sums(levels[1][0] & _MASK[1], levels[1][1])
-        seen = np.sort(np.unique(np.concatenate([levels[0][0], [np.uint64(END)]]))).astype(np.int64)
-        rare = 256 - len(seen)
-        self.classes = np.full(256, len(seen), np.int64)
-        self.classes[seen] = np.arange(len(seen))
-        width = len(seen) + 1
-        base = np.full(width, 1 / 256)
-        base[-1] = rare / 256
-        # nodes, then all their prefixes, by length
-        names: list[tuple[int, int]] = [(0, 0)]
-        for d in range(1, DEPTH + 1):
-            for ctx in np.unique(levels[d][0] >> np.uint64(8)).tolist():
-                names.append((d, ctx))
-        node = {x: i for i, x in enumerate(names)}
-        states = set(node)
-        for d, ctx in names:
-            for k in range(1, d):
-                states.add((k, ctx >> 8 * (d - k)))
-        self.names = sorted(states)
-        state = {x: i for i, x in enumerate(self.names)}
-        n = len(self.names)
-        prob = np.zeros((n, width), np.float64)
-        self.next = np.zeros((n, width), np.int32)
-        shorter = lambda d, ctx: next((k, ctx & int(_MASK[k])) for k in range(d - 1, -1, -1) if (k, ctx & int(_MASK[k])) in state)
-        cuts = {d: (np.unique(levels[d][0] >> np.uint64(8)), levels[d][0] >> np.uint64(8)) for d in range(1, DEPTH + 1)}
-        byte_of = seen.tolist()
-        for i, (d, ctx) in enumerate(self.names):
-            up = base if d == 0 else prob[state[shorter(d, ctx)]]
-            row = up
-            if (d, ctx) in node:
-                if d:
-                    a, b = np.searchsorted(cuts[d][1], np.uint64(ctx), "left"), np.searchsorted(cuts[d][1], np.uint64(ctx), "right")
-                else:
-                    a, b = 0, len(levels[0][0])
-                if b > a:
-                    c = np.zeros(width)
-                    c[self.classes[(levels[d][0][a:b] & _MASK[1]).astype(np.int64)]] = levels[d][1][a:b]
-                    row = (c + (b - a) * up) / (c.sum() + (b - a))
-            prob[i] = row
-            # where each symbol leads: like from the longest shorter suffix, but for contexts that go on from here
-            if d:
-                self.next[i] = self.next[state[shorter(d, ctx)]]
-            if d < DEPTH:
-                for k, byte in enumerate(byte_of):
-                    to = state.get((d + 1, ctx << 8 | byte))
-                    if to is not None:
-                        self.next[i, k] = to
-        each = np.ones(width)
-        each[-1] = max(1, rare)
-        self.log = np.log10(np.maximum(prob / each, 1e-300)).astype(np.float32)
-        self.n_nodes = len(node)
-
-    def scores(self, s: Symbols) -> tuple[np.ndarray, np.ndarray]:
-        """The log10 probability of each word with its blank, and of each document's end: LANES parts of the stream are walked at once, each begun DEPTH symbols early."""
-        width = self.next.shape[1]
-        size = -(-len(s.stream) // LANES)
-        sym = self.classes[s.stream]
-        full = np.full(DEPTH + LANES * size, self.classes[END], np.int64)
-        full[DEPTH : DEPTH + len(sym)] = sym
-        first = np.arange(LANES) * size
-        state = np.zeros(LANES, np.int64)
-        out = np.empty((size, LANES), np.float32)
-        flat_next, flat_log = self.next.ravel(), self.log.ravel()
-        for k in range(DEPTH + size):
-            at = state * width + full[first + k]
-            if k >= DEPTH:
-                out[k - DEPTH] = flat_log[at]
-            state = flat_next[at].astype(np.int64)
-        each = out.T.ravel()[: len(sym)].astype(np.float64)
-        each[~s.real] = 0
-        total = np.append(0, np.cumsum(each))
-        return total[s.word_to] - total[s.word_at], each[s.end_at]
-
-
-def scored(docs: DataFrame, counts: DataFrame, tree: Tree, n_tokens: int, n_distinct: int, n_once: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(tree)  # at most DEPTH / P_MIN nodes
-    types = max(1, n_distinct)
-    unknown = (n_once + 1) / (n_tokens + 2)
-
-    def smooth(count, spelt):
-        return np.where(count > 0, np.log10((count + types * 10.0**spelt) / (n_tokens + types)) + np.log10(1 - unknown), np.log10(unknown))
-
-    norm = np.log10(n_tokens + 0.1 * (n_distinct + 1)) if n_tokens or n_distinct else np.log10(0.1)
+def scored(docs: DataFrame, answers: DataFrame, n_buckets: int, n_tokens: int, n_distinct: int) -> DataFrame:
+    norm = np.log10(n_tokens + 0.1 * (n_distinct + 1))
 
     def run(t: pa.Table, other: pa.Table) -> pa.Table:
-        order = np.argsort(other["bucket"].to_numpy())
-        blobs = other["a"].to_pylist()
-        count = np.concatenate([np.frombuffer(blobs[i], "<i8") for i in order])
+        key, _, gram, _, steps = _distinct(t, True)
+        raw = dict(zip(zip(other["kind"].to_pylist(), other["bucket"].to_pylist(), strict=True), other["a"].to_pylist(), strict=True))
+        blobs = [raw[0, i] for i in range(n_buckets) if (0, i) in raw]
+        log = np.frombuffer(b"".join(blobs), "<i8")
+        known, log = log > 0, np.log10(log + 0.1) - norm
+        order, _ = _dealt(gram, n_buckets)
+        value = np.empty(len(gram))
+        value[order] = np.frombuffer(b"".join(raw[2, -1 - i] for i in range(n_buckets) if (2, -1 - i) in raw), "<f4")
+        end = int(np.searchsorted(key, _END_WORD))
         ids = t["doc_id"].to_pylist()
-        words, owner, spelt, ends, n_words = [np.array([_END_WORD])], [np.zeros(0, np.int64)], [], [], []
-        for i, part in text_steps(t["text"]):
-            s = Symbols(part)
-            words.append(s.words)
-            owner.append(s.word_doc + i)
-            per_word, per_end = shared.value.scores(s)
-            spelt.append(per_word)
-            ends.append(per_end)
-            n_words.append(s.n_words)
-        _, at = np.unique(np.concatenate(words), return_inverse=True)
-        c, owner, n = count[at], np.concatenate(owner), len(ids)
-        log = np.log10(c + 0.1) - norm
-        base = np.bincount(owner, weights=log[1:], minlength=n) + log[0]
-        known = np.bincount(owner, weights=c[1:] > 0, minlength=n) + (c[0] > 0)
-        total = np.bincount(owner, weights=smooth(c[1:], np.concatenate(spelt)), minlength=n) + smooth(c[0], np.concatenate(ends))
-        return table(OUT, t["doc_id"], held(ids), np.concatenate(n_words) + 1, known.astype(np.int64), np.full(n, n_tokens), base, total)
-
-    return answer(docs, counts, run, OUT)
+        n = len(ids)
+        n_words, base, n_known, total = np.zeros(n, np.int64), np.full(n, log[end]), np.full(n, int(known[end])), np.zeros(n)
+        for i, m, words, word_doc, w, w_at, doc, g, g_at in steps:
+            w_at, part = np.searchsorted(key, w)[w_at], slice(i, i + m)
+            n_words[part] = words
+            base[part] += np.bincount(word_doc, weights=log[w_at], minlength=m)
+            n_known[part] += np.bincount(word_doc, weights=known[w_at], minlength=m).astype(np.int64)
+            total[part] = np.bincount(doc, weights=value[np.searchsorted(gram, g)][g_at], minlength=m)
+        return table(OUT, t["doc_id"], held(ids), n_words + 1, n_known, np.full(n, n_tokens), base, total)
+
+    return answer(docs, answers, run, OUT)
 
 
 def learn(docs: DataFrame, path: str | None = None):
-    """(documents dealt by chunk, counts by chunk, tree, tokens, distinct tokens, tokens seen once) of a table."""
+    """(documents dealt by chunk, answers by chunk, buckets, tokens, distinct tokens, nodes) of a table."""
     spark = docs.sparkSession
     total = text_bytes(docs)
+    counts, n_tokens = pairs(docs)
+    stem = Stem(counts)
     dealt = chunked(docs, total=total)
+    n_buckets = buckets_for(spark, total)
     path = path or shared_path(spark, "suffix-tree")
-    added(gather(dealt, buckets_for(spark, total)), max(8.0, P_MIN * total)).write.parquet(path)
+    added(gather(dealt, n_buckets), stem).write.parquet(path)
     release(spark)
-    both = spark.read.parquet(path)
-    totals = np.zeros(3, np.int64)
-    for r in both.where("kind = 1").select("a").collect():  # a row per bucket
+    both = spark.read.schema(ADDED.replace(",", ", ")).parquet(path)
+    totals = np.zeros(2, np.int64)
+    for r in both.where("kind = 1").select("a").collect():  # two numbers a bucket
         totals += np.frombuffer(r.a, np.int64)
-    rows = [(r.bucket, np.frombuffer(r.a, np.uint64), np.frombuffer(r.b, np.int64)) for r in both.where("kind = 2").select("bucket", "a", "b").collect()]  # nodes only
-    tree = Tree(rows)
-    counts = both.where("kind = 0").select("chunk", "bucket", "a")
-    return dealt, counts, tree, *map(int, totals)
+    return dealt, both.where("kind <> 1").select("chunk", "kind", "bucket", "a"), n_buckets, n_tokens, int(totals[0]), int(totals[1] + stem.is_node.sum())
 
 
 def score(docs: DataFrame, path: str | None = None) -> DataFrame:
-    return scored(*learn(docs, path))
+    return scored(*learn(docs, path)[:5])
 
 
 def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
