@@ -2,9 +2,16 @@
 
 A linear-chain conditional random field marks each line of a text as content or boilerplate (Viterbi decoding); the
 share of a text's characters that stand on content lines decides whether the text is kept. The field is trained here,
-in numpy, by gradient ascent on the exact likelihood, over at most TRAIN_DOCS labelled documents (those first by a hash
-of doc_id, each of at most TRAIN_LINES lines); a line takes its document's quality label. What leaves the executors for
-training are line features, not texts. Without labels of both classes, PRIOR is used as it is.
+in numpy, by gradient ascent on the exact likelihood of whole label sequences.
+
+Labels are of documents, not of lines, so lines get their own in two steps. A logistic regression over the lines of all
+training documents gives each line its evidence: what kind of document such lines stand in. A line is content if its
+evidence says so, whatever document it stands in; only where a document's content share would then contradict its quality
+label, its lines turn, those of the weakest evidence first, until it doesn't. So the lines of one text differ, and the
+field learns from real sequences how labels follow each other.
+
+Training takes at most TRAIN_DOCS labelled documents (those first by a hash of doc_id, each of at most TRAIN_LINES lines);
+what leaves the executors for it are line features, not texts. Without labels of both classes, PRIOR is used as it is.
 
 Beside the field stand rules on counts: under 50 words, or over half of the words in repeated 3-word windows, fails.
 
@@ -22,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, Texts, arrow_schema, covered, documents, mix, prefix_hash, range_hash, text_steps, window_counts, _BYTE_VALUES
 
-TRAIN_DOCS = 1200
+TRAIN_DOCS = 3000
 TRAIN_LINES = 64
 CONTENT_SHARE = 0.5
 FEATURES = ("bias", "empty", "few words", "many words", "symbols", "symbol words", "repeated words", "repeated line", "sentence end", "digits", "capitals", "long words")
@@ -112,17 +119,48 @@ def _padded(xs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, n
 
 
-def train(xs: list[np.ndarray], ys: list[int], rounds: int = 60, rate: float = 0.15, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of content over boilerplate, and the 2 x 2 transition scores, at the (regularised) likelihood's maximum."""
+def line_labels(xs: list[np.ndarray], chars: list[np.ndarray], quality: list[int], share: float = CONTENT_SHARE, rounds: int = 40, l2: float = 1e-3) -> list[np.ndarray]:
+    """Labels of the lines (1: content) of documents of known quality: by each line's own evidence, turned only as far as a document's share contradicts its quality."""
+    x = np.concatenate(xs).astype(np.float64)
+    n = np.array([len(d) for d in xs])
+    y = np.repeat(np.array(quality, np.float64), n)
+    weight = np.repeat(np.where(np.array(quality) == 1, 0.5 / max(1, sum(quality)), 0.5 / max(1, len(quality) - sum(quality))) / np.maximum(1, n), n)
+    w = PRIOR.copy()
+    for _ in range(rounds):  # Newton's method
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + l2 * np.eye(len(w))
+        w -= np.linalg.solve(hess, x.T @ (weight * (p - y)) + l2 * (w - PRIOR))
+    out = []
+    for d, c, q in zip(xs, chars, quality, strict=True):
+        e = d @ w
+        label = (e > 0).astype(np.int8)
+        total = max(1, c.sum())
+        for i in np.argsort(np.abs(e), kind="stable"):
+            if ((c @ label) / total >= share) == bool(q):
+                break
+            label[i] = q
+        out.append(label)
+    return out
+
+
+def train(xs: list[np.ndarray], ys: list[np.ndarray], rounds: int = 60, rate: float = 0.15, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of content over boilerplate, and the 2 x 2 transition scores, at the (regularised) likelihood's maximum. ys: a label for each line."""
     w, tr = PRIOR.copy(), np.array([[PRIOR_STAY, 0.0], [0.0, PRIOR_STAY]])
     keep = [i for i, x in enumerate(xs) if len(x)]
-    y = np.array([ys[i] for i in keep])
-    if len(set(y.tolist())) < 2:
+    if len({int(v) for i in keep for v in np.unique(ys[i])}) < 2:
         return w, tr
     x, n = _padded([xs[i] for i in keep])
     docs, steps = x.shape[:2]
     live = np.arange(steps)[None] < n[:, None]
-    share = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum()) / n  # both classes weigh alike
+    y = np.zeros((docs, steps), np.int8)
+    for k, i in enumerate(keep):
+        y[k, : n[k]] = ys[i]
+    mostly = (y.sum(1) * 2 >= n).astype(np.int8)
+    share = np.where(mostly == 1, 0.5 / max(1, (mostly == 1).sum()), 0.5 / max(1, (mostly == 0).sum())) / n  # texts of mostly content and of mostly boilerplate weigh alike
+    true = np.zeros((docs, 2, 2))
+    for p in range(2):
+        for q in range(2):
+            true[:, p, q] = ((y[:, :-1] == p) & (y[:, 1:] == q) & live[:, 1:]).sum(1)
     m1, m2 = [np.zeros(len(w) + 4) for _ in range(2)]
     for k in range(1, rounds + 1):
         e = np.zeros((docs, steps, 2))
@@ -143,9 +181,7 @@ def train(xs: list[np.ndarray], ys: list[int], rounds: int = 60, rate: float = 0
             p = np.exp(np.minimum(0, a[:, t, :, None] + s - z[:, None, None]))
             pair += p * nxt[..., None]
         p1 = np.exp(np.minimum(0, a[..., 1] + b[..., 1] - z[:, None])) * live
-        gw = np.einsum("dt,dtf->f", (live * y[:, None] - p1) * share[:, None], x) - l2 * (w - PRIOR)
-        true = np.zeros((docs, 2, 2))
-        true[np.arange(docs), y, y] = n - 1
+        gw = np.einsum("dt,dtf->f", (live * y - p1) * share[:, None], x) - l2 * (w - PRIOR)
         gt = ((true - pair) * share[:, None, None]).sum(0) - l2 * tr
         g = np.concatenate([gw, gt.ravel()])
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
@@ -203,12 +239,18 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> tuple[np.
                 edges = np.searchsorted(lines.line_doc, np.arange(len(t.begin) + 1))
                 for k in range(len(t.begin)):
                     if 0 < edges[k + 1] - edges[k] <= TRAIN_LINES:
-                        rows.append(lines.x[edges[k] : edges[k + 1]].tobytes())
+                        at = slice(edges[k], edges[k + 1])
+                        rows.append(np.column_stack([lines.x[at], lines.line_chars[at]]).astype(np.float32).tobytes())
                         ys.append(q[i + k])
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(ys, pa.int32())], names=["x", "y"])
 
     got = sorted((r.y, bytes(r.x)) for r in pairs.mapInArrow(run, "x binary, y int").collect())
-    return train([np.frombuffer(x, np.float32).reshape(-1, len(FEATURES)) for _, x in got], [1 if y else 0 for y, _ in got])
+    quality = [1 if y else 0 for y, _ in got]
+    if len(set(quality)) < 2:
+        return train([], [])
+    rows = [np.frombuffer(x, np.float32).reshape(-1, len(FEATURES) + 1) for _, x in got]
+    xs, chars = [r[:, :-1] for r in rows], [r[:, -1] for r in rows]
+    return train(xs, line_labels(xs, chars, quality))
 
 
 JUDGED = "doc_id bigint,n_words bigint,word_chars bigint,n_symbols bigint,n_dup_lines bigint,n_repeat_words bigint,base_failed boolean,content_share double,n_lines bigint,kept boolean"
