@@ -5,9 +5,11 @@ character but digits and lower-case letters a blank, words joined by one blank.
 item (a shorter item is one window). All windows go into one automaton, a blank at both ends of each so that only whole
 words match; a document is scanned once, and what is hit is mapped back to word numbers and to offsets in the original.
 
-The automaton is built from the benchmark, which is collected only after its size is checked against
-MOST_BENCHMARK_BYTES; a larger one is cut into slices of that size, each with its own automaton and scan, and the hits
-of a document are united. Documents are never shuffled for a single slice.
+The automaton is built from the benchmark's windows, which are collected only after their number is checked against
+MOST_WINDOWS (an automaton of so many takes a few hundred megabytes); each worker builds it once. A larger benchmark is
+cut into slices of that size, one at a time on the driver: each slice scans the original texts, its hits are added to a
+table below the checkpoint folder, and all are united once at the end, so slices give what one automaton would.
+Documents are never shuffled.
 
 Cases: null texts have no words, so are never contaminated; items without words have no windows; items with one text
 each count; an item whose id is null counts as one named by the empty string; repeated documents are each reported;
@@ -16,17 +18,17 @@ other columns are ignored; an empty benchmark leaves all clean; an empty table g
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import covered, documents, string_column
+from .common import documents, shared_path, string_column
 
 WINDOW = 10
-MOST_BENCHMARK_BYTES = 32 << 20
+MOST_WINDOWS = 100_000
 
 #: Bytes to normalised bytes: lower case, digits and non-ASCII stay, all else becomes a blank.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -96,134 +98,111 @@ def original_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, in
     return [(int(chars[first[a]]), int(chars[last[b - 1]])) for a, b in runs]
 
 
-def _slices(benchmark: DataFrame, most: int) -> list[list[tuple]]:
-    """The benchmark's items, in slices of at most `most` bytes (one slice where it is within that bound)."""
-    b = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    total = b.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    n = max(1, -(-2 * total // most) if total > most else 1)
+def _slices(benchmark: DataFrame, k: int, most: int):
+    """The benchmark's items, slice after slice of about `most` windows (one slice where there are no more)."""
+    b = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    n_words = F.size(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")  # an empty piece at either end counts, too
+    total = b.agg(F.sum(n_words)).first()[0] or 0
+    n = 1 if total <= most else -(-2 * total // most)
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
     for i in range(n):
-        yield [(r[0] or "", r[1]) for r in (b if n == 1 else b.where(part == i)).collect()]
+        yield i + 1 == n, [(r[0] or "", r[1]) for r in (b if n == 1 else b.where(part == i)).collect()]
+
+
+_MACHINES: dict = {}
+
+
+def _machine(shared, k: int):
+    """The items of a broadcast and their automaton, built once a worker (the last one is held)."""
+    key = (shared.value[0], k)
+    if key not in _MACHINES:
+        _MACHINES.clear()
+        _MACHINES[key] = automaton(shared.value[1], k)
+    return shared.value[1], _MACHINES[key]
+
+
+FOUND, IDS = "__found", "__ids"
+
+
+def found(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW, most: int = MOST_WINDOWS) -> DataFrame:
+    """docs with FOUND, the windows that were hit (first word and last + 1 of each, one after another), and IDS, the items they are from."""
+    spark, out = docs.sparkSession, docs
+    at = docs.columns.index("text")
+    schema = docs.withColumn(FOUND, F.expr("CAST(array() AS ARRAY<INT>)")).withColumn(IDS, F.expr("CAST(array() AS ARRAY<STRING>)")).schema
+    for last, items in _slices(benchmark, k, most):
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, items))  # about MOST_WINDOWS words
+        more = FOUND in out.columns
+
+        def run(batches, shared=shared, more=more):
+            named, machine = _machine(shared, k)
+            for b in batches:
+                spots, ids = ([[] for _ in range(b.num_rows)] for _ in range(2))
+                if more:
+                    spots, ids = b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()
+                    b = b.select(b.schema.names[:-2])
+                for i, text in enumerate(b.column(at)):
+                    _, hit, who = hits(machine, text.as_py() or "")
+                    if hit:
+                        spots[i] = spots[i] + [x for r in united(0, hit) for x in r]
+                        ids[i] = ids[i] + sorted({named[x][0] for x in who})
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(spots, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.string()))], names=[*b.schema.names, FOUND, IDS])
+
+        out = out.mapInArrow(run, schema)
+        if not last:  # this slice is done before the next one is fetched
+            path = shared_path(spark, "benchmark-slice")
+            out.write.parquet(path)
+            out = spark.read.schema(schema).parquet(path)
+            shared.unpersist()
+    return out
 
 
 SCAN = "doc_id long, text string, n_words long, runs array<struct<first:int,last:int>>, items array<string>"
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW, most_bytes: int = MOST_BENCHMARK_BYTES, keep_text: bool = True) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW, most: int = MOST_WINDOWS, keep_text: bool = True) -> DataFrame:
     """Per document: n_words, the disjoint runs of hit words, and the ids of the items with occurring windows (sorted as strings)."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    slices = list(_slices(benchmark, most_bytes))
-    if len(slices) == 1:
-        return _scan_slice(d, slices[0], k, keep_text)
-    # a document's hits in the slices are united under its key
-    raw = [_scan_slice(d, items, k, True) for items in slices]
-    both = raw[0]
-    for p in raw[1:]:
-        both = both.unionByName(p)
-    key = [F.col("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("n_words")]
-    merged = both.where(F.size("runs") > 0).groupBy(*key).agg(F.flatten(F.collect_set("runs")).alias("more_runs"), F.flatten(F.collect_set("items")).alias("more_items"))
-    base = raw[0].withColumn("text_hash", F.xxhash64("text"))
-    m = merged.select(F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_hash"), "more_runs", "more_items")
-    out = base.join(m, base.doc_id.eqNullSafe(m.m_id) & (base.text_hash == m.m_hash), "left")
-
-    def _merge(batches):
-        for b in batches:
-            rows = b.to_pylist()
-            for r in rows:
-                runs = united(0, [(x["first"], x["last"]) for x in r.pop("more_runs") or []])
-                r["runs"] = [{"first": a, "last": z} for a, z in runs]
-                r["items"] = sorted(set(r.pop("more_items") or []))
-            yield pa.RecordBatch.from_pylist(rows, schema=_arrow())
-
-    return out.select("doc_id", "text", "n_words", "more_runs", "more_items").mapInArrow(_merge, SCAN)
-
-
-def _arrow() -> pa.Schema:
-    return pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("runs", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), ("items", pa.list_(pa.string()))])
-
-
-def _scan_slice(d: DataFrame, items: list[tuple], k: int, keep_text: bool) -> DataFrame:
-    shared = d.sparkSession.sparkContext.broadcast(items)  # at most MOST_BENCHMARK_BYTES
+    run_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
     def run(batches):
-        named = shared.value
-        machine = automaton(named, k)
         for b in batches:
-            texts = string_column(b.column(1))
-            n_words, runs, ids = [], [], []
-            for text in texts:
-                n, r, found = hits(machine, text.as_py())
-                n_words.append(n)
-                runs.append([{"first": a, "last": z} for a, z in united(n, r)] if r else [])
-                ids.append(sorted({named[x][0] for x in found}) if found else [])
-            s = _arrow()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.string()) if keep_text else pa.nulls(len(texts), pa.string()), pa.array(n_words, pa.int64()), pa.array(runs, s.field("runs").type), pa.array(ids, s.field("items").type)], schema=s)
-
-    return d.mapInArrow(run, SCAN)
-
-
-FOUND = "__found"
+            n_words = [len(normal_words(x)) for x in string_column(b.column(1)).to_pylist()]
+            runs = [[{"first": a, "last": z} for a, z in united(0, zip(x[::2], x[1::2], strict=True))] for x in b.column(2).to_pylist()]
+            ids = [sorted(set(x)) for x in b.column(3).to_pylist()]
+            text = b.column(1) if keep_text else pa.nulls(b.num_rows, pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), text, pa.array(n_words, pa.int64()), pa.array(runs, run_type), pa.array(ids, pa.list_(pa.string()))], names=["doc_id", "text", "n_words", "runs", "items"])
 
+    return found(d, benchmark, k, most).mapInArrow(run, SCAN)
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW, most_bytes: int = MOST_BENCHMARK_BYTES) -> DataFrame:
-    """Documents (doc_id, text, lang, source, n_chars) without the passages of the benchmark: the runs of words that any slice hits are united, then cut out of the original text."""
-    slices = list(_slices(benchmark, most_bytes))
-    out = docs
-    for items in slices[:-1]:
-        out = _find_slice(out, items, k)
-    return _cut_slice(out, slices[-1], k)
 
-
-def _find_slice(docs: DataFrame, items: list[tuple], k: int) -> DataFrame:
-    """docs with the hits of a slice added to FOUND: first word and last + 1 of each, one after another."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-    names = [x for x in docs.columns if x != FOUND]
-    at, more = names.index("text"), FOUND in docs.columns
-
-    def run(batches):
-        machine = automaton(shared.value, k)
-        for b in batches:
-            found = b.column(len(names)).to_pylist() if more else [[] for _ in range(b.num_rows)]
-            for i, text in enumerate(b.column(at).to_pylist()):
-                if text:
-                    found[i] += [x for r in hits(machine, text)[1] for x in r]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(found, pa.list_(pa.int32()))], names=[*names, FOUND])
-
-    return docs.mapInArrow(run, docs.schema if more else docs.withColumn(FOUND, F.expr("CAST(array() AS ARRAY<INT>)")).schema)
-
-
-def _cut_slice(docs: DataFrame, items: list[tuple], k: int) -> DataFrame:
-    """docs without the words that a slice hits or that are in FOUND."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-    names = [x for x in docs.columns if x != FOUND]
+def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW, most: int = MOST_WINDOWS) -> DataFrame:
+    """The same rows and columns without the passages of the benchmark: all windows that are hit are united, then cut once out of the original text; n_chars follows."""
+    names = docs.columns
     at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
-    more = FOUND in docs.columns
 
     def run(batches):
-        machine = automaton(shared.value, k)
         for b in batches:
-            texts = b.column(at).to_pylist()
-            found = b.column(len(names)).to_pylist() if more else [[]] * len(texts)
+            spots = b.column(len(names)).to_pylist()
             b = b.select(names)
-            changed = False
-            for i, text in enumerate(texts):
-                runs = [*hits(machine, text)[1], *zip(found[i][::2], found[i][1::2], strict=True)] if text else []
-                if runs:
-                    out, last, changed = [], 0, True
-                    for a, z in original_spans(text, united(0, runs)):
-                        out.append(text[last:a])
-                        last = z
-                    texts[i] = "".join(out) + text[last:]
+            changed = [i for i, x in enumerate(spots) if x]
             if changed:
-                cols = list(b.columns)
+                cols, texts = list(b.columns), b.column(at).to_pylist()
+                for i in changed:
+                    out, last = [], 0
+                    for a, z in original_spans(texts[i], united(0, zip(spots[i][::2], spots[i][1::2], strict=True))):
+                        out.append(texts[i][last:a])
+                        last = z
+                    texts[i] = "".join(out) + texts[i][last:]
                 cols[at] = pa.array(texts, b.schema.field(at).type)
                 if size is not None:
                     before = b.column(size).to_pylist()
-                    cols[size] = pa.array([n if n is None or t is None else len(t) for n, t in zip(before, texts, strict=True)], b.schema.field(size).type)
+                    for i in changed:
+                        before[i] = None if before[i] is None else len(texts[i])
+                    cols[size] = pa.array(before, b.schema.field(size).type)
                 b = pa.RecordBatch.from_arrays(cols, schema=b.schema)
             yield b
 
-    return docs.mapInArrow(run, docs.select(names).schema)
+    return found(docs, benchmark, k, most).mapInArrow(run, docs.schema)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
