@@ -6,7 +6,7 @@ filed under its anchor: of the SIZE / 2-word grams that it contains the leftmost
 have equal anchors, and neighbouring windows share theirs, so a run has about a fourteenth as many entries as words.
 
 Steps for a batch: (1) its anchors are sorted and written as a run; (2) the run is merge-joined, bucket by bucket of the
-hash space, with itself and all older runs, which gives its anchors that stand in two or more documents; (3) only windows at
+hash space, with itself and all older runs (each presorted, so the sort merges runs), which gives its anchors that stand in two or more documents; (3) only windows at
 such anchors are verified, in the batch and in the chunks of history that the index names, by two independent hashes of
 their whole word sequence (96 bits), each with the smallest doc_id it starts in; (4) words of the batch under windows that
 start in a smaller document go; (5) the run joins the index, and when there are more than FANOUT runs they are compacted
@@ -40,7 +40,7 @@ SECOND_BASE = 0x2545F4914F6CDD1D
 RUN = "bucket int,chunk int,hashes binary,lows binary,highs binary,owners binary"
 SHARED = "chunk int,hashes binary"
 SEEN = "bucket int,chunk int,hashes binary,checks binary,lows binary,highs binary"
-HITS = "chunk int,hashes binary,lows binary"
+HITS = "chunk int,hashes binary,checks binary,lows binary"
 OUT = "doc_id bigint,n_words bigint,n_removed bigint,kept_sha256 string"
 
 
@@ -216,12 +216,12 @@ def verified(docs: DataFrame, shared: DataFrame, n_buckets: int, size: int = SIZ
         group = np.cumsum(fresh) - 1
         least = np.minimum.reduceat(low, np.flatnonzero(fresh))[group]
         hit = high > least
-        key, least, owner = key[hit], least[hit], owner[hit]
+        key, check, least, owner = key[hit], check[hit], least[hit], owner[hit]
         order = np.argsort(owner, kind="stable")
-        key, least, owner = key[order], least[order], owner[order]
+        key, check, least, owner = key[order], check[order], least[order], owner[order]
         edge = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, int)
         cut = (lambda x: [y.tobytes() for y in np.split(x, edge[1:])]) if len(edge) else (lambda x: [])
-        return table(HITS, owner[edge], cut(key), cut(least))
+        return table(HITS, owner[edge], cut(key), cut(check), cut(least))
 
     return by_group(answer(docs, shared, windows, SEEN), "bucket", smallest, HITS)
 
@@ -231,17 +231,20 @@ def removals(docs: DataFrame, hits: DataFrame, size: int = SIZE, with_text: bool
     ddl = OUT + (",kept string" if with_text else "")
 
     def run(t: pa.Table, other: pa.Table) -> pa.Table:
-        key, least = _joined(other["hashes"], np.uint64), _joined(other["lows"], np.int64)
-        order = np.argsort(key, kind="stable")
-        key, least = key[order], least[order]
+        key, check, least = _joined(other["hashes"], np.uint64), _joined(other["checks"], np.uint32), _joined(other["lows"], np.int64)
+        order = np.lexsort((check, key))
+        key, check, least = key[order], check[order], least[order]
+        rank = np.arange(len(key)) - np.searchsorted(key, key)  # among windows of one first hash
         doc, n_words, n_removed, digest, kept_texts = _ids(t["doc_id"]), [], [], [], []
         for i, part in text_steps(t["text"]):
             gone = None
             if len(key):
                 w = Words(part, size)
-                h, _ = w.window_hashes(w.start)
-                at = np.minimum(np.searchsorted(key, h), len(key) - 1)
-                dup = (key[at] == h) & (least[at] < doc[i + w.doc[w.start]])
+                h, c = w.window_hashes(w.start)
+                at, dup = np.searchsorted(key, h), np.zeros(len(h), bool)
+                for k in range(int(rank.max()) + 1):  # one round, but where first hashes collide
+                    p = np.minimum(at + k, len(key) - 1)
+                    dup |= (key[p] == h) & (check[p] == c) & (least[p] < doc[i + w.doc[w.start]])
                 if dup.any():
                     gone = covered(w.start[dup], size, len(w.doc))
                     removed = np.bincount(w.doc[gone], minlength=w.n)
