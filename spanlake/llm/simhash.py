@@ -28,6 +28,8 @@ from .common import checkpoint_dir, documents, text_steps
 SHINGLE = 3
 THRESHOLD = 2
 SEED = 42
+#: A fingerprint with more than one in so many rows is joined back by broadcast; there are at most so many.
+HOT_SHARE = 1000
 #: Up to this many fingerprints at an anchor are compared bit by bit.
 SMALL_GROUP = 64
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -113,6 +115,7 @@ def forest(fp: np.ndarray, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
         return i
 
     links = []
+    place = {int(x): i for i, x in enumerate(fp)}
 
     def join(i, j):
         a, b = find(i), find(j)
@@ -126,6 +129,13 @@ def forest(fp: np.ndarray, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
             join(int(i), int(j))
         return links
     flips = np.append(np.uint64(0), ONE << np.arange(64, dtype=np.uint64))
+    if threshold == 1:  # a member's points meet other members themselves
+        ordered = np.sort(fp)
+        for i, points in enumerate(fp[:, None] ^ flips[None, 1:]):
+            at = np.minimum(np.searchsorted(ordered, points), len(fp) - 1)
+            for x in points[ordered[at] == points].tolist():
+                join(i, place[x])
+        return links
     who = np.repeat(np.arange(len(fp), dtype=np.int32), 65)
     points = (fp[:, None] ^ flips[None]).ravel()
     order = np.argsort(points, kind="stable")
@@ -205,21 +215,29 @@ def grouped(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, text_hash, fp, component_id, keeper_id, keeper_hash): each document with its group's smallest doc_id and the row to keep of it."""
     checkpoint_dir(docs.sparkSession)
     prints = fingerprints(docs).checkpoint()
+    total = prints.count()
     first = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "text_hash")
-    distinct = prints.groupBy("fp").agg(F.min(first).alias("first"))
+    distinct = prints.groupBy("fp").agg(F.min(first).alias("first"), F.count("*").alias("copies"))
     joined = components(links(distinct, threshold))
-    named = distinct.join(joined, distinct.fp == joined.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
+    named = distinct.join(joined, distinct.fp == joined.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first", "copies")
     best = named.groupBy("root").agg(F.min("first").alias("best"))
-    by_fp = named.select("fp", "root").join(best, "root").select("fp", F.col("best.doc_id").alias("component_id"), F.col("best.doc_id").alias("keeper_id"), F.col("best.text_hash").alias("keeper_hash"))
-    return prints.join(by_fp, "fp").select("doc_id", "text_hash", "fp", "component_id", "keeper_id", "keeper_hash")
+    by_fp = named.select("fp", "root", "copies").join(best, "root").select("fp", F.col("best.doc_id").alias("component_id"), F.col("best.doc_id").alias("keeper_id"), F.col("best.text_hash").alias("keeper_hash"), (F.col("copies") * HOT_SHARE > total).alias("hot")).checkpoint()
+    # at most HOT_SHARE fingerprints have more than that share of all rows each: their copies stay where they are
+    hot = F.broadcast(by_fp.where("hot"))
+    apart = prints.join(hot, "fp").unionByName(prints.join(hot.select("fp"), "fp", "left_anti").join(by_fp.where("NOT hot"), "fp"))
+    return apart.select("doc_id", "text_hash", "fp", "component_id", "keeper_id", "keeper_hash")
 
 
 def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """One document of each group: the one of the smallest doc_id (of equal ids, the smallest text hash); rows that repeat it go."""
+    names, own = docs.columns, F.xxhash64(F.col("text").cast("string"))
+    key = "__text_hash"
+    while key in names:
+        key += "_"
     keep = grouped(docs, threshold).select("keeper_id", "keeper_hash").distinct()
-    d = docs.withColumn("text_hash", F.xxhash64(F.col("text").cast("string")))
-    out = d.join(keep, d.doc_id.cast("long").eqNullSafe(keep.keeper_id) & (d.text_hash == keep.keeper_hash), "left_semi")
-    return out.dropDuplicates(["doc_id", "text_hash"]).select(*docs.columns)
+    d = docs.withColumn(key, own)
+    out = d.join(keep, d["doc_id"].cast("long").eqNullSafe(keep["keeper_id"]) & (d[key] == keep["keeper_hash"]), "left_semi")
+    return out.dropDuplicates(["doc_id", key]).select(*names)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
