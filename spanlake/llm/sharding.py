@@ -16,6 +16,7 @@ hashed as null; other columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import heapq
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -140,16 +141,34 @@ def reshard(docs: DataFrame, old: Column, n_old: int = OLD_SHARDS, n_new: int =
     return placed.withColumn("slot", F.col("first") + F.row_number().over(w) - 1)
 
 
-def rewrite(docs: DataFrame, old: Column, out: str, n_old: int = OLD_SHARDS, n_new: int = NEW_SHARDS) -> list[int]:
-    """Writes the documents of each shard that loses or gains blocks below `out`, one folder a shard; gives those shards' numbers."""
-    keys = ["old", "block", "part"]
+def rewrite(docs: DataFrame, old: Column, out: str, n_old: int = OLD_SHARDS, n_new: int = NEW_SHARDS, folder: str = "shard") -> list[int]:
+    """Rewrites the folders `folder`=0, 1, ... below `out` of those shards that lose or gain blocks; gives their numbers.
+
+    Folders of other shards stay as they are; that of a shard that is left without documents goes. New files are complete
+    below a folder of their own before old ones are replaced, one rename a shard, so `docs` may be read from `out`. All
+    columns of docs are written, whatever their names; only a column named `folder` is an error."""
+    if folder in docs.columns:
+        raise ValueError(f"documents have a column {folder}, too: name the folders otherwise")
+    spark = docs.sparkSession
     rows = sized(docs, old, n_old)
     where, _ = plan(rows, n_old, n_new)
     moved = where.where("old <> shard").select("old", "shard").distinct().collect()  # at most n_old * n_new rows
     touched = sorted({x for r in moved for x in (r.old, r.shard)})
     text = F.col("text").cast("string")
-    d = docs.select("*", F.pmod(old, F.lit(n_old)).cast("int").alias("old"), F.pmod(F.shiftright(F.xxhash64(text), 20), F.lit(BLOCKS)).cast("int").alias("block"), F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(1)), F.lit(PARTS)).cast("int").alias("part"))
-    d.join(F.broadcast(where.select(*keys, "shard")), keys).where(F.col("shard").isin(touched)).drop(*keys).write.mode("overwrite").partitionBy("shard").parquet(out)
+    keys = (F.pmod(old, F.lit(n_old)).cast("int"), F.pmod(F.shiftright(F.xxhash64(text), 20), F.lit(BLOCKS)).cast("int"), F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(1)), F.lit(PARTS)).cast("int"))
+    d = docs.select(F.struct("*").alias("row"), *[k.alias(n) for k, n in zip(keys, ("old", "block", "part"), strict=True)])
+    fresh = d.join(F.broadcast(where.select("old", "block", "part", "shard")), ["old", "block", "part"]).where(F.col("shard").isin(touched)).select("row.*", F.col("shard").alias(folder))
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = lambda *x: jvm.org.apache.hadoop.fs.Path("/".join((out.rstrip("/"), *x)))
+    fs = path().getFileSystem(conf)
+    stage = f"_rewrite-{uuid.uuid4().hex[:12]}"
+    fresh.write.partitionBy(folder).parquet(path(stage).toString())
+    for i in touched:
+        name = f"{folder}={i}"
+        fs.delete(path(name), True)
+        if fs.exists(path(stage, name)) and not fs.rename(path(stage, name), path(name)):
+            raise OSError(f"{name} wasn't put in place; it lies in {stage}")
+    fs.delete(path(stage), True)
     return touched
 
 
