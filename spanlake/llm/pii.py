@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import documents
 
-KEY = "spanlake-pseudonyms-1"
+#: Where the session names the secret key. Without it, texts get the key of tests, which is in this file: anyone can undo it.
+KEY_SETTING = "spark.spanlake.pii.key"
+TEST_KEY = "spanlake-pseudonyms-1"
 ROUNDS = 8
 KINDS = ("email", "card", "phone", "ssn", "ip", "date", "secret")
 
@@ -116,7 +118,7 @@ def _pseudonyms(text: str, key: str, invert: bool) -> str:
         WHEN 'ip' THEN {ip} WHEN 'date' THEN {date} WHEN 'email' THEN {email} WHEN 'secret' THEN {secret} ELSE x.h END))"""
 
 
-def finds(text: str = "text", key: str = KEY, invert: bool = False) -> Column:
+def finds(text: str = "text", key: str = TEST_KEY, invert: bool = False) -> Column:
     """The finds of a text column: array of (k: kind, '' if not valid; h: the find; p: its pseudonym)."""
     none = "CAST(array() AS ARRAY<STRUCT<k: STRING, h: STRING, p: STRING>>)"
     return F.expr(f"CASE WHEN {text} rlike '{QUICK}' THEN {_pseudonyms(text, key, invert)} ELSE {none} END")
@@ -127,14 +129,20 @@ def rebuilt(text: str, found: str) -> Column:
     return F.expr(f"CASE WHEN size({found}) > 0 THEN array_join(flatten(zip_with(split({text}, r'{ANY}', -1), transform({found}, x -> x.p), (g, p) -> array(g, coalesce(p, '')))), '') ELSE {text} END")
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, invert: bool = False) -> DataFrame:
-    """doc_id, text with pseudonyms, and the number of finds of each kind."""
+def session_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, None) or spark.sparkContext.getConf().get(KEY_SETTING, None) or TEST_KEY
+
+
+def pseudonymise(docs: DataFrame, key: str | None = None, invert: bool = False) -> DataFrame:
+    """doc_id, text with pseudonyms, and the number of finds of each kind. The key is the session's if none is given."""
+    key = key or session_key(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("found", finds("text", key, invert))
     return d.select("doc_id", rebuilt("text", "found").alias("text"), *[F.expr(f"CAST(size(filter(found, x -> x.k = '{k}')) AS BIGINT)").alias(f"n_{k}") for k in KINDS])
 
 
-def replace_column(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """The same rows and columns, with pseudonyms in text, and n_chars in step with it."""
+def replace_column(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """The same rows and columns, with pseudonyms in text, and n_chars in step with it. The key is the session's if none is given."""
+    key = key or session_key(docs.sparkSession)
     d = docs.withColumn("__found", finds("text", key)).withColumn("text", rebuilt("text", "__found"))
     if "n_chars" in docs.columns:
         d = d.withColumn("n_chars", F.when(F.size("__found") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
