@@ -27,6 +27,8 @@ from .common import STEP_BYTES, documents, string_column
 
 END_ID = 1
 LONGEST = 2048
+#: Fixed value: the vocabulary's own special token, which is one id wherever it stands in a text.
+SPECIAL = {"<|endoftext|>": 50256}
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int, ids binary"
 
 
@@ -41,10 +43,12 @@ class Encoder:
 
         with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.plain = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        enc = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+        self.plain, self.whole = enc.encode_ordinary, enc.encode
 
     def encode(self, text: str) -> bytes:
-        return array("I", self.plain(text)).tobytes()
+        special = any(x in text for x in SPECIAL)
+        return array("I", self.whole(text, allowed_special="all") if special else self.plain(text)).tobytes()
 
 
 def cuts(n: int, longest: int = LONGEST) -> list[tuple[int, int]]:
