@@ -231,13 +231,17 @@ def split_sorted(h: np.ndarray, n_buckets: int) -> np.ndarray:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; one is set only where none is (tests)."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. Only a local master (tests) may go without: it gets one of its own."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if at is None:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = held.get() if held.isDefined() else None
     if at is None:
-        at = "/tmp/spanlake-checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        import tempfile
+
+        at = f"{tempfile.gettempdir()}/spanlake-checkpoints"
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(at)
     return at
