@@ -32,7 +32,7 @@ def rows():
     """(doc_id, text) with nulls, empties, copies, shared passages and a long text."""
     shared = [sentence(70) for _ in range(3)]
     out = [(i, sentence(R.randint(1, 120)) + "\n" + (R.choice(shared) if R.random() < 0.4 else "") + " " + sentence(20)) for i in range(40)]
-    out += [(100, None), (101, ""), (102, " \n\t"), (None, shared[0]), (None, None), (103, out[3][1]), (104, out[3][1]), (104, out[3][1]), (105, sentence(4000)), (106, "one two"), (107, out[5][1] + " more"), (108, "x" * 5000)]
+    out += [(100, None), (101, ""), (102, " \n\t"), (None, shared[0]), (None, None), (103, out[3][1]), (104, out[3][1]), (104, out[3][1]), (105, sentence(4000)), (106, "one two"), (107, out[5][1] + " more"), (108, "x" * 5000), (109, "Ka <|endoftext|>lo<|endoftext|>")]
     return out
 
 
@@ -56,7 +56,6 @@ def test_packing(docs, rows, nothing):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     want = Counter()
     for i, t in rows:
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 1]
@@ -125,10 +124,19 @@ def test_simhash_dense_group(spark):
             p[max(a, b)] = min(a, b)
         return {x: top(x) for x in p}
 
-    want = classes((int(f[i]), int(f[j])) for i in range(len(f)) for j in range(i) if int(f[i] ^ f[j]).bit_count() <= 2)
-    assert classes(simhash.forest(f)) == want
     df = spark.createDataFrame([(int(x),) for x in f.view(np.int64)], "fp long")
-    assert classes((r.a % 2**64, r.b % 2**64) for r in simhash.links(df).collect()) == want
+    for threshold in (1, 2):
+        want = classes((int(f[i]), int(f[j])) for i in range(len(f)) for j in range(i) if int(f[i] ^ f[j]).bit_count() <= threshold)
+        assert classes(simhash.forest(f, threshold)) == want and len(f) > simhash.SMALL_GROUP
+        assert classes((r.a % 2**64, r.b % 2**64) for r in simhash.links(df, threshold).collect()) == want
+
+
+def test_simhash_keeps_columns_whatever_their_names(docs, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_SHARE", 3)  # copies above a third of the rows go by broadcast, nulls and empties here
+    d = docs.withColumnRenamed("chunk", "text_hash").withColumnRenamed("bucket", "__text_hash").withColumn("fp", F.lit("f"))
+    kept = simhash.keep_one(d)
+    assert kept.columns == d.columns and set(got(kept, "text_hash", "__text_hash", "fp")) == {(1, "c", "f")}
+    assert got(kept, "doc_id") == got(simhash.keep_one(docs), "doc_id")
 
 
 def test_components(spark):
@@ -143,8 +151,32 @@ def test_sharding(docs, rows, nothing, tmp_path):
     for _, g in r.groupby("shard"):
         assert sorted(g.slot) == list(range(len(g)))
     assert sharding.reshard(nothing, F.lit(1)).count() == 0
-    touched = sharding.rewrite(docs, F.xxhash64("text"), str(tmp_path / "out"))
-    assert set(touched) <= set(range(24))
+
+
+def test_sharding_rewrites_only_what_changes(spark, rows, tmp_path):
+    """Files of shards that neither lose nor gain stay; all rows and columns are there after, whatever the columns' names."""
+    made = [(i, t, k, "o", 7, 8) for k, (i, t) in enumerate(rows)]
+    d = spark.createDataFrame(made, "doc_id long, text string, n int, old string, block int, part int")
+    out = str(tmp_path / "out")
+    old = F.xxhash64("text")
+    d.withColumn("shard", F.pmod(old, F.lit(4)).cast("int")).write.partitionBy("shard").parquet(out)
+    touched = sharding.rewrite(d, old, out, 4, 6)
+    first = spark.read.parquet(out)
+    assert got(first, "doc_id", "text", "n", "old", "block", "part") == Counter(made) and touched
+    placed = sharding.reshard(d, old, 4, 6).groupBy("shard").count().collect()
+    assert {r.shard: r["count"] for r in first.groupBy("shard").count().collect()} == {r.shard: r["count"] for r in placed}
+    # all of shard 0 moves into shard 1; 2 has its own size, so its files stay
+    again = spark.createDataFrame([(i, "x" * 92, i % 3) for i in range(90)], "doc_id long, text string, at int")
+    out = str(tmp_path / "again")
+    again.withColumn("shard", F.col("at")).write.partitionBy("shard").parquet(out)
+    before = sorted((tmp_path / "again" / "shard=2").iterdir())
+    fewer = again.where("at <> 0 OR doc_id < 0").unionByName(again.where("at = 0").withColumn("at", F.lit(1)))
+    touched = sharding.rewrite(fewer, F.col("at"), out, 3, 3)
+    assert 1 in touched and sum(r["count"] for r in spark.read.parquet(out).where(F.col("shard").isin(touched)).groupBy("shard").count().collect()) >= 60
+    for i in set(range(3)) - set(touched):
+        assert sorted((tmp_path / "again" / f"shard={i}").iterdir()) == before
+    with pytest.raises(ValueError):
+        sharding.rewrite(first, old, out)
 
 
 def test_min_cost_flow():
@@ -201,6 +233,59 @@ def test_pii_any_area_code_and_secrets_of_letters(spark):
     assert [r.text for r in back][:3] == t[:3]
 
 
+def feistel(kind, n, key, left, right, a, b):
+    """The permutation again, in plain Python."""
+
+    def mask(i, half, size):
+        return int(hashlib.sha256(f"{key}:{kind}:{n}:{i}:{half}".encode()).hexdigest()[:14], 16) % size
+
+    for i in range(1, pii.ROUNDS + 1):
+        if i % 2:
+            left = (left + mask(i, right, a)) % a
+        else:
+            right = (right + mask(i, left, b)) % b
+    return left, right
+
+
+def test_pii_against_plain_python(spark):
+    import datetime
+
+    rng = random.Random(8)
+    rows, want = [], []
+    for _ in range(60):
+        n = rng.randint(10**9, 10**10 - 1)
+        x, y = feistel("phone", "", "k2", n // 10**7, n % 10**7, 1000, 10**7)
+        rows.append(f"{n // 10**7:03}-{n // 10**4 % 1000:03}-{n % 10**4:04}")
+        want.append(f"{x:03}-{y // 10**4:03}-{y % 10**4:04}")
+        o = [rng.randrange(256) for _ in range(4)]
+        x, y = feistel("ip", "", "k2", o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536)
+        rows.append(".".join(map(str, o)))
+        want.append(f"{x // 256}.{x % 256}.{y // 256}.{y % 256}")
+        day = rng.randrange(73048)
+        x, y = feistel("date", "", "k2", day // 397, day % 397, 184, 397)
+        rows.append(str(datetime.date(1900, 1, 1) + datetime.timedelta(day)))
+        want.append(str(datetime.date(1900, 1, 1) + datetime.timedelta(x * 397 + y)))
+        body = f"4{rng.randrange(10**14):014}"
+        luhn = lambda d: str(-sum(sum(divmod(int(c) * (2 - i % 2), 10)) for i, c in enumerate(d)) % 10)
+        x, y = feistel("card", "16", "k2", int(body[1:8]), int(body[8:]), 10**7, 10**7)
+        rows.append(body + luhn(body))
+        fresh = f"4{x:07}{y:07}"
+        want.append(fresh + luhn(fresh))
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert [r.text for r in pii.pseudonymise(d, "k2").orderBy("doc_id").collect()] == want
+
+
+def test_pii_key_of_the_session(spark):
+    d = spark.createDataFrame([(1, "212-555-1234")], "doc_id long, text string")
+    plain = pii.pseudonymise(d).first().text
+    spark.conf.set(pii.KEY_SETTING, "another")
+    try:
+        assert pii.pseudonymise(d).first().text == pii.pseudonymise(d, "another").first().text != plain
+        assert pii.replace_column(d).first().text == pii.pseudonymise(d, "another").first().text
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
 def test_pii_is_a_permutation(spark):
     n = 2000
     d = spark.range(n).select(F.col("id").alias("doc_id"), F.format_string("2%02d-5%02d-%04d", F.col("id") % 7, F.col("id") % 11, F.col("id")).alias("text"))
@@ -209,18 +294,22 @@ def test_pii_is_a_permutation(spark):
 
 def test_suffix_dedup(docs, rows, nothing):
     raw = [(t or "").encode() for _, t in rows]
-    for size, gram in ((400, 160), (60, 24)):
+    def under(size):
         seen = Counter(b[i : i + size] for b in raw for i in range(len(b) - size + 1))
-        want = Counter()
-        for (i, _), b in zip(rows, raw, strict=True):
+        for b in raw:
             gone = np.zeros(len(b), bool)
             for k in range(len(b) - size + 1):
                 if seen[b[k : k + size]] > 1:
                     gone[k : k + size] = True
+            yield gone
+
+    for size, short, gram in ((400, 250, 100), (60, 40, 24), (60, 60, 24)):
+        want = Counter()
+        for (i, _), b, gone, twin in zip(rows, raw, under(size), under(short), strict=True):
             spans = int(np.sum(gone & ~np.append(False, gone[:-1]))) if len(b) else 0
-            want[i, len(b), int(gone.sum()), spans, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()] += 1
-        for hot in (suffixes.HOT, 3, 1):  # grams that stand more often go another way
-            assert got(suffixes.dedup(docs, size, gram, hot=hot), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+            want[i, len(b), int(gone.sum()), spans, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest(), int(twin.sum())] += 1
+        for hot in (suffixes.HOT, 3, 1):  # strings of grams that stand more often are dealt one by one
+            assert got(suffixes.dedup(docs, size, gram, hot=hot, short=short), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated") == want
     assert suffixes.dedup(nothing).count() == 0
 
 
@@ -230,12 +319,12 @@ def test_suffix_dedup_of_a_hot_line(spark):
     line, word = "".join(r.choice("abcdef ") for _ in range(90)), lambda: "".join(r.choice("ghijkl ") for _ in range(70))
     made = [(i, word() + line + word()) for i in range(300)] + [(300 + i, "x" * i + made_of) for i, made_of in enumerate([word() + line] * 3)]
     d = spark.createDataFrame(made, "doc_id long, text string")
-    columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated")
     want = got(suffixes.dedup(d, 60, 24), *columns)
     assert got(suffixes.dedup(d, 60, 24, hot=50), *columns) == want and sum(k[2] > 0 for k in want) == 303
     dealt = suffixes.chunked(d)
-    shared = suffixes.twice(suffixes.grams(dealt, 24, 60, 24), 50)
-    sent = suffixes.runs(dealt, shared, 24, 60, 24)
+    shared = suffixes.twice(suffixes.grams(dealt, 24, 60, 60, 24), 50)
+    sent = suffixes.runs(dealt, shared, 24, 60, 60, 24)
     assert sent.where("run is not null").count() < sent.where("strings is not null").count()
 
 
@@ -244,7 +333,7 @@ def test_anchors_fall_evenly():
 
     r = np.random.default_rng(3)
     text = Texts(np.frombuffer(r.choice(np.frombuffer(b"abcdefgh ", np.uint8), 200_000).tobytes(), np.uint8), np.array([0, 200_000]))
-    for key in (suffixes.Anchors(text, 400, 160).gram, np.unique(windows.Words(text, 50).anchors())):
+    for key in (suffixes.Anchors(text, 400, 250, 100).gram, np.unique(windows.Words(text, 50).anchors())):
         share = np.bincount((key >> np.uint64(61)).astype(int), minlength=8) / len(key)
         assert len(key) > 500 and share.min() > 0.07 and share.max() < 0.2
 
@@ -253,7 +342,7 @@ def test_loser_tree():
     words = [("".join(R.choice("ab") for _ in range(R.randint(0, 9)))).encode() for _ in range(200)]
     for _ in range(30):
         parts = [sorted(R.sample(words, R.randint(0, 30))) for _ in range(R.randint(1, 9))]
-        tree = suffixes.LoserTree([suffixes.decode(suffixes.encode([(x, b"l", 7, 1) for x in p])) for p in parts])
+        tree = suffixes.LoserTree([suffixes.decode(suffixes.encode([(x, b"l", 7, 1, 3) for x in p])) for p in parts])
         before, out = b"", []
         for same, _, item in tree:
             assert same == suffixes.common(before, item[1])
@@ -327,8 +416,8 @@ def test_decontaminate(spark, docs, rows, nothing):
                     hit.update(range(k, k + n))
                     ids |= win[tuple(w[k : k + n])]
         want[i, len(w), len(hit), tuple(sorted(ids))] += 1
-    for most in (decontaminate.MOST_BENCHMARK_BYTES, 400):
-        s = decontaminate.scan(docs, bench, most_bytes=most).collect()
+    for most in (decontaminate.MOST_WINDOWS, 60):
+        s = decontaminate.scan(docs, bench, most=most).collect()
         assert Counter((r.doc_id, r.n_words, sum(x.last - x.first for x in r.runs), tuple(r["items"])) for r in s) == want
     assert decontaminate.scan(nothing, bench).count() == 0
     assert decontaminate.scan(docs, bench.where("false")).where("size(runs) > 0").count() == 0
@@ -344,8 +433,8 @@ def test_decontaminate_cuts_once_for_all_slices(spark):
     made = [(i, f"Before {' '.join(w)}, after.", 0) for i, w in enumerate(words)] + [(99, None, None), (100, "", 0), (101, "clean", 5)]
     d = spark.createDataFrame(made, "doc_id long, text string, n_chars int")
     want = Counter({(i, "Before , after.", 15): 1 for i in range(12)} | {x: 1 for x in made[12:]})
-    for most in (decontaminate.MOST_BENCHMARK_BYTES, 700):
-        out = decontaminate.decontaminate(d, bench, most_bytes=most)
+    for most in (decontaminate.MOST_WINDOWS, 60):
+        out = decontaminate.decontaminate(d, bench, most=most)
         assert out.columns == d.columns and got(out, *d.columns) == want
 
 
@@ -362,7 +451,7 @@ def test_toxicity_model(spark, nothing):
         labels.append(int(y))
     m = toxicity.train(texts, labels)
     s = m.scores(pa.array([plain(300), plain(150) + " grumbolld " + plain(150), "snarfics", "", None]))
-    assert s[0] < 0.1 and s[1] > 20 * s[0] and s[2] >= 0.7 and s[3] < 0.1 and s[3] == s[4]
+    assert s[0] < 0.1 and s[1] >= 0.7 and s[2] >= 0.7 and s[3] < 0.1 and s[3] == s[4]
     d = spark.createDataFrame([(1, "x"), (None, None), (2, "")], "doc_id long, text string")
     out = toxicity.score(d, m).collect()
     assert [r.held_out for r in out] == [zlib.crc32(b"1") % 3 == 1, False, zlib.crc32(b"2") % 3 == 1] and all(0 <= r.score <= 1 for r in out)
@@ -379,10 +468,60 @@ def test_toxicity_of_an_unseen_misspelling():
     assert s[0] < 0.1 and s[1] >= 0.7 and s[2] < 0.1
 
 
+def test_toxicity_gradient():
+    """The gradients of the pooled softmax loss against differences of the loss."""
+    from spanlake.llm.common import text_steps
+
+    rng = np.random.default_rng(5)
+    ((_, t),) = text_steps(pa.array([sentence(30), "grumbold you snarfic", "", sentence(9)]))
+    b, y, weight = toxicity.Bags(t), np.array([0, 1, 1, 0]), np.array([0.5, 1.0, 2.0, 1.5])
+    vector, softmax, bias = rng.normal(0, 1, (toxicity.BUCKETS, toxicity.DIM)), rng.normal(0, 1, (toxicity.DIM, 2)), rng.normal(0, 1, 2)
+    loss = lambda v, s, c: toxicity.gradients(b, y, weight, v, s, c)[0]
+    _, used, by_vector, by_softmax, by_bias = toxicity.gradients(b, y, weight, vector, softmax, bias)
+
+    def slope(value, at, f):
+        kept, out = value[at], []
+        for step in (1e-5, -1e-5):
+            value[at] = kept + step
+            out.append(f())
+        value[at] = kept
+        return (out[0] - out[1]) / 2e-5
+
+    f = lambda: loss(vector, softmax, bias)
+    for i in rng.integers(0, len(used), 25):
+        d = int(rng.integers(toxicity.DIM))
+        assert slope(vector, (used[i], d), f) == pytest.approx(by_vector[i, d], rel=1e-3, abs=1e-7)
+    for d in range(toxicity.DIM):
+        for c in (0, 1):
+            assert slope(softmax, (d, c), f) == pytest.approx(by_softmax[d, c], rel=1e-3, abs=1e-7)
+    assert slope(bias, 1, f) == pytest.approx(by_bias[1], rel=1e-3)
+
+
+def test_toxicity_scores_by_plain_averages():
+    """A model's logits against averages and pooling in plain Python."""
+    rng = np.random.default_rng(6)
+    value, known = rng.normal(0, 1, toxicity.BUCKETS), rng.random(toxicity.BUCKETS) < 0.7
+    m = toxicity.Model(value, 1.0, 0.0, known, 0.3, -2.0)
+    texts = [sentence(n) for n in (1, 7, 8, 9, 12, 13, 40)] + [""]
+    from spanlake.llm.common import text_steps
+
+    def bag(word):
+        ((_, t),) = text_steps(pa.array([word]))
+        return toxicity.subwords(t)[0].tolist()
+
+    for text, score in zip(texts, m.scores(pa.array(texts)), strict=True):
+        w, z = text.split(), []
+        for i in range(0, max(1, len(w) - 4), 4) if w else ():
+            ids = [x for word in w[i : i + 8] for x in bag(word) if known[x]]
+            z.append(sum(float(np.float32(value[x])) for x in ids) / max(1, len(ids)) + 0.3)
+        want = math.log(sum(math.exp(4 * x) for x in z) / len(z)) / 4 if z else -2.0
+        assert score == pytest.approx(1 / (1 + math.exp(-want)), rel=1e-4)
+
+
 def test_toxicity_held_out(spark):
     r = toxicity.op9_toxicity(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("held_out").toPandas()
     right = r[r.toxic == 1].predicted.mean(), r[r.toxic == 0].predicted.mean()
-    assert right[0] > 0.75 and right[1] < 0.05
+    assert right[0] > 0.8 and right[1] < 0.04
     assert r[r.toxic == 1].score.mean() > 2 * r[r.toxic == 0].score.mean()
 
 
@@ -423,39 +562,103 @@ def test_viterbi_is_the_best_path():
 
 
 def test_quality_held_out(spark):
+    """A fifth of the labels is never learnt from; labels of lines differ within a text."""
     sf = "/root/testdata/sf0.1"
-    r = quality.op10_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("not base_failed").toPandas()
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    own = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    r = quality.judge(docs, quality.fit(docs, labels.where(~own))).join(labels.where(own), "doc_id").where("not base_failed").toPandas()
     assert r[r.quality == 1].kept.mean() > 0.98 and r[r.quality == 0].kept.mean() < 0.05
+    assert ((r.content_share > 0) & (r.content_share < 1)).sum() > 20
+
+
+def test_quality_labels_lines_of_one_text(spark):
+    """Half prose, half junk: each line gets its own label, and the share lies between."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice(["ta", "re", "no", "li"]) for _ in range(rng.randint(1, 4)))
+    prose = lambda: " ".join(word() for _ in range(14)).capitalize() + "."
+    junk = lambda: " | ".join(word() for _ in range(14))
+    made, known = [], []
+    for i in range(200):
+        good = i % 2 == 0
+        lines = [prose() if (rng.random() < 0.9) == good else junk() for _ in range(10)]
+        made.append((i, "\n".join(lines)))
+        known.append((i, int(good)))
+    half = "\n".join([prose() for _ in range(6)] + [junk() for _ in range(6)])
+    d = spark.createDataFrame(made, "doc_id long, text string")
+    m = quality.fit(d, spark.createDataFrame(known, "doc_id long, quality int"))
+    out = quality.judge(spark.createDataFrame([(1, half)], "doc_id long, text string"), m).first()
+    assert 0.3 < out.content_share < 0.7 and out.n_lines == 12
+    from spanlake.llm.common import text_steps
+
+    ((_, t),) = text_steps(pa.array([half]))
+    v = quality.Lines(t)
+    label = quality.viterbi(v.x, v.line_doc, 1, *m)
+    assert label[:6].sum() >= 5 and label[6:].sum() <= 1
+    r = quality.judge(d, m).join(spark.createDataFrame(known, "doc_id long, quality int"), "doc_id").toPandas()
+    assert (r.kept == (r.quality == 1)).mean() > 0.9
+
+
+def test_line_labels_agree_with_their_documents():
+    rng = np.random.default_rng(3)
+    xs = [rng.normal(size=(n, len(quality.FEATURES))) for n in rng.integers(1, 9, 60)]
+    chars, q = [rng.integers(0, 50, len(x)) + 1 for x in xs], rng.integers(0, 2, 60).tolist()
+    for c, y, k in zip(chars, quality.line_labels(xs, chars, q), q, strict=True):
+        assert ((c @ y) / c.sum() >= quality.CONTENT_SHARE) == bool(k)
+
+
+def test_field_follows_the_likelihood():
+    """The trained field beats its start, and fits labels that alternate only through its transitions."""
+    xs, ys = [np.ones((8, len(quality.FEATURES)), np.float32) * 0 for _ in range(30)], [np.arange(8) % 2 for _ in range(30)]
+    _, tr = quality.train(xs, ys, rounds=200)
+    assert tr[0, 1] > tr[0, 0] + 1 and tr[1, 0] > tr[1, 1] + 1
+    assert (quality.train([], [])[0] == quality.PRIOR).all()
 
 
 def test_suffix_tree(spark, docs, rows, nothing):
-    dealt, counts, tree, n, v, once = suffix_tree.learn(docs)
-    out = suffix_tree.scored(dealt, counts, tree, n, v, once).collect()
-    c = Counter()
+    """Counts, divergence tests, smoothing and scores, all built again in dictionaries."""
+    out = suffix_tree.score(docs).collect()
     tokens = [[*WORD.findall(lower(t or "")), "\n"] for _, t in rows]
     is_held = [i is not None and zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows]
-    for w, h in zip(tokens, is_held, strict=True):
+    deep = suffix_tree.DEPTH
+    stream = [b"\n" * deep + b"".join(x.encode() + b" " for x in w[:-1]) + b"\n" for w in tokens]
+    c, after = Counter(), {}
+    for w, seq, h in zip(tokens, stream, is_held, strict=True):
         if not h:
             c.update(w)
-    assert (n, v, once) == (sum(c.values()), len(c), sum(x == 1 for x in c.values()))
-    state = {x: i for i, x in enumerate(tree.names)}
-    u = (once + 1) / (n + 2)
+            for k in range(deep, len(seq)):
+                for d in range(deep + 1):
+                    after.setdefault(seq[k - d : k], Counter())[seq[k]] += 1
+    nodes = {b""}
+    for ctx, nxt in after.items():
+        if ctx:
+            n, up = sum(nxt.values()), after[ctx[1:]]
+            gain = sum(m * math.log((m / n) / (up[x] / sum(up.values()))) for x, m in nxt.items())
+            if n >= suffix_tree.LEAST_COUNT and gain >= suffix_tree.LEAST_GAIN:
+                nodes.add(ctx)
+
+    def p(ctx, x):
+        if ctx not in nodes:
+            return p(ctx[1:], x)
+        nxt = after.get(ctx, Counter())
+        n, kinds = sum(nxt.values()), len(nxt)
+        return (nxt[x] + kinds * (p(ctx[1:], x) if ctx else 1 / 256)) / (n + kinds)
+
+    n, v = sum(c.values()), len(c)
     want = []
-    for (i, _), w, h in zip(rows, tokens, is_held, strict=True):
+    for (i, _), w, seq, h in zip(rows, tokens, stream, is_held, strict=True):
         base = sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)
-        seq, total, spelt, k0 = b"\n" * 5 + b"".join(x.encode() + b" " for x in w[:-1]) + b"\n", 0.0, 0.0, 0
-        for k in range(5, len(seq)):
-            d = next(d for d in range(5, -1, -1) if (d, int.from_bytes(seq[k - d : k], "big")) in state)
-            spelt += float(tree.log[state[d, int.from_bytes(seq[k - d : k], "big")], tree.classes[seq[k]]])
-            if seq[k] in (32, 10):
-                x = c[w[k0]]
-                total += math.log10((x + v * 10**spelt) / (n + v) * (1 - u)) if x else math.log10(u)
-                spelt, k0 = 0.0, k0 + 1
+        total = sum(math.log10(p(seq[k - deep : k], seq[k])) for k in range(deep, len(seq)))
         want.append((i, h, len(w), sum(c[x] > 0 for x in w), n, base, total))
     key = lambda r: (r[0] is None, r[0] or 0, r[2], round(r[5], 3))
     for a, b in zip(sorted(map(tuple, out), key=key), sorted(want, key=key), strict=True):
-        assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], rel=1e-9) and a[6] == pytest.approx(b[6], rel=1e-3)
+        assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], rel=1e-9) and a[6] == pytest.approx(b[6], rel=1e-5)
+    assert suffix_tree.learn(docs)[5] == len(nodes) - 1
+    for ctx in [b"", b"a", b"ka", max(nodes, key=len)]:  # a distribution in every state
+        assert sum(p(ctx, x) for x in range(256)) == pytest.approx(1)
     assert suffix_tree.score(nothing).count() == 0
+    unlearnt = spark.createDataFrame([(i, "ab") for i in range(2000) if zlib.crc32(str(i).encode()) % 10 == 0], "doc_id long, text string")
+    assert set(got(suffix_tree.score(unlearnt), "held_out", "n_known", "train_tokens")) == {(True, 0, 0)}
+    assert suffix_tree.score(unlearnt).first().score == pytest.approx(-4 * math.log10(256))
 
 
 def test_suffix_tree_beats_base(spark):
@@ -479,3 +682,15 @@ def test_pipeline(spark):
 
     kept = op10_quality(spark, SF).where("kept").select("doc_id")
     assert packed and {r.doc_id for r in packed} <= {r.doc_id for r in kept.collect()} and labels.count()
+
+
+def test_pipeline_on_nulls_and_an_empty_table(spark):
+    """Each stage on null texts, ids and other columns, on repeated rows, and on no rows."""
+    import corpus_pipeline
+
+    odd = [(None, None, None, None, None), (1, None, "en", "s", 0), (2, "", None, None, 0), (2, "", None, None, 0), (3, "ka lo " * 40, "en", None, None)]
+    d = spark.createDataFrame(odd, spark.read.parquet(f"{SF}/documents.parquet").schema)
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, d, SF).count() > 0 and stage(spark, d.where("false"), SF).count() == 0
+    first = corpus_pipeline.STAGES[0][1]
+    assert first(spark, d, SF).count() == 0 and first(spark, d.where("false"), SF).count() == 0
