@@ -51,8 +51,8 @@ SLICE_BYTES = 1 << 19
 
 GRAMS = "bucket int,chunk int,hashes binary,counts binary"
 SHARED = "chunk int,hashes binary,hot binary"
-RUN = "bucket int,chunk int,run binary,strings binary,checks binary,many binary"
-HITS = "chunk int,classes binary,spans binary,strings binary,checks binary"
+RUN = "bucket int,chunk int,run binary,strings binary,checks binary,many binary,hot binary"
+HITS = "chunk int,classes binary,spans binary,strings binary,checks binary,hot binary"
 OUT = "doc_id bigint,n_bytes bigint,n_removed bigint,n_spans bigint,kept_sha256 string,n_repeated bigint"
 
 
@@ -268,15 +268,17 @@ def runs(docs: DataFrame, shared: DataFrame, n_buckets: int, size: int = SIZE, s
                 else:
                     held[cls] = [g // width, raw[at:stop], raw[low:at], cls, 0, high - low + 1]
         entries = sorted(held.values())
-        chunk, out, i = t["chunk"][0].as_py(), ([], [], [], [], [], []), 0
+        chunk, out, i = t["chunk"][0].as_py(), ([], [], [], [], [], [], []), 0
         while i < len(entries):
             j = i
             while j < len(entries) and entries[j][0] == entries[i][0]:
                 j += 1
-            for column, v in zip(out, (entries[i][0], chunk, encode([tuple(e[1:]) for e in entries[i:j]]), None, None, None), strict=True):
+            for column, v in zip(out, (entries[i][0], chunk, encode([tuple(e[1:]) for e in entries[i:j]]), None, None, None, None), strict=True):
                 column.append(v)
             i = j
         if strings:
+            for column, v in zip(out, (chunk % n_buckets, chunk, None, None, None, None, wanted[hot].tobytes()), strict=True):  # the chunk will ask for these grams' strings
+                column.append(v)
             key, check = (np.concatenate(x) for x in zip(*strings, strict=True))
             order = np.lexsort((check, key))
             key, check = key[order], check[order]
@@ -287,7 +289,7 @@ def runs(docs: DataFrame, shared: DataFrame, n_buckets: int, size: int = SIZE, s
             for i in range(n_buckets):
                 part = slice(edges[i], edges[i + 1])
                 if edges[i] < edges[i + 1]:
-                    for column, v in zip(out, (i, chunk, None, key[part].tobytes(), check[part].tobytes(), np.packbits(count[part] > 1).tobytes()), strict=True):
+                    for column, v in zip(out, (i, chunk, None, key[part].tobytes(), check[part].tobytes(), np.packbits(count[part] > 1).tobytes(), None), strict=True):
                         column.append(v)
         return table(RUN, *out)
 
@@ -337,13 +339,16 @@ def merged(run_rows: DataFrame, size: int = SIZE, short: int = SHORT, gram: int
     """HITS rows: for each chunk its neighbourhoods (by class) in which strings of `size` bytes are found twice, and which; and those hashes of hot grams' strings that are found twice."""
 
     def run(t: pa.Table) -> pa.Table:
-        out = ([], [], [], [], [])
+        out = ([], [], [], [], [], [])
+        asked = t.filter(pc.is_valid(t["hot"]))
+        for column, v in zip(out, (asked["chunk"].to_pylist(), *[[None] * asked.num_rows] * 4, asked["hot"].to_pylist()), strict=True):
+            column.extend(v)
         apart = t.filter(pc.is_valid(t["strings"]))
         if apart.num_rows:
             per, checks = ([np.frombuffer(x.as_py(), np.uint64) for x in apart[c]] for c in ("strings", "checks"))
             counts = [1 + np.unpackbits(np.frombuffer(m.as_py(), np.uint8), count=len(h)) for m, h in zip(apart["many"], per, strict=True)]
             for i, at, _ in found_twice(per, counts, None, checks):
-                for column, v in zip(out, (apart["chunk"][i].as_py(), None, None, per[i][at].tobytes(), checks[i][at].tobytes()), strict=True):
+                for column, v in zip(out, (apart["chunk"][i].as_py(), None, None, per[i][at].tobytes(), checks[i][at].tobytes(), None), strict=True):
                     column.append(v)
         t = t.filter(pc.is_valid(t["run"]))
         if not t.num_rows:
@@ -390,6 +395,7 @@ def merged(run_rows: DataFrame, size: int = SIZE, short: int = SHORT, gram: int
             out[2].append(np.array([r[1:] for r in rows], np.uint16).tobytes())
             out[3].append(None)
             out[4].append(None)
+            out[5].append(None)
         return table(HITS, *out)
 
     return by_group(run_rows, "bucket", run, HITS)
@@ -406,6 +412,7 @@ def rebuilt(docs: DataFrame, hits: DataFrame, size: int = SIZE, short: int = SHO
         strings, checks = _all(other["strings"], np.uint64), _all(other["checks"], np.uint64)
         order = np.lexsort((checks, strings))
         strings, checks = strings[order], checks[order]
+        hot = np.sort(_all(other["hot"], np.uint64))
         deep = int((np.arange(len(strings)) - np.searchsorted(strings, strings)).max(initial=0)) + 1  # 1, but where first hashes collide
         rows = ([], [], [], [], [])
         texts = []
@@ -417,10 +424,11 @@ def rebuilt(docs: DataFrame, hits: DataFrame, size: int = SIZE, short: int = SHO
                 n = last - first
                 which = np.repeat(np.arange(len(n)), n)
                 hit = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+                apart = np.isin(a.gram, hot) if len(strings) else np.zeros(len(a.at), bool)
                 for kind, length, flags in ((0, size, gone), (1, short, twin)):
                     diff = np.zeros(len(part.buf) + 1, np.int32)
-                    if len(strings) and len(a.at):
-                        start = a.starts(np.ones(len(a.at), bool), length, short)
+                    if apart.any():
+                        start = a.starts(apart, length, short)
                         key, check = a.strings(start, length)
                         at, found = np.searchsorted(strings, key), np.zeros(len(key), bool)
                         for k in range(deep):
