@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, SPACE, _BYTE_VALUES, answer, buckets_for, by_group, chunked, documents, mix, prefix_hash, range_hash, shared_path, split_sorted, table, text_bytes, text_steps
 from .windows import release
 
-DEPTH = 6
+DEPTH = 5
 LEAST_COUNT = 2
 LEAST_GAIN = 3.0
 FOLDS = 10
