@@ -17,54 +17,100 @@ CATEGORIES = {
 }
 # Subtypes outside the HIPAA view.
 NOT_HIPAA = ("DOCTOR", "PROFESSION", "HOSPITAL", "ORGANIZATION", "STATE", "COUNTRY")
-# The labels of the privacy filter with the subtypes and the category that each covers.
-OPF_SUBTYPES = {
-    "private_person": ("PATIENT", "DOCTOR"),
-    "private_date": ("DATE",),
-    "private_address": ("STREET", "CITY", "STATE", "ZIP", "LOCATION-OTHER"),
-    "private_phone": ("PHONE", "FAX"),
-    "private_email": ("EMAIL",),
-    "private_url": ("URL",),
-    "account_number": ("SSN", "MEDICALRECORD", "HEALTHPLAN", "ACCOUNT", "LICENSE", "VEHICLE", "DEVICE", "IDNUM"),
-    "secret": (),
+# The privacy filter's label of each subtype; none where it has no such label.
+OPF_OF = {
+    "PATIENT": "private_person",
+    "DOCTOR": "private_person",
+    "USERNAME": None,
+    "PROFESSION": None,
+    "HOSPITAL": None,
+    "ORGANIZATION": None,
+    "STREET": "private_address",
+    "CITY": "private_address",
+    "STATE": "private_address",
+    "COUNTRY": None,
+    "ZIP": "private_address",
+    "LOCATION-OTHER": "private_address",
+    "AGE": None,
+    "DATE": "private_date",
+    "PHONE": "private_phone",
+    "FAX": "private_phone",
+    "EMAIL": "private_email",
+    "URL": "private_url",
+    "IPADDR": None,
+    "SSN": "account_number",
+    "MEDICALRECORD": "account_number",
+    "HEALTHPLAN": "account_number",
+    "ACCOUNT": "account_number",
+    "LICENSE": "account_number",
+    "VEHICLE": "account_number",
+    "DEVICE": "account_number",
+    "BIOID": None,
+    "IDNUM": "account_number",
 }
+# The category of each of the privacy filter's labels.
 OPF_CATEGORY = {"private_person": "NAME", "private_date": "DATE", "private_address": "LOCATION", "private_phone": "CONTACT", "private_email": "CONTACT", "private_url": "CONTACT", "account_number": "ID", "secret": None}
-# Normalised labels of the open PII model by subtype; those under None are no PHI here.
-OPENMED_BY_SUBTYPE = {
-    "ACCOUNT": ("accountnumber", "creditdebitcard", "creditcard"),
-    "IDNUM": ("bankroutingnumber", "employeeid", "passportnumber", "swiftcode"),
-    "LICENSE": ("certificatelicensenumber", "licensenumber"),
-    "HEALTHPLAN": ("healthplanbeneficiarynumber",),
-    "DEVICE": ("macaddress", "deviceidentifier"),
-    "MEDICALRECORD": ("medicalrecordnumber",),
-    "PHONE": ("phonenumber",),
-    "SSN": ("ssn",),
-    "VEHICLE": ("vin",),
-    "AGE": ("age",),
-    "BIOID": ("biometricidentifier",),
-    "DATE": ("dateofbirth", "date", "datetime"),
-    "PATIENT": ("firstname", "lastname", "name"),
-    "PROFESSION": ("occupation",),
-    "EMAIL": ("email",),
-    "FAX": ("faxnumber",),
-    "URL": ("url",),
-    "CITY": ("city",),
-    "LOCATION-OTHER": ("coordinate", "county"),
-    "COUNTRY": ("country",),
-    "STATE": ("state",),
-    "STREET": ("streetaddress",),
-    "IPADDR": ("ipv4", "ipv6", "ipaddress"),
-    "ORGANIZATION": ("companyname", "organization"),
-    "HOSPITAL": ("hospital",),
-    None: ("apikey", "cvv", "pin", "bloodtype", "educationlevel", "gender", "language", "maritalstatus", "nationality", "raceethnicity", "religion", "sexuality", "time"),
+# The subtype of each normalised label of the open PII model; none where it is no PHI here.
+OPENMED = {
+    "accountnumber": "ACCOUNT",
+    "age": "AGE",
+    "apikey": None,
+    "bankroutingnumber": "IDNUM",
+    "biometricidentifier": "BIOID",
+    "bloodtype": None,
+    "certificatelicensenumber": "LICENSE",
+    "city": "CITY",
+    "companyname": "ORGANIZATION",
+    "coordinate": "LOCATION-OTHER",
+    "country": "COUNTRY",
+    "county": "LOCATION-OTHER",
+    "creditcard": "ACCOUNT",
+    "creditdebitcard": "ACCOUNT",
+    "cvv": None,
+    "date": "DATE",
+    "dateofbirth": "DATE",
+    "datetime": "DATE",
+    "deviceidentifier": "DEVICE",
+    "educationlevel": None,
+    "email": "EMAIL",
+    "employeeid": "IDNUM",
+    "faxnumber": "FAX",
+    "firstname": "PATIENT",
+    "gender": None,
+    "healthplanbeneficiarynumber": "HEALTHPLAN",
+    "hospital": "HOSPITAL",
+    "ipaddress": "IPADDR",
+    "ipv4": "IPADDR",
+    "ipv6": "IPADDR",
+    "language": None,
+    "lastname": "PATIENT",
+    "licensenumber": "LICENSE",
+    "macaddress": "DEVICE",
+    "maritalstatus": None,
+    "medicalrecordnumber": "MEDICALRECORD",
+    "name": "PATIENT",
+    "nationality": None,
+    "occupation": "PROFESSION",
+    "organization": "ORGANIZATION",
+    "passportnumber": "IDNUM",
+    "phonenumber": "PHONE",
+    "pin": None,
+    "raceethnicity": None,
+    "religion": None,
+    "sexuality": None,
+    "ssn": "SSN",
+    "state": "STATE",
+    "streetaddress": "STREET",
+    "swiftcode": "IDNUM",
+    "time": None,
+    "url": "URL",
+    "vin": "VEHICLE",
 }
 
 SUBTYPES = tuple(s for group in CATEGORIES.values() for s in group)
 CATEGORY_OF = {s: c for c, group in CATEGORIES.items() for s in group}
 HIPAA = tuple(s for s in SUBTYPES if s not in NOT_HIPAA)
-OPF_OF = {s: None for s in SUBTYPES} | {s: o for o, group in OPF_SUBTYPES.items() for s in group}
 UNSUPPORTED = tuple(s for s in SUBTYPES if OPF_OF[s] is None)
-OPENMED = {k: s for s, keys in OPENMED_BY_SUBTYPE.items() for k in keys}
 LEVELS = ("subtype", "category", "binary")
 BUCKETS = ("0", "1-10", "11-50", "51-200", ">200")
 TABLES = {"opf": OPF_OF, "opf_category": OPF_CATEGORY, "openmed": OPENMED}

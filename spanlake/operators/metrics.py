@@ -65,7 +65,8 @@ def per_label(counts: DataFrame) -> DataFrame:
 
 
 def report(counts: DataFrame, docs: DataFrame) -> DataFrame:
-    """One row: micro and macro scores, and the share of documents that leak."""
+    """One row: micro and macro scores, and the share of documents that leak. Counts of documents outside docs don't matter."""
+    counts = counts.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     labels = counts.groupBy("label").agg(*[F.sum(x).alias(x) for x in ("tp", "fp", "fn")])
     supported = F.col("tp") + F.col("fn") > 0
     exact = [ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn")), ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))]
@@ -172,16 +173,19 @@ def paired_bootstrap(a: DataFrame, b: DataFrame, metric: str = "recall", n_resam
 
     a, b: doc_counts(). A resample weighs each document by Poisson(1), drawn from an MD5 of resample and id, instead of
     drawing n positions: no numbering of documents, and counts are summed before they are shuffled."""
-    if metric not in ("recall", "precision", "f1"):
+    if metric not in ("recall", "precision", "f1", "leak_rate"):
         raise ValueError(f"unknown metric {metric}")
     side = lambda d, x: d.groupBy("doc_id").agg(*[F.sum(c).alias(c + x) for c in ("tp", "fp", "fn")])
-    both = side(a, "_a").join(side(b, "_b"), "doc_id", "full").fillna(0)
+    both = side(a, "_a").join(side(b, "_b"), "doc_id", "full").fillna(0).withColumn("one", F.lit(1))
+    both = both.select("*", *[(F.col(f"fn{x}") > 0).cast("long").alias(f"leak{x}") for x in ("_a", "_b")])
     h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "r", "doc_id")), 1, 8), 16, 10).cast("long")
     weight = sum((h >= e).cast("long") for e in POISSON_EDGES)
-    names = [c + x for x in ("_a", "_b") for c in ("tp", "fp", "fn")]
+    names = [c + x for x in ("_a", "_b") for c in ("tp", "fp", "fn", "leak")] + ["one"]
 
     def value(x: str) -> Column:
         tp, fp, fn = (F.col(c + x) for c in ("tp", "fp", "fn"))
+        if metric == "leak_rate":
+            return ratio(F.col(f"leak{x}"), F.col("one"))
         return ratio(tp, tp + fn) if metric == "recall" else ratio(tp, tp + fp) if metric == "precision" else ratio(2 * tp, 2 * tp + fp + fn)
 
     draws = both.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1)))).withColumn("w", weight).where("w > 0")

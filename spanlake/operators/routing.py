@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import CUES, HEADER, find_all
@@ -27,11 +26,8 @@ def cues(docs: DataFrame) -> DataFrame:
 
 def capitalised(docs: DataFrame, spans: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
     """Capitalised words inside sentences that no span covers and the lexicon (word) doesn't hold."""
-    words = find_all(docs, r"[A-Za-z][A-Za-z'-]+")
-    w = W.partitionBy("doc_id").orderBy("start")
-    texts = docs.select("doc_id", "text")
-    gap = words.withColumn("before", F.lag("end").over(w)).join(texts, "doc_id").withColumn("gap", F.expr("substring(text, before + 1, start - before)"))
-    word = gap.where(F.col("before").isNotNull() & ~F.col("gap").rlike(r"[.!?:\n]") & F.col("found").rlike("^[A-Z]") & (F.upper("found") != F.col("found")))
+    words = find_all(docs, r"[A-Za-z][A-Za-z'-]+", gap=True)
+    word = words.where(F.col("gap").isNotNull() & ~F.col("gap").rlike(r"[.!?:\n]") & F.col("found").rlike("^[A-Z]") & (F.upper("found") != F.col("found")))
     if lexicon is not None:
         word = word.join(lexicon.select(F.lower("word").alias("w")).distinct(), F.lower("found") == F.col("w"), "left_anti")
     return uncovered(word, spans)

@@ -44,14 +44,16 @@ def detected(spark: SparkSession, name: str, spec: dict, docs: DataFrame, gold:
     """Spans of one detector: simulated; predictions (documents with spans as JSON lines); tokens (a table of token predictions,
     see tokens.decode); outputs (doc_id, output: what a language model wrote, in the format json, inline or segments).
 
-    Models run outside; what they gave is the input here. Of predictions a repeated doc_id gives all its spans."""
+    Models run outside; what they gave is the input here. Of predictions with a repeated doc_id the last one in the file counts."""
     kind = spec.get("type", name)
     if kind == "simulated":
         known = {k: v for k, v in spec.items() if k in ("miss_rate", "fp_rate", "boundary_noise", "score", "seed")}
         return simulate.detect(docs, gold, name, **known)
     ids = docs.select("doc_id")
     if kind == "predictions":
-        return flat(spark.read.schema(DOC).json(spec["path"])).join(ids, "doc_id", "left_semi").withColumn("source", F.lit(name))
+        rows = spark.read.schema(DOC).json(spec["path"]).withColumn("__row", F.monotonically_increasing_id())
+        last = rows.groupBy("doc_id").agg(F.max_by("spans", "__row").alias("spans"))
+        return flat(last).join(ids, "doc_id", "left_semi").withColumn("source", F.lit(name))
     if kind == "tokens":
         got = tokens.decode(spark.read.parquet(spec["path"]), spec.get("reduce", "mean"))
         table = spec.get("label_map")

@@ -1,7 +1,8 @@
 """Queries over the test tables, and the same in SQL.
 
 The tables hold no annotated spans, so gold spans and two detectors' outputs are drawn from `documents` by MD5: every 50th
-token or so is gold, the detectors miss, widen, relabel and invent some."""
+token or so begins a gold span of one to five tokens (some overlap), the detectors miss, widen, relabel and invent some. A
+drawn span's text is its first token."""
 
 from __future__ import annotations
 
@@ -24,7 +25,9 @@ def token_rows(spark: SparkSession, sf: str) -> DataFrame:
     k = F.concat_ws(":", "doc_id", "ix")
     names = F.array(*map(F.lit, L.SUBTYPES))
     h = lambda p: T.hashed(F.concat(F.lit(p), k))
-    t = T.find_all(documents(spark, sf), T.TOKEN).withColumn("h", h("g"))
+    t = T.find_all(documents(spark, sf), T.TOKEN, ahead=4).withColumn("h", h("g"))
+    long = (F.floor(F.col("h") / 1400) % 5).cast("int")
+    t = t.withColumn("stop", F.coalesce(*[F.when(long == k, F.col(f"end{k}")) for k in range(1, 5)], F.col("end")))
     return t.withColumn("label", names[((F.floor(F.col("h") / 50)) % 28).cast("int")]).withColumn("k", k)
 
 
@@ -33,13 +36,13 @@ def draw(t: DataFrame, p: str) -> DataFrame:
     h = lambda q: T.hashed(F.concat(F.lit(p + q), "k"))
     null = F.lit(None).cast("double")
     if p == "g":
-        return t.where("h % 50 = 0").select("doc_id", "start", "end", "label", F.col("found").alias("text"), F.lit("gold").alias("source"), null.alias("score"))
+        return t.where("h % 50 = 0").select("doc_id", "start", F.col("stop").alias("end"), "label", F.col("found").alias("text"), F.lit("gold").alias("source"), null.alias("score"))
     names = F.array(*map(F.lit, L.SUBTYPES))
     gold, miss, wide = F.col("h") % 50 == 0, 15 if p == "t" else 25, 2 if p == "t" else 3
     s = t.where((gold & (h("m") % 100 >= miss)) | (~gold & (h("f") % 400 == 0)))
     label = F.when(gold & (h("r") % 10 > 0), F.col("label")).otherwise(names[(h("n") % 28).cast("int")])
     score = (h("s") % 100) / 100.0 if p == "t" else null
-    return s.select("doc_id", "start", (F.col("end") + F.when(h("w") % 10 == 0, wide).otherwise(0)).alias("end"), label.alias("label"), F.col("found").alias("text"), F.lit("tc" if p == "t" else "llm").alias("source"), score.cast("double").alias("score"))
+    return s.select("doc_id", "start", (F.when(gold, F.col("stop")).otherwise(F.col("end")) + F.when(h("w") % 10 == 0, wide).otherwise(0)).alias("end"), label.alias("label"), F.col("found").alias("text"), F.lit("tc" if p == "t" else "llm").alias("source"), score.cast("double").alias("score"))
 
 
 def all_spans(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -60,16 +63,19 @@ def _drawn(p: str) -> str:
     miss, wide, name = (15, 2, "tc") if p == "t" else (25, 3, "llm")
     h = lambda q: _H(f"'{p}{q}' || k")
     score = f"({h('s')} % 100) / 100.0" if p == "t" else "NULL"
-    return f"""SELECT doc_id, s, e + CASE WHEN {h('w')} % 10 = 0 THEN {wide} ELSE 0 END AS e, CASE WHEN h % 50 = 0 AND {h('r')} % 10 > 0 THEN label ELSE {_NAMES}[{h('n')} % 28 + 1] END AS label,
+    return f"""SELECT doc_id, s, CASE WHEN h % 50 = 0 THEN stop ELSE e END + CASE WHEN {h('w')} % 10 = 0 THEN {wide} ELSE 0 END AS e, CASE WHEN h % 50 = 0 AND {h('r')} % 10 > 0 THEN label ELSE {_NAMES}[{h('n')} % 28 + 1] END AS label,
     tok AS text, '{name}' AS source, CAST({score} AS DOUBLE) AS score FROM token WHERE CASE WHEN h % 50 = 0 THEN {h('m')} % 100 >= {miss} ELSE {h('f')} % 400 = 0 END"""
 
 
-TOKEN_SQL = r"""WITH cut AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]') AS hit, regexp_split_to_array(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]') AS gap FROM documents WHERE text IS NOT NULL),
+# T.TOKEN in words that don't depend on an engine's idea of a space
+TOKEN_RE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\x09-\x0D\x1C-\x20\x{85}\p{Z}]"
+TOKEN_SQL = r"""WITH cut AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(text, 'PATTERN') AS hit, regexp_split_to_array(text, 'PATTERN') AS gap FROM documents WHERE text IS NOT NULL),
 flat AS (SELECT r, doc_id, unnest(hit) AS tok, unnest(gap[1:len(hit)]) AS g, unnest(range(0, len(hit))) AS ix FROM cut WHERE len(hit) > 0),
-place AS (SELECT doc_id, ix, tok, CAST(sum(length(g) + length(tok)) OVER (PARTITION BY r ORDER BY ix) AS INT) AS e FROM flat),
-token AS (SELECT *, NAMES[(h // 50) % 28 + 1] AS label FROM (SELECT doc_id, ix, tok, e - length(tok) AS s, e, doc_id || ':' || ix AS k, HASH AS h FROM place))""".replace("NAMES", _NAMES).replace("HASH", _H("'g' || doc_id || ':' || ix"))
+place AS (SELECT r, doc_id, ix, tok, CAST(sum(length(g) + length(tok)) OVER (PARTITION BY r ORDER BY ix) AS INT) AS e FROM flat),
+drawn AS (SELECT *, e - length(tok) AS s, doc_id || ':' || ix AS k, HASH AS h, lead(e, 1) OVER w AS e1, lead(e, 2) OVER w AS e2, lead(e, 3) OVER w AS e3, lead(e, 4) OVER w AS e4 FROM place WINDOW w AS (PARTITION BY r ORDER BY ix)),
+token AS (SELECT doc_id, ix, tok, s, e, k, h, NAMES[(h // 50) % 28 + 1] AS label, CASE (h // 1400) % 5 WHEN 0 THEN e WHEN 1 THEN coalesce(e1, e) WHEN 2 THEN coalesce(e2, e1, e) WHEN 3 THEN coalesce(e3, e2, e1, e) ELSE coalesce(e4, e3, e2, e1, e) END AS stop FROM drawn)""".replace("NAMES", _NAMES).replace("HASH", _H("'g' || doc_id || ':' || ix")).replace("PATTERN", TOKEN_RE)
 SPAN_SQL = TOKEN_SQL + f""",
-gold AS (SELECT doc_id, s, e, label, tok AS text FROM token WHERE h % 50 = 0), tc AS ({_drawn('t')}), llm AS ({_drawn('l')}),
+gold AS (SELECT doc_id, s, stop AS e, label, tok AS text FROM token WHERE h % 50 = 0), tc AS ({_drawn('t')}), llm AS ({_drawn('l')}),
 num AS (SELECT doc_id, s, e, label, row_number() OVER (PARTITION BY doc_id, s, e, label) AS n FROM gold), pnum AS (SELECT doc_id, s, e, label, row_number() OVER (PARTITION BY doc_id, s, e, label) AS n FROM tc),
 pair AS (SELECT coalesce(g.doc_id, p.doc_id) AS doc_id, coalesce(g.label, p.label) AS label, CAST(g.s IS NOT NULL AND p.s IS NOT NULL AS BIGINT) AS tp, CAST(g.s IS NULL AS BIGINT) AS fp, CAST(p.s IS NULL AS BIGINT) AS fn
   FROM num g FULL JOIN pnum p ON g.doc_id = p.doc_id AND g.s = p.s AND g.e = p.e AND g.label = p.label AND g.n = p.n),
@@ -172,32 +178,55 @@ def chunk_windows(spark, sf):
     return n.select("doc_id", F.explode(tokens.windows(F.col("n"), 128, 32)).alias("w")).select("doc_id", "w.first", "w.last")
 
 
-@query(SPAN_SQL + """, o AS (SELECT t.doc_id, t.ix, min({'s': g.s, 'e': g.e, 'label': g.label}) AS p FROM token t JOIN gold g ON t.doc_id = g.doc_id AND t.s < g.e AND g.s < t.e GROUP BY t.doc_id, t.ix)
-SELECT doc_id, ix, CASE WHEN count(*) OVER w = 1 THEN 'S-' WHEN row_number() OVER (PARTITION BY doc_id, p ORDER BY ix) = 1 THEN 'B-' ELSE 'I-' END || p.label AS tag FROM o WINDOW w AS (PARTITION BY doc_id, p)""")
+ENCODED = """, o AS (SELECT t.doc_id, t.ix, min({'s': g.s, 'e': g.e, 'label': g.label}) AS p FROM token t JOIN gold g ON t.doc_id = g.doc_id AND t.s < g.e AND g.s < t.e GROUP BY t.doc_id, t.ix),
+tagged AS (SELECT doc_id, ix, CASE WHEN n = 1 THEN 'S-' WHEN i = 1 THEN 'B-' WHEN i = n THEN 'E-' ELSE 'I-' END || p.label AS tag FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, p) AS n, row_number() OVER (PARTITION BY doc_id, p ORDER BY ix) AS i FROM o))"""
+
+
+@query(SPAN_SQL + ENCODED + " SELECT doc_id, ix, tag FROM tagged")
 def bioes_encode(spark, sf):
     t = token_rows(spark, sf)
     return tokens.encode(t, draw(t, "g")).where("tag <> 'O'")
 
 
-@query()
+# the algebra of spans: merging per label, then a fold over each document's spans in order of rank, score and length
+MERGE = """, {out}_m AS (SELECT *, max(e) OVER (PARTITION BY doc_id, label ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM ({src})),
+{out}_i AS (SELECT *, sum(CASE WHEN b IS NULL OR s >= b THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, label ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS isle FROM {out}_m),
+{out} AS (SELECT doc_id, label, min(s) AS s, max(e) AS e, CASE WHEN count(*) = 1 THEN any_value(text) ELSE '' END AS text, array_to_string(list_sort(list_distinct(flatten(list(string_split(source, '+'))))), '+') AS source, max(score) AS score FROM {out}_i GROUP BY doc_id, label, isle)"""
+RESOLVE = """, {out}_l AS (SELECT doc_id, list({{'s': s, 'e': e, 'label': label, 'text': text, 'source': source, 'score': score}} ORDER BY CASE WHEN list_contains(string_split(source, '+'), 'tc') THEN 0 WHEN list_contains(string_split(source, '+'), 'llm') THEN 1 ELSE 2 END, -coalesce(score, 0), s - e, s, e, label, text, source, score NULLS FIRST) AS xs FROM {src} GROUP BY doc_id),
+{out}_k AS (SELECT doc_id, unnest(list_reduce(list_transform(xs, lambda x: [x]), lambda a, x: CASE WHEN len(list_filter(a, lambda k: k.label <> x[1].label AND k.s < x[1].e AND x[1].s < k.e)) = 0 THEN list_concat(a, x) ELSE a END)) AS x FROM {out}_l),
+{out} AS (SELECT doc_id, x.s AS s, x.e AS e, x.label AS label, x.text AS text, x.source AS source, x.score AS score FROM {out}_k)"""
+SPAN_COLUMNS = 'doc_id, s AS start, e AS "end", label, text, source, score'
+BOTH = "SELECT doc_id, s, e, label, text, source, score FROM tc UNION ALL SELECT doc_id, s, e, label, text, source, score FROM llm"
+_RARE = "(u.label IN (" + ", ".join(f"'{x}'" for x in L.UNSUPPORTED) + ") OR coalesce(n, 0) < 10)"
+ROUTED = f"SELECT doc_id, s, e, u.label, text, source, score FROM ({BOTH}) u LEFT JOIN train ON train.label = u.label WHERE CASE WHEN source = 'tc' THEN NOT {_RARE} ELSE {_RARE} END"
+UNION_SQL = SPAN_SQL + MERGE.format(out="mu", src=BOTH) + RESOLVE.format(out="un", src="mu")
+GATE_SQL = SPAN_SQL + MERGE.format(out="gt", src="FROM tc") + MERGE.format(out="gl", src="FROM llm") + f""",
+pairs AS (SELECT t.*, (SELECT min({{'s': l.s, 'e': l.e, 'label': l.label}}) FROM gl l WHERE l.doc_id = t.doc_id AND t.s < l.e AND l.s < t.e) AS one FROM gt t),
+decided AS (SELECT doc_id, s, e, CASE WHEN score IS NULL OR score >= 0.3 THEN label ELSE one.label END AS label, text, 'llm+tc' AS source, score, 'agree' AS rule FROM pairs WHERE one IS NOT NULL
+UNION ALL SELECT doc_id, s, e, label, text, source, score, CASE WHEN score >= 0.9 THEN 'tc-only:high' ELSE 'tc-only:low:no-verifier' END FROM pairs WHERE one IS NULL
+UNION ALL SELECT doc_id, s, e, u.label, text, source, score, CASE WHEN {_RARE} THEN 'llm-only:rare-or-unsupported' ELSE 'llm-only:frequent:no-verifier' END FROM gl u LEFT JOIN train ON train.label = u.label WHERE NOT EXISTS (FROM gt t WHERE t.doc_id = u.doc_id AND t.s < u.e AND u.s < t.e))"""
+ACCEPTED = "SELECT doc_id, s, e, label, text, source, score FROM decided WHERE NOT ends_with(rule, 'no-verifier')"
+
+
+@query(UNION_SQL + f" SELECT {SPAN_COLUMNS} FROM un")
 def fuse_union(spark, sf):
     _, tc, llm = all_spans(spark, sf)
     return spans.union(tc.unionByName(llm))
 
 
-@query()
+@query(SPAN_SQL + MERGE.format(out="mr", src=ROUTED) + RESOLVE.format(out="ro", src="mr") + f" SELECT {SPAN_COLUMNS} FROM ro")
 def fuse_label_routed(spark, sf):
     _, tc, llm = all_spans(spark, sf)
     return spans.label_routed(tc.unionByName(llm), train_counts(spark, sf))
 
 
-@query()
+@query(GATE_SQL + " SELECT rule, NOT ends_with(rule, 'no-verifier') AS accepted, count(*) AS n FROM decided GROUP BY ALL")
 def gate_decisions(spark, sf):
     _, tc, llm = all_spans(spark, sf)
     return spans.gate(tc.unionByName(llm), train_counts(spark, sf)).groupBy("rule", "accepted").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(GATE_SQL + MERGE.format(out="mg", src=ACCEPTED) + RESOLVE.format(out="co", src="mg") + f" SELECT {SPAN_COLUMNS} FROM co")
 def fuse_confidence_gated(spark, sf):
     _, tc, llm = all_spans(spark, sf)
     return spans.confidence_gated(tc.unionByName(llm), train_counts(spark, sf))
@@ -229,7 +258,12 @@ def hipaa_view(spark, sf):
     return M.per_label(M.doc_counts(M.match(M.prepare(g, "category", True), M.prepare(tc, "category", True))))
 
 
-@query()
+@query(UNION_SQL + """, ra AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s, -e, label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM un),
+rb AS (SELECT *, sum(CASE WHEN b IS NULL OR s >= b THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s, -e, label ROWS UNBOUNDED PRECEDING) AS isle FROM ra),
+rc AS (SELECT doc_id, isle, min(s) AS s, max(e) AS e, arg_min(label, (s, -e, label)) AS label FROM rb GROUP BY doc_id, isle),
+rd AS (SELECT *, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY isle) AS since FROM rc),
+re AS (SELECT doc_id, string_agg(substring(text, since + 1, s - since) || '[' || label || ']', '' ORDER BY isle) AS head, max(e) AS last FROM rd JOIN documents USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN head IS NULL THEN text ELSE head || substring(text, last + 1) END AS text FROM documents LEFT JOIN re USING (doc_id)""")
 def redact_text(spark, sf):
     _, tc, llm = all_spans(spark, sf)
     return spans.redact(documents(spark, sf), spans.union(tc.unionByName(llm)))
@@ -245,7 +279,15 @@ def risk_score(spark, sf):
     return routing.scored(routing.features(documents(spark, sf), all_spans(spark, sf)[1]))
 
 
-@query()
+def _stripped() -> tuple[str, str]:
+    text, n = "text", "0"
+    for pattern, instead in T.PLACEHOLDERS:
+        n += f" + len(regexp_extract_all({text}, '{pattern}'))"
+        text = f"regexp_replace({text}, '{pattern}', '{instead}', 'g')"
+    return f"regexp_replace({text}, '[ \\t]{{2,}}', ' ', 'g')", n
+
+
+@query("SELECT doc_id, CAST(length({}) AS INT) AS n_chars, CAST({} AS BIGINT) AS n_removed FROM documents".format(*_stripped()))
 def strip_placeholders(spark, sf):
     text, n = T.strip_placeholders(F.col("text"))
     return documents(spark, sf).select("doc_id", F.length(text).alias("n_chars"), n.alias("n_removed"))
@@ -307,11 +349,18 @@ def verdicts(spark, sf):
     return simulate.right(tc, g)
 
 
-@query(SPAN_SQL + " SELECT doc_id, s AS start, e AS \"end\", label, 1.0::DOUBLE AS score FROM gold")
+@query(SPAN_SQL + ENCODED + f""", spoilt AS (SELECT t.doc_id, t.ix, t.s, t.e, coalesce(CASE WHEN {_H("'b' || t.k")} % 5 = 0 THEN 'I-' || substr(tag, 3) ELSE tag END, 'O') AS tag, ({_H("'p' || t.k")} % 100) / 100.0::DOUBLE AS prob FROM token t LEFT JOIN tagged USING (doc_id, ix)),
+seen AS (SELECT *, lag(tag) OVER (PARTITION BY doc_id ORDER BY ix) AS before FROM spoilt),
+cuts AS (SELECT *, sum(CASE WHEN tag <> 'O' AND (tag[1] IN ('B', 'S') OR before IS NULL OR before = 'O' OR before[1] IN ('E', 'S') OR substr(before, 3) <> substr(tag, 3)) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ix ROWS UNBOUNDED PRECEDING) AS isle FROM seen)
+SELECT doc_id, min(s) AS start, max(e) AS "end", any_value(substr(tag, 3)) AS label, round(avg(prob), 6) AS score FROM cuts WHERE tag <> 'O' GROUP BY doc_id, isle""")
 def decode_tags(spark, sf):
+    """Tags of which every fifth is spoilt, decoded."""
     t = token_rows(spark, sf)
     tags = tokens.encode(t, draw(t, "g"))
-    return tokens.decode(t.select("doc_id", "ix", "start", "end").join(tags, ["doc_id", "ix"]).withColumn("prob", F.lit(1.0)))
+    of = lambda p: T.hashed(F.concat(F.lit(p), F.concat_ws(":", "doc_id", "ix")))
+    spoilt = F.when((F.col("tag") != "O") & (of("b") % 5 == 0), F.concat(F.lit("I-"), F.substring("tag", 3, 100))).otherwise(F.col("tag"))
+    got = tokens.decode(t.select("doc_id", "ix", "start", "end").join(tags, ["doc_id", "ix"]).withColumn("tag", spoilt).withColumn("prob", (of("p") % 100) / 100.0))
+    return got.withColumn("score", F.round("score", 6))
 
 
 @query(TOKEN_SQL + """, n AS (SELECT doc_id, count(*) AS n FROM token GROUP BY doc_id), w AS (SELECT doc_id, n, unnest(range(0, CASE WHEN n <= 128 THEN 0 ELSE CAST(ceil((n - 128) / 96.0) AS BIGINT) END + 1)) AS i FROM n),
@@ -342,11 +391,13 @@ def mcnemar_holm(spark, sf):
     return M.holm(tests.select(F.col("label").alias("name"), F.round("p", 6).alias("p")))
 
 
-@query()
+@query(SPAN_SQL + ", z AS (SELECT doc_id, CASE label " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in L.OPF_OF.items() if v) + """ END || ': ' || substring(d.text, s + 1, e - s) AS key, s, e FROM gold JOIN documents d USING (doc_id))
+SELECT doc_id, md5(key) AS key, string_agg(s || '-' || e, ',' ORDER BY s, e) AS places FROM z WHERE key IS NOT NULL GROUP BY doc_id, z.key""")
 def opf_records(spark, sf):
     g = all_spans(spark, sf)[0]
     nested = g.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "label")).alias("spans"))
-    return records.to_opf(documents(spark, sf).join(nested, "doc_id"))
+    made = records.to_opf(documents(spark, sf).join(nested, "doc_id"))
+    return made.select("doc_id", F.explode("spans").alias("key", "at")).select("doc_id", F.md5("key").alias("key"), F.array_join(F.transform("at", lambda x: F.concat_ws("-", x[0], x[1])), ",").alias("places"))
 
 
 @query()

@@ -28,11 +28,13 @@ def invalid(docs: DataFrame) -> DataFrame:
 
 
 def to_opf(docs: DataFrame) -> DataFrame:
-    """(text, spans): spans grouped under "<label>: <surface>" as arrays of offsets; labels that the filter lacks are dropped."""
-    s = docs.select("doc_id", "text", F.explode_outer("spans").alias("s")).withColumn("opf", literal_map(OPF_OF)[F.col("s.label")])
-    key = F.concat("opf", F.lit(": "), F.expr("substring(text, s.start + 1, s.end - s.start)"))
-    g = s.withColumn("key", key).groupBy("doc_id", "text", "key").agg(F.array_sort(F.collect_list(F.array("s.start", "s.end"))).alias("at"))
-    return g.groupBy("doc_id", "text").agg(F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "at"))))).alias("spans"))
+    """(doc_id, text, spans): spans grouped under "<label>: <surface>" as arrays of offsets; labels that the filter lacks are dropped."""
+    # a document's spans are in its row already: nothing is exploded or shuffled
+    named = F.transform("spans", lambda x: F.struct(F.concat(literal_map(OPF_OF)[x["label"]], F.lit(": "), F.substring(F.col("text"), x["start"] + 1, x["end"] - x["start"])).alias("key"), F.array(x["start"], x["end"]).alias("at")))
+    d = docs.select("doc_id", "text", F.filter(F.coalesce(named, F.expr("CAST(array() AS array<struct<key: string, at: array<int>>>)")), lambda x: x["key"].isNotNull()).alias("named"))
+    keys = F.array_sort(F.array_distinct(F.transform("named", lambda x: x["key"])))
+    of = lambda k: F.array_sort(F.transform(F.filter("named", lambda x: x["key"] == k), lambda x: x["at"]))
+    return d.select("doc_id", "text", F.map_from_arrays(keys, F.transform(keys, of)).alias("spans"))
 
 
 def from_opf(records: DataFrame, source: str = "gold") -> DataFrame:
