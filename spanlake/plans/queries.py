@@ -18,14 +18,14 @@ from ..sources import records
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    return T.spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
 
 
 def token_rows(spark: SparkSession, sf: str) -> DataFrame:
     k = F.concat_ws(":", "doc_id", "ix")
     names = F.array(*map(F.lit, L.SUBTYPES))
     h = lambda p: T.hashed(F.concat(F.lit(p), k))
-    t = T.find_all(documents(spark, sf), T.TOKEN, ahead=4).withColumn("h", h("g"))
+    t = T.tokenised(documents(spark, sf), ahead=4).withColumn("h", h("g"))
     long = (F.floor(F.col("h") / 1400) % 5).cast("int")
     t = t.withColumn("stop", F.coalesce(*[F.when(long == k, F.col(f"end{k}")) for k in range(1, 5)], F.col("end")))
     return t.withColumn("label", names[((F.floor(F.col("h") / 50)) % 28).cast("int")]).withColumn("k", k)
@@ -105,7 +105,7 @@ def query(sql: str | None = None):
 
 @query(TOKEN_SQL + " SELECT doc_id, count(*) AS n_tokens, max(e) AS last FROM token GROUP BY doc_id")
 def tokenize_counts(spark, sf):
-    return T.find_all(documents(spark, sf), T.TOKEN).groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.max("end").alias("last"))
+    return T.tokenised(documents(spark, sf)).groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.max("end").alias("last"))
 
 
 @query(SPAN_SQL + f" SELECT label, {_CATS} AS category, count(*) AS n, {_BUCKET.replace('n ', 'count(*) ')} AS bucket FROM gold GROUP BY label")
@@ -174,7 +174,7 @@ def dedup_documents_sha1(spark, sf):
 
 @query(TOKEN_SQL + ", n AS (SELECT doc_id, count(*) AS n FROM token GROUP BY doc_id), w AS (SELECT doc_id, n, unnest(range(0, CASE WHEN n <= 128 THEN 0 ELSE CAST(ceil((n - 128) / 96.0) AS BIGINT) END + 1)) AS i FROM n) SELECT doc_id, CAST(i * 96 AS INT) AS first, CAST(least(n, i * 96 + 128) AS INT) AS last FROM w")
 def chunk_windows(spark, sf):
-    n = T.find_all(documents(spark, sf), T.TOKEN).groupBy("doc_id").agg(F.count("*").alias("n"))
+    n = T.tokenised(documents(spark, sf)).groupBy("doc_id").agg(F.count("*").alias("n"))
     return n.select("doc_id", F.explode(tokens.windows(F.col("n"), 128, 32)).alias("w")).select("doc_id", "w.first", "w.last")
 
 
@@ -367,7 +367,7 @@ def decode_tags(spark, sf):
 p AS (SELECT doc_id, i, unnest(range(i * 96, least(n, i * 96 + 128))) AS ix, i * 96 AS a, least(n, i * 96 + 128) AS z FROM w)
 SELECT doc_id, CAST(ix AS INT) AS ix, CAST(i AS VARCHAR) AS tag FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, ix ORDER BY least(ix - a, z - 1 - ix) DESC, i) AS r FROM p) WHERE r = 1""")
 def merge_window_predictions(spark, sf):
-    n = T.find_all(documents(spark, sf), T.TOKEN).groupBy("doc_id").agg(F.count("*").alias("n"))
+    n = T.tokenised(documents(spark, sf)).groupBy("doc_id").agg(F.count("*").alias("n"))
     w = n.select("doc_id", F.posexplode(tokens.windows(F.col("n"), 128, 32)).alias("window", "w"))
     p = w.select("doc_id", "window", (F.col("w.last") - F.col("w.first")).alias("size"), "w.first", F.explode(F.expr("sequence(w.first, CAST(w.last AS INT) - 1)")).alias("ix"))
     p = p.select("doc_id", "window", (F.col("ix") - F.col("first")).alias("k"), "size", "ix", F.col("window").cast("string").alias("tag"), F.lit(1.0).alias("prob"))
