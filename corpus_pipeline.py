@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read as the next stage's
 docs; all but the last return the columns of documents.
+
+Cases: texts that are null or empty fail the quality rules, so no later stage meets them in run(); taken alone, the later
+stages keep them (packing as one piece, the end id). Null ids and other null columns are kept as they are; a repeated row
+is one near-duplicate of itself; very long texts are treated whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
