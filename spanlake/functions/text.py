@@ -104,9 +104,11 @@ def kinds():
     """What each code point is to TOKEN: 0 a space, 1 part of a word, 2 a token of its own."""
     import numpy as np
 
-    word, space = re.compile(r"\w"), re.compile(r"\s")
-    points = map(chr, range(0x110000))
-    return np.fromiter((1 if word.match(c) else 0 if space.match(c) else 2 for c in points), np.uint8, 0x110000)
+    points, kind = "".join(map(chr, range(0x110000))), np.full(0x110000, 2, np.uint8)
+    for k, pattern in ((1, r"\w+"), (0, r"\s+")):
+        for m in re.finditer(pattern, points):
+            kind[m.start() : m.end()] = k
+    return kind
 
 
 _KINDS: list = []

@@ -168,15 +168,24 @@ def agreement(gold: DataFrame, systems: dict[str, DataFrame]) -> DataFrame:
 POISSON_EDGES = tuple(int(2**32 * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))) for k in range(10))
 
 
-def paired_bootstrap(a: DataFrame, b: DataFrame, metric: str = "recall", n_resamples: int = 1000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+def paired_bootstrap(a: DataFrame, b: DataFrame, metric: str = "recall", n_resamples: int = 1000, seed: int = 0, alpha: float = 0.05, docs: DataFrame | None = None) -> DataFrame:
     """One row: a metric of two systems, its difference, the interval (an order statistic, not interpolated) and the p value.
 
     a, b: doc_counts(). A resample weighs each document by Poisson(1), drawn from an MD5 of resample and id, instead of
-    drawing n positions: no numbering of documents, and counts are summed before they are shuffled."""
+    drawing n positions: no numbering of documents, and counts are summed before they are shuffled. docs: the documents that were
+    evaluated; those without counts are drawn too (they matter to leak_rate), a count of any other document is an error. Without
+    docs they are those with a count of either system."""
     if metric not in ("recall", "precision", "f1", "leak_rate"):
         raise ValueError(f"unknown metric {metric}")
     side = lambda d, x: d.groupBy("doc_id").agg(*[F.sum(c).alias(c + x) for c in ("tp", "fp", "fn")])
-    both = side(a, "_a").join(side(b, "_b"), "doc_id", "full").fillna(0).withColumn("one", F.lit(1))
+    both = side(a, "_a").join(side(b, "_b"), "doc_id", "full")
+    if docs is not None:
+        both = docs.select("doc_id", F.lit(1).alias("one")).distinct().join(both, "doc_id", "full")
+        stray = F.raise_error(F.concat(F.lit("counts of a document that wasn't evaluated: "), F.col("doc_id").cast("string"))).cast("int")
+        both = both.withColumn("one", F.when(F.col("one").isNull(), stray).otherwise(F.col("one")))
+    else:
+        both = both.withColumn("one", F.lit(1))
+    both = both.fillna(0)
     both = both.select("*", *[(F.col(f"fn{x}") > 0).cast("long").alias(f"leak{x}") for x in ("_a", "_b")])
     h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "r", "doc_id")), 1, 8), 16, 10).cast("long")
     weight = sum((h >= e).cast("long") for e in POISSON_EDGES)

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 
 def encode(tokens: DataFrame, spans: DataFrame, scheme: str = "bioes") -> DataFrame:
-    """(doc_id, ix, tag): a token belongs to the earliest span that it overlaps. tokens: (doc_id, ix, start, end)."""
+    """(doc_id, ix, tag): a token belongs to the earliest span that it overlaps, one without extent to none. tokens: (doc_id, ix, start, end)."""
     if scheme not in ("bioes", "bio"):
         raise ValueError(f"unknown scheme {scheme}")
     s = spans.select(F.col("doc_id").alias("d"), F.col("start").alias("s"), F.col("end").alias("e"), F.col("label").alias("l"))
-    own = tokens.select("doc_id", "ix", "start", "end").join(s, (F.col("doc_id") == F.col("d")) & (F.col("start") < F.col("e")) & (F.col("s") < F.col("end"))).groupBy("doc_id", "ix").agg(F.min(F.struct("s", "e", F.col("l").alias("label"))).alias("span"))
+    own = tokens.select("doc_id", "ix", "start", "end").join(s, (F.col("doc_id") == F.col("d")) & (F.col("start") < F.col("end")) & (F.col("start") < F.col("e")) & (F.col("s") < F.col("end"))).groupBy("doc_id", "ix").agg(F.min(F.struct("s", "e", F.col("l").alias("label"))).alias("span"))
     w = W.partitionBy("doc_id", "span")
     n, i = F.count("*").over(w), F.row_number().over(w.orderBy("ix"))
     prefix = F.when((n == 1) & F.lit(scheme == "bioes"), "S-").when(i == 1, "B-").when((i == n) & F.lit(scheme == "bioes"), "E-").otherwise("I-")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import outputs as O
 from ..operators import metrics as M
-from ..operators import simulate, spans, tokens
+from ..operators import completions, simulate, spans, tokens
 from ..sources import files
 from ..sources.benchmark import read_split
 from ..sources.records import DOC
@@ -66,11 +66,12 @@ def detected(spark: SparkSession, name: str, spec: dict, docs: DataFrame, gold:
         if form == "json":
             items = raw.select("doc_id", F.posexplode(O.span_items(F.col("output"))).alias("item", "x")).select("doc_id", "item", "x.text", "x.label", "x.before")
             got = O.deduped(O.ground(docs, items, spec.get("occurrences", "all") == "all", spec.get("fuzzy_threshold", O.LEAST_FUZZY)))
-        elif form in ("inline", "segments"):
-            got = O.tagged(docs, raw) if form == "inline" else O.tagged_segments(docs, raw, spec.get("max_chars", 1500))
+        elif form in ("inline", "editor", "segments"):  # an editor corrects another detector's tags
+            got = O.tagged(docs, raw) if form != "segments" else O.tagged_segments(docs, raw, spec.get("max_chars", 1500))
         else:
             raise ValueError(f"unknown format {form}")
-        return with_text(got.where("start is not null").where(F.col("label").isin(*spec.get("labels", L.SUBTYPES))), docs, name)
+        got = got.where("start is not null")
+        return with_text(got if form == "editor" else got.where(F.col("label").isin(*spec.get("labels", L.SUBTYPES))), docs, name)
     raise ValueError(f"detector {name}: {kind} is none of simulated, predictions, tokens, outputs")
 
 
@@ -87,8 +88,12 @@ def fused(spec: dict, all_spans: DataFrame, counts: DataFrame, gold: DataFrame,
     parts = parts.where("source is not null")
     ask = simulate.right(spans.merge(parts), gold)
     hook = lambda x: detectors.get(x, {}).get("type", x) == "simulated"
-    verdicts = ask if spec.get("verify", True) and hook(llm) else None
-    forced = simulate.forced(ask, float(detectors[tc].get("score", 0.9))) if hook(tc) else None
+    answers = detectors.get(llm, {}).get("verdicts")  # JSON lines of what a verifier wrote about each span
+    if answers:
+        raw = all_spans.sparkSession.read.schema("doc_id string, start int, end int, label string, output string").json(answers)
+        ask = completions.verdicts(raw)
+    verdicts = ask if spec.get("verify", True) and (answers or hook(llm)) else None
+    forced = simulate.forced(simulate.right(spans.merge(parts), gold), float(detectors[tc].get("score", 0.9))) if hook(tc) else None
     decisions = spans.gate(parts, counts, float(spec.get("theta_hi", 0.9)), float(spec.get("theta_lo", 0.3)), int(spec.get("tau", 10)), verdicts=verdicts, forced=forced)
     return spans.resolve(spans.merge(decisions.where("accepted").select(*spans.COLUMNS))), decisions
 

@@ -6,13 +6,15 @@ drawn span's text is its first token."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions import outputs as O
 from ..functions import text as T
-from ..operators import injection, routing, simulate, spans, splits, tokens
+from ..operators import completions, injection, prompts, routing, simulate, spans, splits, tokens, training
 from ..operators import metrics as M
 from ..sources import records
 
@@ -232,13 +234,26 @@ def fuse_confidence_gated(spark, sf):
     return spans.confidence_gated(tc.unionByName(llm), train_counts(spark, sf))
 
 
-@query()
+# gold spans in order take the best free prediction: one step a gold span, all documents at once
+_GREEDY = """WITH RECURSIVE """ + SPAN_SQL[5:] + """, sides AS (SELECT doc_id, coalesce(gs, []) AS gs, coalesce(ps, []) AS ps FROM (SELECT doc_id, list({'s': s, 'e': e, 'label': label} ORDER BY s, e, label) AS gs FROM gold GROUP BY doc_id) FULL JOIN
+  (SELECT doc_id, list({'s': s, 'e': e, 'label': label} ORDER BY s, e, label) AS ps FROM tc GROUP BY doc_id) USING (doc_id)),
+steps AS (SELECT doc_id, 0 AS i, CAST([] AS BIGINT[]) AS used FROM sides UNION ALL
+  SELECT t.doc_id, i + 1, list_append(used, coalesce(-list_max(list_transform(list_filter(range(1, len(ps) + 1), lambda j: NOT list_contains(used, j) AND ps[j].s < gs[i + 1].e AND gs[i + 1].s < ps[j].eEQUAL),
+    lambda j: {'exact': (ps[j].s = gs[i + 1].s AND ps[j].e = gs[i + 1].e)::INT, 'shared': least(ps[j].e, gs[i + 1].e) - greatest(ps[j].s, gs[i + 1].s), 'j': -j})).j, 0)) FROM steps t JOIN sides USING (doc_id) WHERE i < len(gs)),
+ends AS (SELECT gs, ps, used FROM steps t JOIN sides USING (doc_id) WHERE i = len(gs)),
+found AS (SELECT gs[k].label AS label, (used[k] > 0)::BIGINT AS tp, 0::BIGINT AS fp, (used[k] = 0)::BIGINT AS fn FROM (SELECT *, unnest(range(1, len(gs) + 1)) AS k FROM ends) UNION ALL
+  SELECT ps[k].label, 0, 1, 0 FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS k FROM ends) WHERE NOT list_contains(used, k)),
+greedy AS (SELECT label, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM found GROUP BY label)
+SELECT label, tp, fp, fn, tp + fn AS support, """ + PRF_SQL + " FROM greedy"
+
+
+@query(_GREEDY.replace("EQUAL", " AND ps[j].label = gs[i + 1].label"))
 def match_relaxed(spark, sf):
     g, tc, _ = all_spans(spark, sf)
     return M.per_label(M.doc_counts(M.match(g, tc, "relaxed")))
 
 
-@query()
+@query(_GREEDY.replace("EQUAL", ""))
 def match_typeless(spark, sf):
     g, tc, _ = all_spans(spark, sf)
     return M.per_label(M.doc_counts(M.match(g, tc, "typeless")))
@@ -269,7 +284,20 @@ def redact_text(spark, sf):
     return spans.redact(documents(spark, sf), spans.union(tc.unionByName(llm)))
 
 
-@query()
+# the same rules without looking ahead: a group says what of a match is the span
+_RULES = tuple((i, label, p.replace(r"(?=[- ]?(?:year|yr)s?[- ]old\b)", r"[- ]?(?:year|yr)s?[- ]old\b").replace(r"[\w.+-]", r"[\p{L}\p{N}_.+-]").replace(r"[\w-]", r"[\p{L}\p{N}_-]"), {"AGE": "head", "MEDICALRECORD": "tail"}.get(label)) for i, (label, p) in enumerate(T.RESIDUAL))
+
+
+def _rule(i: int, label: str, pattern: str, part: str | None) -> str:
+    number = "regexp_extract(m, '[0-9]+$')" if part == "tail" else "regexp_extract(m, '^[0-9]+')" if part else "m"
+    begin = f"till - length({number})" if part == "tail" else "till - length(m)"
+    return f"""SELECT doc_id, {i} AS rule, {begin} AS s, {begin} + length({number}) AS e, '{label}' AS label, {number} AS text FROM (SELECT doc_id, m, sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORDER BY ix) AS till FROM (
+  SELECT doc_id, unnest(hit) AS m, unnest(gap[1:len(hit)]) AS g, unnest(range(0, len(hit))) AS ix FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS hit, regexp_split_to_array(text, '{pattern}') AS gap FROM documents) WHERE len(hit) > 0))"""
+
+
+@query("WITH rules AS (" + " UNION ALL ".join(_rule(*r) for r in _RULES) + """), ruled AS (SELECT doc_id, list({'s': s, 'e': e, 'label': label, 'text': text} ORDER BY rule, s, e) AS xs FROM rules GROUP BY doc_id),
+kept AS (SELECT doc_id, unnest(list_reduce(list_transform(xs, lambda x: [x]), lambda a, x: CASE WHEN len(list_filter(a, lambda k: k.s < x[1].e AND x[1].s < k.e)) = 0 THEN list_concat(a, x) ELSE a END)) AS x FROM ruled)
+SELECT doc_id, CAST(x.s AS INT) AS start, CAST(x.e AS INT) AS "end", x.label AS label, x.text AS text, 'rule' AS source, CAST(NULL AS DOUBLE) AS score FROM kept""")
 def residual_spans(spark, sf):
     return spans.residual(documents(spark, sf))
 
@@ -384,6 +412,17 @@ def span_label_probability(spark, sf):
     return got.withColumn("p", F.round("p", 6))
 
 
+@query(SPAN_SQL + _MISS.format(by="label,", group="GROUP BY label").replace("SELECT label, n, fn_a", ", tests AS (SELECT label, n, fn_a") + """),
+ranked AS (SELECT label AS name, 1 / (1 + mcnemar) AS p, row_number() OVER (ORDER BY 1 / (1 + mcnemar), label) AS i, count(*) OVER () AS m FROM tests)
+SELECT name, round(p, 6) AS p, round(max(least(1.0::DOUBLE, (m - i + 1) * p)) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING), 6) AS adjusted FROM ranked""")
+def holm_adjusted(spark, sf):
+    """Holm's correction of numbers that SQL can give: 1 / (1 + statistic) in place of p, as SQL has no error function."""
+    g, tc, llm = all_spans(spark, sf)
+    tests = M.complementarity(M.misses(g, {"tc": tc, "llm": llm}), "tc", "llm", "label")
+    got = M.holm(tests.select(F.col("label").alias("name"), (1 / (1 + F.col("mcnemar"))).alias("p")))
+    return got.select("name", F.round("p", 6).alias("p"), F.round("adjusted", 6).alias("adjusted"))
+
+
 @query()
 def mcnemar_holm(spark, sf):
     g, tc, llm = all_spans(spark, sf)
@@ -400,7 +439,15 @@ def opf_records(spark, sf):
     return made.select("doc_id", F.explode("spans").alias("key", "at")).select("doc_id", F.md5("key").alias("key"), F.array_join(F.transform("at", lambda x: F.concat_ws("-", x[0], x[1])), ",").alias("places"))
 
 
-@query()
+_WHITE = r"[\x09-\x0D\x1C-\x20\x{85}\p{Z}]"
+
+
+@query(f"""WITH RECURSIVE found AS (SELECT doc_id, text, regexp_extract_all(text, '\n{_WHITE}*\n') AS hit, regexp_split_to_array(text, '\n{_WHITE}*\n') AS gap FROM documents WHERE text <> ''),
+paras AS (SELECT doc_id, unnest(gap) AS g, unnest(list_append(hit, '')) AS m, unnest(range(0, len(gap))) AS k FROM found),
+blocks AS (SELECT doc_id, k, g || m AS body, CAST(sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORDER BY k) - length(g) - length(m) AS BIGINT) AS base FROM paras),
+cuts AS (SELECT doc_id, k, body, base, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS z FROM blocks UNION ALL
+  SELECT doc_id, k, body, base, z, CASE WHEN length(body) - z <= 1500 THEN length(body) ELSE z + coalesce(nullif(length(regexp_extract(substring(body, z + 1, 1500), '(?s)^(.+)\n', 1)), 0), nullif(length(regexp_extract(substring(body, z + 1, 1500), '(?s)^(.+) ', 1)), 0), 1500) END FROM cuts WHERE z < length(body))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k, a) AS INT) AS segment, CAST(base + a AS INT) AS start, CAST(base + z AS INT) AS "end" FROM cuts WHERE z > 0""")
 def segment_documents(spark, sf):
     return O.segments(documents(spark, sf)).select("doc_id", "segment", "start", "end")
 
@@ -413,7 +460,12 @@ def ground_items(spark, sf):
     return O.deduped(O.ground(documents(spark, sf), items)).select("doc_id", "start", "end", "label", "method", "score")
 
 
-@query()
+# a detector's spans in order, without those that begin inside one
+WRITTEN = """, row_of AS (SELECT doc_id, list({'s': s, 'e': e, 'label': label} ORDER BY s, e, label) AS xs FROM tc GROUP BY doc_id),
+apart AS (SELECT doc_id, x.s AS s, x.e AS e, x.label AS label FROM (SELECT doc_id, unnest(list_reduce(list_transform(xs, lambda x: [x]), lambda a, x: CASE WHEN x[1].s >= a[-1].e THEN list_concat(a, x) ELSE a END)) AS x FROM row_of))"""
+
+
+@query(SPAN_SQL + WRITTEN + """ SELECT doc_id, s AS start, CAST(least(e, length(text)) AS INT) AS "end", label, 'exact' AS method, 1.0::DOUBLE AS score FROM apart JOIN documents USING (doc_id)""")
 def tagged_outputs(spark, sf):
     """A detector's spans written as tags, read back."""
     docs = documents(spark, sf)
@@ -428,6 +480,88 @@ def inject_identifiers(spark, sf):
     return made.select("doc_id", F.length("text").alias("n_chars"), F.size("spans").alias("n_spans"), F.sha1("text").alias("sha"))
 
 
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _escaped(x: str) -> str:
+    for char, escape in (prompts.ESCAPES | prompts.RARE).items():
+        x = f"replace({x}, {f'chr({ord(char)})' if ord(char) < 32 else _quoted(char)}, {_quoted(escape)})" if char != "\0" else x
+    return x
+
+
+def _hash(system: str, user: str) -> str:
+    head = '[{"content": ' + json.dumps(system, ensure_ascii=False) + ', "role": "system"}, {"content": "'
+    return f"substr(sha256({_quoted(head)} || {_escaped(user)} || '\", \"role\": \"user\"}}]'), 1, 16)"
+
+
+_FORMS = prompts.FORMATS[:3]
+
+
+@query(" UNION ALL ".join(f"SELECT doc_id, '{f}' AS form, " + _hash(prompts.system_text(f), "coalesce(text, '')") + " AS prompt_hash FROM documents" for f in _FORMS))
+def extraction_prompts(spark, sf):
+    docs, out = documents(spark, sf), None
+    for f in _FORMS:
+        one = prompts.extraction(docs, f).select("doc_id", F.lit(f).alias("form"), prompts.prompt_hash(F.col("messages")).alias("prompt_hash"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(SPAN_SQL + WRITTEN + """, gaps AS (SELECT *, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY s) AS since FROM apart),
+heads AS (SELECT doc_id, string_agg(substring(text, since + 1, s - since) || '<PHI type="' || label || '">' || substring(text, s + 1, e - s) || '</PHI>', '' ORDER BY s) AS head, max(e) AS last FROM gaps JOIN documents USING (doc_id) GROUP BY doc_id),
+told AS (SELECT doc_id, CASE WHEN head IS NULL THEN coalesce(text, '') ELSE head || substring(text, last + 1) END AS t FROM documents LEFT JOIN heads USING (doc_id))
+SELECT doc_id, """ + _hash(prompts.editor_text(focus=L.UNSUPPORTED), "t") + " AS prompt_hash FROM told")
+def editor_prompts(spark, sf):
+    made = prompts.editor(documents(spark, sf), all_spans(spark, sf)[1], focus=L.UNSUPPORTED)
+    return made.select("doc_id", prompts.prompt_hash(F.col("messages")).alias("prompt_hash"))
+
+
+@query(SPAN_SQL + """, asked AS (SELECT doc_id, s, e, label, 'Text around it: ...' || substring(d.text, greatest(0, s - 200) + 1, s - greatest(0, s - 200)) || '[[' || substring(d.text, s + 1, e - s) || ']]' || substring(d.text, e + 1, 200) || '...' || chr(10) || 'Candidate: "' || substring(d.text, s + 1, e - s) || '", label ' || label AS t FROM tc JOIN documents d USING (doc_id))
+SELECT doc_id, s AS start, e AS "end", label, """ + _hash(prompts.verifier_text(), "t") + " AS prompt_hash FROM asked")
+def verifier_prompts(spark, sf):
+    made = prompts.verifier(documents(spark, sf), all_spans(spark, sf)[1])
+    return made.select("doc_id", "start", "end", "label", prompts.prompt_hash(F.col("messages")).alias("prompt_hash"))
+
+
+@query("""WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents), c AS (SELECT DISTINCT t FROM d WHERE lang = 'en'), f AS (SELECT t, min(doc_id) AS first FROM d GROUP BY t)
+SELECT doc_id, c.t IS NOT NULL OR doc_id <> first AS cached, CAST(length(d.t) AS BIGINT) AS input_tokens, CASE WHEN c.t IS NOT NULL OR doc_id <> first THEN 0 ELSE length(d.t) / 1024.0::DOUBLE END AS cost_usd FROM d JOIN f USING (t) LEFT JOIN c ON c.t = d.t""")
+def completion_calls(spark, sf):
+    """All documents are asked about, those in English were before; a made-up answer counts a token a character."""
+    docs = T.spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang"))
+    ask = lambda d: completions.requests(prompts.extraction(d, "json_strings"), {}, "made/up", temperature=0)
+    n = F.length(F.expr("messages[1].content")).cast("long")
+    answer = lambda d: d.select("key", F.lit('{"spans": []}').alias("output"), n.alias("input_tokens"), F.lit(5).cast("long").alias("output_tokens"), (n / 1024.0).alias("cost_usd"), F.lit(0.1).alias("latency_s"))
+    held = answer(ask(docs.where("lang = 'en'")))
+    cache = completions.grown(held.where("false"), held)
+    asked = ask(docs)
+    return completions.completed(asked, cache, answer(completions.pending(asked, cache)), "doc_id").select("doc_id", "cached", "input_tokens", "cost_usd")
+
+
+@query(SQL["verdicts"])
+def verifier_answers(spark, sf):
+    """Verdicts written as a verifier does, and read."""
+    g, tc, _ = all_spans(spark, sf)
+    said = F.concat(F.lit('```json\n{"label": null, "is_phi": '), F.col("is_phi").cast("string"), F.lit("}\n```"))
+    return completions.verdicts(simulate.right(tc, g).withColumn("output", said))
+
+
+_OPF_TAGS = training.tag_list(training.label_space("opf8")[0])
+
+
+@query(SPAN_SQL + ", og AS (SELECT * FROM (SELECT doc_id, s, e, CASE label " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in L.OPF_OF.items() if v) + " END AS label FROM gold) WHERE label IS NOT NULL)" + ENCODED.replace("gold g", "og g") + f""",
+cn AS (SELECT doc_id, count(*) AS n FROM token GROUP BY doc_id), cw AS (SELECT doc_id, n, unnest(range(0, CASE WHEN n <= 128 THEN 0 ELSE CAST(ceil((n - 128) / 96.0) AS BIGINT) END + 1)) AS i FROM cn),
+cp AS (SELECT doc_id, i, unnest(range(i * 96, least(n, i * 96 + 128))) AS ix FROM cw),
+ci AS (SELECT doc_id, i, ix, {_H("'v' || tok")} % 50000 AS id, list_position([{', '.join(f"'{x}'" for x in _OPF_TAGS)}], coalesce(tag, 'O')) - 1 AS tag_id FROM cp JOIN token USING (doc_id, ix) LEFT JOIN tagged USING (doc_id, ix))
+SELECT doc_id, CAST(i AS INT) AS "window", CAST(count(*) + 2 AS INT) AS n, md5('1,' || string_agg(id, ',' ORDER BY ix) || ',2') AS ids, md5('-100,' || string_agg(tag_id, ',' ORDER BY ix) || ',-100') AS labels FROM ci GROUP BY doc_id, i""")
+def training_examples(spark, sf):
+    """Windows to train on in the privacy filter's labels; a token's id is drawn from its text."""
+    t = token_rows(spark, sf)
+    ids = t.select("doc_id", "ix", "start", "end", (T.hashed(F.concat(F.lit("v"), "found")) % 50000).alias("id"))
+    made = training.examples(ids, draw(t, "g"), "opf8", 130, 32, before=(1,), after=(2,))
+    digest = lambda c: F.md5(F.array_join(F.col(c).cast("array<string>"), ","))
+    return made.select("doc_id", "window", F.size("input_ids").alias("n"), digest("input_ids").alias("ids"), digest("labels").alias("labels"))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Strict scores by label of the union of two detectors."""
     g, tc, llm = all_spans(spark, sf)

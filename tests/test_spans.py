@@ -171,3 +171,14 @@ def test_gate(spark, drawn_spans, asked):
     assert Counter((r.rule, r.accepted) for r in spans.gate(every, counts, **options).collect()) == rules
     got = spans.confidence_gated(every, counts, **options)
     assert Counter(map(tuple, got.select("doc_id", "start", "end", "label", "source", "score").collect())) == want
+
+
+def test_bootstrap_of_evaluated_documents(spark):
+    ddl = "doc_id long, label string, tp long, fp long, fn long"
+    a, b = spark.createDataFrame([(0, "DATE", 1, 0, 1)], ddl), spark.createDataFrame([(1, "DATE", 2, 0, 0)], ddl)
+    docs = spark.range(10).withColumnRenamed("id", "doc_id")
+    r = metrics.paired_bootstrap(a, b, "leak_rate", 50, docs=docs).first()
+    assert (r.n_docs, r.value_a, r.value_b) == (10, 0.1, 0.0)
+    assert metrics.paired_bootstrap(a, b, "leak_rate", 50).first().value_a == 0.5
+    with pytest.raises(Exception, match="wasn't evaluated: 1"):
+        metrics.paired_bootstrap(a, b, "recall", 50, docs=docs.where("doc_id = 0")).collect()
