@@ -181,8 +181,9 @@ def paired_bootstrap(a: DataFrame, b: DataFrame, metric: str = "recall", n_resam
     both = side(a, "_a").join(side(b, "_b"), "doc_id", "full")
     if docs is not None:
         both = docs.select("doc_id", F.lit(1).alias("one")).distinct().join(both, "doc_id", "full")
-        stray = F.raise_error(F.concat(F.lit("counts of a document that wasn't evaluated: "), F.col("doc_id").cast("string"))).cast("int")
-        both = both.withColumn("one", F.when(F.col("one").isNull(), stray).otherwise(F.col("one")))
+        stray = F.raise_error(F.concat(F.lit("counts of a document that wasn't evaluated: "), F.col("doc_id").cast("string")))
+        checked = lambda c: F.when(F.col("one").isNull(), stray.cast("long")).otherwise(F.col(c)).alias(c)
+        both = both.select("doc_id", "one", *[checked(c + x) for x in ("_a", "_b") for c in ("tp", "fp", "fn")])
     else:
         both = both.withColumn("one", F.lit(1))
     both = both.fillna(0)
