@@ -210,7 +210,7 @@ def parse_segments(output: str) -> dict[int, str]:
 ROW = "start int, end int, label string, method string, score double"
 
 
-def _per_row(d: DataFrame, columns: list[str], schema: str, work) -> DataFrame:
+def per_row(d: DataFrame, columns: list[str], schema: str, work) -> DataFrame:
     """work(row of `columns`) -> rows of the schema after doc_id, in Arrow batches; doc_id keeps its type."""
     id_type = d.schema["doc_id"].dataType.simpleString()
 
@@ -245,7 +245,7 @@ def ground(docs: DataFrame, items: DataFrame, every: bool = True, least: float =
             for r in got or [(None, None, x["label"], "failed", 0.0)]:
                 yield (x["item"], *r)
 
-    return _per_row(docs.select("doc_id", "text").join(per_doc, "doc_id"), ["text", "items"], f"item int, {ROW}", work)
+    return per_row(docs.select("doc_id", "text").join(per_doc, "doc_id"), ["text", "items"], f"item int, {ROW}", work)
 
 
 def deduped(grounded: DataFrame) -> DataFrame:
@@ -267,7 +267,7 @@ def tagged(docs: DataFrame, outputs: DataFrame) -> DataFrame:
         got = None if output is None else fit_tagged(text or "", output)
         return [(None, None, None, "rejected", 0.0)] if got is None else got
 
-    return _per_row(docs.select("doc_id", "text").join(outputs.select("doc_id", "output"), "doc_id"), ["text", "output"], ROW, work)
+    return per_row(docs.select("doc_id", "text").join(outputs.select("doc_id", "output"), "doc_id"), ["text", "output"], ROW, work)
 
 
 def segments(docs: DataFrame, longest: int = 1500) -> DataFrame:
@@ -276,7 +276,7 @@ def segments(docs: DataFrame, longest: int = 1500) -> DataFrame:
     def work(text):
         return [(i, s, e, text[s:e]) for i, (s, e) in enumerate(cut_segments(text or "", longest), 1)]
 
-    return _per_row(docs, ["text"], "segment int, start int, end int, text string", work)
+    return per_row(docs, ["text"], "segment int, start int, end int, text string", work)
 
 
 def render_segments(segs: DataFrame) -> DataFrame:
@@ -297,7 +297,7 @@ def tagged_segments(docs: DataFrame, outputs: DataFrame, longest: int = 1500) ->
             else:
                 yield from ((s + a, s + z, label, method, score) for a, z, label, method, score in fit)
 
-    return _per_row(docs.select("doc_id", "text").join(outputs.select("doc_id", "output"), "doc_id"), ["text", "output"], ROW, work)
+    return per_row(docs.select("doc_id", "text").join(outputs.select("doc_id", "output"), "doc_id"), ["text", "output"], ROW, work)
 
 
 def call_costs(log: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.labels import frequency_bucket, is_hipaa, relabel
+from .ranges import islands, overlapping
 
 KEY = ("start", "end", "label")
 
@@ -23,7 +24,7 @@ def match(gold: DataFrame, pred: DataFrame, mode: str = "strict", extents: bool
     """(doc_id, gold_label, pred_label), with `extents` the gold span's start and end too: one row per pair, per missed gold span (pred_label null) and per spurious one (gold_label null).
 
     strict: equal extent and label, as an equi join of numbered repeats. relaxed (overlap and equal label) and typeless
-    (overlap): gold spans in order take the best free prediction, as a fold over each document."""
+    (overlap): gold spans in order take the best free prediction, as a fold over spans of both sides that hang together."""
     if mode == "strict":
         n = F.row_number().over(W.partitionBy("doc_id", *KEY).orderBy("source"))
         g = gold.withColumn("n", n).select("doc_id", *KEY, "n", F.col("label").alias("gold_label"))
@@ -31,8 +32,9 @@ def match(gold: DataFrame, pred: DataFrame, mode: str = "strict", extents: bool
         return g.join(p, ["doc_id", *KEY, "n"], "full").select("doc_id", "gold_label", "pred_label", *(KEY[:2] if extents else ()))
     if mode not in ("relaxed", "typeless"):
         raise ValueError(f"unknown mode {mode}")
-    side = lambda d, name: d.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*KEY))).alias(name))
-    d = side(gold, "g").join(side(pred, "p"), "doc_id", "full").select("doc_id", *[F.coalesce(x, F.expr("CAST(array() AS array<struct<start: int, end: int, label: string>>)")).alias(x) for x in "gp"])
+    both = gold.select("doc_id", *KEY, F.lit("g").alias("side")).unionByName(pred.select("doc_id", *KEY, F.lit("p").alias("side")))
+    side = lambda x: F.array_sort(F.collect_list(F.when(F.col("side") == x, F.struct(*KEY)))).alias(x)
+    d = islands(both).groupBy("doc_id", "island").agg(side("g"), side("p"))
     label = "AND p[j].label = x.label" if mode == "relaxed" else ""
     taken = f"""aggregate(g, CAST(array() AS array<int>), (used, x) -> concat(used, array(coalesce(-array_max(transform(
         filter(sequence(0, size(p) - 1), j -> size(p) > 0 AND NOT array_contains(used, j) AND p[j].start < x.end AND x.start < p[j].end {label}),
@@ -82,7 +84,7 @@ def token_prf(tokens: DataFrame, gold: DataFrame, pred: DataFrame) -> DataFrame:
     t = tokens.select("doc_id", "ix", F.col("start").alias("ts"), F.col("end").alias("te"))
 
     def under(spans):
-        return t.join(spans.select("doc_id", "start", "end"), "doc_id").where("ts < end AND start < te").select("doc_id", "ix").distinct()
+        return overlapping(t, spans.select("doc_id", "start", "end"), ("ts", "te"), ("start", "end")).select("doc_id", "ix").distinct()
 
     both = under(gold).withColumn("g", F.lit(1)).join(under(pred).withColumn("p", F.lit(1)), ["doc_id", "ix"], "full")
     c = both.agg(*[F.coalesce(F.sum(F.expr(f"CAST({e} AS BIGINT)")), F.lit(0)).alias(n) for n, e in (("tp", "g = 1 AND p = 1 AND g IS NOT NULL AND p IS NOT NULL"), ("fp", "g IS NULL"), ("fn", "p IS NULL"))])

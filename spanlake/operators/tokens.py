@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranges import overlapping
+
 
 def encode(tokens: DataFrame, spans: DataFrame, scheme: str = "bioes") -> DataFrame:
     """(doc_id, ix, tag): a token belongs to the earliest span that it overlaps, one without extent to none. tokens: (doc_id, ix, start, end)."""
     if scheme not in ("bioes", "bio"):
         raise ValueError(f"unknown scheme {scheme}")
-    s = spans.select(F.col("doc_id").alias("d"), F.col("start").alias("s"), F.col("end").alias("e"), F.col("label").alias("l"))
-    own = tokens.select("doc_id", "ix", "start", "end").join(s, (F.col("doc_id") == F.col("d")) & (F.col("start") < F.col("end")) & (F.col("start") < F.col("e")) & (F.col("s") < F.col("end"))).groupBy("doc_id", "ix").agg(F.min(F.struct("s", "e", F.col("l").alias("label"))).alias("span"))
+    s = spans.select("doc_id", F.col("start").alias("s"), F.col("end").alias("e"), F.col("label").alias("l"))
+    own = overlapping(tokens.select("doc_id", "ix", "start", "end").where("start < end"), s).groupBy("doc_id", "ix").agg(F.min(F.struct("s", "e", F.col("l").alias("label"))).alias("span"))
     w = W.partitionBy("doc_id", "span")
     n, i = F.count("*").over(w), F.row_number().over(w.orderBy("ix"))
     prefix = F.when((n == 1) & F.lit(scheme == "bioes"), "S-").when(i == 1, "B-").when((i == n) & F.lit(scheme == "bioes"), "E-").otherwise("I-")
@@ -52,6 +54,6 @@ def label_probability(dist: DataFrame, spans: DataFrame, reduce: str = "mean") -
     """(doc_id, start, end, label, p): a span's mass of the tags of its label over its tokens. dist: (doc_id, ix, ts, te, tag, p)."""
     key = ["doc_id", "start", "end", "label"]
     d = dist.where("ts <> te").withColumn("tag_label", F.regexp_replace("tag", r"(?i)^[BIESLU]-", ""))
-    per = spans.select(*key).join(d, "doc_id").where("ts < end AND start < te").groupBy(*key, "ix").agg(F.sum(F.when(F.col("tag_label") == F.col("label"), F.col("p")).otherwise(0.0)).alias("m"))
+    per = overlapping(spans.select(*key).distinct(), d, b_at=("ts", "te")).groupBy(*key, "ix").agg(F.sum(F.when(F.col("tag_label") == F.col("label"), F.col("p")).otherwise(0.0)).alias("m"))
     got = per.groupBy(*key).agg((F.min("m") if reduce == "min" else F.avg("m")).alias("p"))
     return spans.select(*key).join(got, key, "left").fillna(0.0, ["p"])

@@ -182,3 +182,44 @@ def test_bootstrap_of_evaluated_documents(spark):
     assert metrics.paired_bootstrap(a, b, "leak_rate", 50).first().value_a == 0.5
     with pytest.raises(Exception, match="wasn't evaluated: 1"):
         metrics.paired_bootstrap(a, b, "recall", 50, docs=docs.where("doc_id = 0")).collect()
+
+
+def test_overlapping(spark):
+    from spanlake.operators import ranges
+
+    a = [(d, i, s, s + R.choice([0, 1, 3, 700])) for d in (0, 1) for i, s in enumerate(R.sample(range(1500), 40))]
+    b = [(d, i, s, s + R.choice([0, 2, 250, 256, 600])) for d in (1, 2) for i, s in enumerate(R.sample(range(1500), 40))]
+    want = Counter((x[0], x[1], y[1]) for x in a for y in b if x[0] == y[0] and x[2] < y[3] and y[2] < x[3])
+    one, two = spark.createDataFrame(a, "doc_id int, i int, start int, end int"), spark.createDataFrame(b, "doc_id int, j int, s int, e int")
+    assert Counter(map(tuple, ranges.overlapping(one, two).select("doc_id", "i", "j").collect())) == want and len(want) > 50
+
+
+def test_residual_and_cues(spark):
+    from spanlake.functions import text as T
+    from spanlake.operators import routing
+
+    texts = ["MRN" + ": " * 12 + "1234567, 34-year-old, 1/2/2020 212-555-0188 a.b@c.org 123-45-6789 Jan 3, 2021", "", None, "2020-01-02 " * 40 + "http://x.y fax 10.0.0.1 AB-12345 90210"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    import re
+
+    kept, seen = [], Counter()
+    for d, t in enumerate(texts):
+        mine = []
+        for label, pattern in T.RESIDUAL:
+            rx = re.compile(pattern)
+            for m in rx.finditer(t or ""):
+                s, e = m.span(1 if rx.groups else 0)
+                if not any(a < e and s < z for _, a, z, *_ in mine):
+                    mine.append((d, s, e, label, t[s:e]))
+        kept += mine
+        seen.update((d, name, *m.span()) for name, p in T.CUES.items() for m in re.finditer(p, t or ""))
+    got = spans.residual(docs)
+    assert Counter(map(tuple, got.select("doc_id", "start", "end", "label", "text").collect())) == Counter(kept) and ("MEDICALRECORD" in {k[3] for k in kept})
+    assert Counter(map(tuple, routing.cues(docs).collect())) == seen
+    covering = spark.createDataFrame([(0, 0, 60, "ID", "", "tc", 1.0)], DDL)
+    f = {r.doc_id: r for r in routing.scored(routing.features(docs, covering)).collect()}
+    for d, t in enumerate(texts):
+        n = sum(1 for x, _, s, e in seen.elements() if x == d and not (d == 0 and s < 60 and 0 < e))
+        assert (f[d].n_chars, f[d].uncovered_cues, f[d].tc_span_count) == (len(t or ""), n, int(d == 0))
+        assert f[d].risk == round(n + 0.5 * f[d].header_lines + 0.2 * f[d].capitalized_oov + 0.0002 * len(t or ""), 6)
+    assert spans.residual(docs.where("false")).count() == 0
