@@ -114,13 +114,17 @@ def kinds():
 _KINDS: list = []
 
 
-def tokenised(docs: DataFrame, *keys: str, text: str = "text", ahead: int = 0) -> DataFrame:
-    """find_all() for TOKEN, in numpy over the code points of many texts at once: (keys, ix, start, end, found), with `ahead` end1, end2, ..."""
+def tokenised(docs: DataFrame, *keys: str, text: str = "text", ahead: int = 0, found: bool = True, then=None) -> DataFrame:
+    """find_all() for TOKEN, in numpy over the code points of many texts at once: (keys, ix, start, end, found), with `ahead` end1, end2, ...
+
+    Without `found` only places leave the workers. `then` is (a function of a RecordBatch of tokens, the DDL of what it gives):
+    it runs where the tokens are made, so that tokens it doesn't want never leave."""
     keys = keys or ("doc_id",)
     head = docs.select(*keys)
     extra = [f"end{k}" for k in range(1, ahead + 1)]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in head.schema] + ["ix int", "start int", "end int", "found string", *(f"{c} int" for c in extra)])
-    names = [*head.columns, "ix", "start", "end", "found", *extra]
+    columns = ["ix int", "start int", "end int", *(["found string"] if found else []), *(f"{c} int" for c in extra)]
+    schema = then[1] if then else ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in head.schema] + columns)
+    names = [*head.columns, *(c.split()[0] for c in columns)]
 
     def some(b, first, texts):
         import numpy as np
@@ -138,15 +142,16 @@ def tokenised(docs: DataFrame, *keys: str, text: str = "text", ahead: int = 0) -
         doc = np.searchsorted(begin, start, side="right") - 1
         count = np.bincount(doc, minlength=len(texts))
         last = np.cumsum(count)
-        # the tokens' characters in a row are the data of the string array
-        size = np.where(points < 0x80, 1, np.where(points < 0x800, 2, np.where(points < 0x10000, 3, 4))) * (kind != 0)
-        bytes_to = np.append(0, np.cumsum(size))
-        offsets = np.append(bytes_to[start], bytes_to[-1]).astype(np.int32)
-        data = points[kind != 0].tobytes().decode("utf-32-le").encode()
-        found = pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data))
         at = np.arange(len(start))
         cols = [b.column(i).take(pa.array(first + doc)) for i in range(len(keys))]
-        cols += [pa.array((at - (last - count)[doc]).astype(np.int32)), pa.array((start - begin[doc]).astype(np.int32)), pa.array((end - begin[doc]).astype(np.int32)), found]
+        cols += [pa.array((at - (last - count)[doc]).astype(np.int32)), pa.array((start - begin[doc]).astype(np.int32)), pa.array((end - begin[doc]).astype(np.int32))]
+        if found:
+            # the tokens' characters in a row are the data of the string array
+            size = np.where(points < 0x80, 1, np.where(points < 0x800, 2, np.where(points < 0x10000, 3, 4))) * (kind != 0)
+            bytes_to = np.append(0, np.cumsum(size))
+            offsets = np.append(bytes_to[start], bytes_to[-1]).astype(np.int32)
+            data = points[kind != 0].tobytes().decode("utf-32-le").encode()
+            cols.append(pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)))
         cols += [pa.array((end[np.minimum(at + k, last[doc] - 1)] - begin[doc]).astype(np.int32)) for k in range(1, ahead + 1)]
         return pa.RecordBatch.from_arrays(cols, names=names)
 
@@ -163,7 +168,8 @@ def tokenised(docs: DataFrame, *keys: str, text: str = "text", ahead: int = 0) -
                     j += 1
                 if n:
                     whole = [k for k in range(i, j) if texts[k]]
-                    yield some(b.take(_indices(whole)), 0, [texts[k] for k in whole])
+                    made = some(b.take(_indices(whole)), 0, [texts[k] for k in whole])
+                    yield then[0](made) if then else made
                 i = j
 
     return docs.select(*keys, F.col(text).cast("string")).mapInArrow(run, schema)

@@ -7,7 +7,10 @@ drawn span's text is its first token."""
 from __future__ import annotations
 
 import json
+import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,32 +27,88 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def token_rows(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.concat_ws(":", "doc_id", "ix")
-    names = F.array(*map(F.lit, L.SUBTYPES))
-    h = lambda p: T.hashed(F.concat(F.lit(p), k))
-    t = T.tokenised(documents(spark, sf), ahead=4).withColumn("h", h("g"))
-    long = (F.floor(F.col("h") / 1400) % 5).cast("int")
-    t = t.withColumn("stop", F.coalesce(*[F.when(long == k, F.col(f"end{k}")) for k in range(1, 5)], F.col("end")))
-    return t.withColumn("label", names[((F.floor(F.col("h") / 50)) % 28).cast("int")]).withColumn("k", k)
-
-
-def draw(t: DataFrame, p: str) -> DataFrame:
-    """gold (p = g), tc (p = t) or llm (p = l) spans."""
-    h = lambda q: T.hashed(F.concat(F.lit(p + q), "k"))
-    null = F.lit(None).cast("double")
-    if p == "g":
-        return t.where("h % 50 = 0").select("doc_id", "start", F.col("stop").alias("end"), "label", F.col("found").alias("text"), F.lit("gold").alias("source"), null.alias("score"))
-    names = F.array(*map(F.lit, L.SUBTYPES))
-    gold, miss, wide = F.col("h") % 50 == 0, 15 if p == "t" else 25, 2 if p == "t" else 3
-    s = t.where((gold & (h("m") % 100 >= miss)) | (~gold & (h("f") % 400 == 0)))
-    label = F.when(gold & (h("r") % 10 > 0), F.col("label")).otherwise(names[(h("n") % 28).cast("int")])
-    score = (h("s") % 100) / 100.0 if p == "t" else null
-    return s.select("doc_id", "start", (F.when(gold, F.col("stop")).otherwise(F.col("end")) + F.when(h("w") % 10 == 0, wide).otherwise(0)).alias("end"), label.alias("label"), F.col("found").alias("text"), F.lit("tc" if p == "t" else "llm").alias("source"), score.cast("double").alias("score"))
+    k, names = F.concat_ws(":", "doc_id", "ix"), F.array(*map(F.lit, L.SUBTYPES))
+    t = T.tokenised(documents(spark, sf))
+    return t.withColumn("label", names[(F.floor(T.hashed(F.concat(F.lit("g"), k)) / 50) % 28).cast("int")]).withColumn("k", k)
+
+
+SPAN = "doc_id bigint, start int, end int, label string, text string, source string, score double"
+
+
+_SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+_TURNS = [((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))[i // 16][i % 4] for i in range(64)]
+
+
+def md5_heads(prefixes: list[bytes], which: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """What T.hashed() gives for prefixes[which] followed by a number in digits, for many at once; such a key fits MD5's one block."""
+    n, rows = len(which), np.arange(len(which))
+    if not n:
+        return np.zeros(0, np.int64)
+    size = np.array([len(p) for p in prefixes], np.int64)[which]
+    width = max((len(p) for p in prefixes), default=0)
+    block = np.zeros((n, 64), np.uint8)
+    block[:, :width] = np.array([np.frombuffer(p.ljust(width, b"\0"), np.uint8) for p in prefixes]).reshape(-1, width)[which]
+    digits, k = np.ones(n, np.int64), 10
+    while (number >= k).any():
+        digits += number >= k
+        k *= 10
+    for k in range(int(digits.max(initial=0))):
+        some = np.flatnonzero(digits > k)
+        block[some, (size + digits)[some] - 1 - k] = 48 + number[some] // 10**k % 10
+    size += digits
+    block[rows, size] = 128
+    words = np.ascontiguousarray(block.view("<u4").T).astype(np.uint32)
+    words[14] = 8 * size
+    start = [np.uint32(x) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    a, b, c, d = (np.full(n, x) for x in start)
+    for i in range(64):
+        mixed, at = ((d ^ (b & (c ^ d)), i), (c ^ (d & (b ^ c)), 5 * i + 1), (b ^ c ^ d, 3 * i + 5), (c ^ (b | ~d), 7 * i))[i // 16]
+        mixed = mixed + a + words[at % 16] + np.uint32(_SINES[i])
+        left = np.uint32(_TURNS[i])
+        a, d, c, b = d, c, b, b + (mixed << left | mixed >> (np.uint32(32) - left))
+    return (a + start[0]).byteswap().astype(np.int64)
+
+
+def drawn(tokens_: pa.RecordBatch) -> pa.RecordBatch:
+    """The gold, tc and llm spans that begin at some tokens (of tokenised() with `ahead` 4)."""
+    t = {c: tokens_.column(c) for c in tokens_.schema.names}
+    ids, ix = t["doc_id"].to_pylist(), t["ix"].to_numpy()
+    heads = np.append(np.flatnonzero(ix == 0), len(ix))  # documents are whole, their tokens in order
+    whose = np.repeat(np.arange(len(heads) - 1), np.diff(heads))
+    every = np.arange(len(ids))
+
+    def h(prefix: str, rows: np.ndarray = every) -> np.ndarray:
+        return md5_heads([f"{prefix}{ids[i]}:".encode() for i in heads[:-1].tolist()], whose[rows], ix[rows])
+
+    names = np.array(L.SUBTYPES, object)
+    g = h("g")
+    gold = g % 50 == 0
+    ends = np.stack([t[c].to_numpy() for c in ("end", "end1", "end2", "end3", "end4")])
+    stop = np.where(gold, ends[(g // 1400) % 5, every], ends[0])
+    label = g // 50 % 28
+    at, end, kind, source, score = [np.flatnonzero(gold)], [stop[gold]], [label[gold]], ["gold"], [np.full(gold.sum(), np.nan)]
+    for p, name, miss, wide in (("t", "tc", 15, 2), ("l", "llm", 25, 3)):
+        hit, stray = np.flatnonzero(gold), np.flatnonzero(~gold & (h(p + "f") % 400 == 0))
+        hit = hit[h(p + "m", hit) % 100 >= miss]
+        some = np.sort(np.append(hit, stray))
+        at.append(some)
+        end.append(stop[some] + np.where(h(p + "w", some) % 10 == 0, wide, 0))
+        kind.append(np.where(gold[some] & (h(p + "r", some) % 10 > 0), label[some], h(p + "n", some) % 28))
+        source.append(name)
+        score.append(h(p + "s", some) % 100 / 100.0 if p == "t" else np.full(len(some), np.nan))
+    rows, score = pa.array(np.concatenate(at)), np.concatenate(score)
+    cols = [t["doc_id"].take(rows), t["start"].take(rows), pa.array(np.concatenate(end).astype(np.int32)), pa.array(names[np.concatenate(kind)], pa.string()), t["found"].take(rows)]
+    cols += [pa.array(np.repeat(source, [len(x) for x in at]).tolist(), pa.string()), pa.array(score, mask=np.isnan(score))]
+    return pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "end", "label", "text", "source", "score"])
 
 
 def all_spans(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    t = token_rows(spark, sf)
-    return tuple(draw(t, p) for p in "gtl")
+    """Gold, tc and llm spans. They are drawn once and meet by document, so all that a query takes of them reads one exchange.
+    Ids aren't null on either side of the draw, so that joins, which ask for that, leave the plan below the exchange as it is."""
+    s = T.tokenised(documents(spark, sf).where("doc_id IS NOT NULL"), ahead=4, then=(drawn, SPAN)).where("doc_id IS NOT NULL")
+    met = s.groupBy("doc_id").agg(F.collect_list(F.struct(*s.columns[1:])).alias("x")).select("doc_id", F.explode("x").alias("x"))
+    each = met.select("doc_id", *[f"x.{c}" for c in s.columns[1:]])
+    return tuple(each.where(F.col("source") == x) for x in ("gold", "tc", "llm"))
 
 
 def train_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,7 +166,7 @@ def query(sql: str | None = None):
 
 @query(TOKEN_SQL + " SELECT doc_id, count(*) AS n_tokens, max(e) AS last FROM token GROUP BY doc_id")
 def tokenize_counts(spark, sf):
-    return T.tokenised(documents(spark, sf)).groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.max("end").alias("last"))
+    return T.tokenised(documents(spark, sf), found=False).groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.max("end").alias("last"))
 
 
 @query(SPAN_SQL + f" SELECT label, {_CATS} AS category, count(*) AS n, {_BUCKET.replace('n ', 'count(*) ')} AS bucket FROM gold GROUP BY label")
@@ -154,7 +213,7 @@ def by_bucket(spark, sf):
 z AS (SELECT count(*) FILTER (g AND p) AS tp, count(*) FILTER (p AND NOT g) AS fp, count(*) FILTER (g AND NOT p) AS fn FROM x) SELECT tp, fp, fn, {PRF_SQL} FROM z""")
 def token_prf(spark, sf):
     t = token_rows(spark, sf)
-    return M.token_prf(t, draw(t, "g"), draw(t, "t"))
+    return M.token_prf(t, *all_spans(spark, sf)[:2])
 
 
 @query(SPAN_SQL + _MISS.format(by="", group=""))
@@ -176,7 +235,7 @@ def dedup_documents_sha1(spark, sf):
 
 @query(TOKEN_SQL + ", n AS (SELECT doc_id, count(*) AS n FROM token GROUP BY doc_id), w AS (SELECT doc_id, n, unnest(range(0, CASE WHEN n <= 128 THEN 0 ELSE CAST(ceil((n - 128) / 96.0) AS BIGINT) END + 1)) AS i FROM n) SELECT doc_id, CAST(i * 96 AS INT) AS first, CAST(least(n, i * 96 + 128) AS INT) AS last FROM w")
 def chunk_windows(spark, sf):
-    n = T.tokenised(documents(spark, sf)).groupBy("doc_id").agg(F.count("*").alias("n"))
+    n = T.tokenised(documents(spark, sf), found=False).groupBy("doc_id").agg(F.count("*").alias("n"))
     return n.select("doc_id", F.explode(tokens.windows(F.col("n"), 128, 32)).alias("w")).select("doc_id", "w.first", "w.last")
 
 
@@ -187,7 +246,7 @@ tagged AS (SELECT doc_id, ix, CASE WHEN n = 1 THEN 'S-' WHEN i = 1 THEN 'B-' WHE
 @query(SPAN_SQL + ENCODED + " SELECT doc_id, ix, tag FROM tagged")
 def bioes_encode(spark, sf):
     t = token_rows(spark, sf)
-    return tokens.encode(t, draw(t, "g")).where("tag <> 'O'")
+    return tokens.encode(t, all_spans(spark, sf)[0]).where("tag <> 'O'")
 
 
 # the algebra of spans: merging per label, then a fold over each document's spans in order of rank, score and length
@@ -384,7 +443,7 @@ SELECT doc_id, min(s) AS start, max(e) AS "end", any_value(substr(tag, 3)) AS la
 def decode_tags(spark, sf):
     """Tags of which every fifth is spoilt, decoded."""
     t = token_rows(spark, sf)
-    tags = tokens.encode(t, draw(t, "g"))
+    tags = tokens.encode(t, all_spans(spark, sf)[0])
     of = lambda p: T.hashed(F.concat(F.lit(p), F.concat_ws(":", "doc_id", "ix")))
     spoilt = F.when((F.col("tag") != "O") & (of("b") % 5 == 0), F.concat(F.lit("I-"), F.substring("tag", 3, 100))).otherwise(F.col("tag"))
     got = tokens.decode(t.select("doc_id", "ix", "start", "end").join(tags, ["doc_id", "ix"]).withColumn("tag", spoilt).withColumn("prob", (of("p") % 100) / 100.0))
@@ -395,7 +454,7 @@ def decode_tags(spark, sf):
 p AS (SELECT doc_id, i, unnest(range(i * 96, least(n, i * 96 + 128))) AS ix, i * 96 AS a, least(n, i * 96 + 128) AS z FROM w)
 SELECT doc_id, CAST(ix AS INT) AS ix, CAST(i AS VARCHAR) AS tag FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, ix ORDER BY least(ix - a, z - 1 - ix) DESC, i) AS r FROM p) WHERE r = 1""")
 def merge_window_predictions(spark, sf):
-    n = T.tokenised(documents(spark, sf)).groupBy("doc_id").agg(F.count("*").alias("n"))
+    n = T.tokenised(documents(spark, sf), found=False).groupBy("doc_id").agg(F.count("*").alias("n"))
     w = n.select("doc_id", F.posexplode(tokens.windows(F.col("n"), 128, 32)).alias("window", "w"))
     p = w.select("doc_id", "window", (F.col("w.last") - F.col("w.first")).alias("size"), "w.first", F.explode(F.expr("sequence(w.first, CAST(w.last AS INT) - 1)")).alias("ix"))
     p = p.select("doc_id", "window", (F.col("ix") - F.col("first")).alias("k"), "size", "ix", F.col("window").cast("string").alias("tag"), F.lit(1.0).alias("prob"))
@@ -408,7 +467,7 @@ def span_label_probability(spark, sf):
     t = token_rows(spark, sf)
     p = (T.hashed(F.concat(F.lit("p"), "k")) % 100) / 100.0
     dist = t.select("doc_id", "ix", F.col("start").alias("ts"), F.col("end").alias("te"), F.explode(F.array(F.struct(F.concat(F.lit("B-"), "label").alias("tag"), p.alias("p")), F.struct(F.lit("O").alias("tag"), (1 - p).alias("p")))).alias("x")).select("doc_id", "ix", "ts", "te", "x.tag", "x.p")
-    got = tokens.label_probability(dist, draw(t, "t").select("doc_id", "start", "end", "label").distinct())
+    got = tokens.label_probability(dist, all_spans(spark, sf)[1].select("doc_id", "start", "end", "label").distinct())
     return got.withColumn("p", F.round("p", 6))
 
 
@@ -557,7 +616,7 @@ def training_examples(spark, sf):
     """Windows to train on in the privacy filter's labels; a token's id is drawn from its text."""
     t = token_rows(spark, sf)
     ids = t.select("doc_id", "ix", "start", "end", (T.hashed(F.concat(F.lit("v"), "found")) % 50000).alias("id"))
-    made = training.examples(ids, draw(t, "g"), "opf8", 130, 32, before=(1,), after=(2,))
+    made = training.examples(ids, all_spans(spark, sf)[0], "opf8", 130, 32, before=(1,), after=(2,))
     digest = lambda c: F.md5(F.array_join(F.col(c).cast("array<string>"), ","))
     return made.select("doc_id", "window", F.size("input_ids").alias("n"), digest("input_ids").alias("ids"), digest("labels").alias("labels"))
 

@@ -34,6 +34,17 @@ def test_query(spark, duck, name):
         assert len(df.columns) == len(set(df.columns))
 
 
+def test_md5_heads():
+    from hashlib import md5
+
+    import numpy as np
+
+    prefixes, which, number = [b"g1:", b"tf" + b"9" * 19 + b":", b"l-5:"], [0, 1, 2, 1, 0], [0, 9, 10, 2**31 - 1, 99999]
+    want = [int(md5(prefixes[i] + str(k).encode()).hexdigest()[:8], 16) for i, k in zip(which, number, strict=True)]
+    assert Q.md5_heads(prefixes, np.array(which), np.array(number, np.int32)).tolist() == want
+    assert Q.md5_heads([], np.zeros(0, int), np.zeros(0, np.int32)).tolist() == []
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
