@@ -162,10 +162,29 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
 
 
-def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, total: int | None = None) -> DataFrame:
-    """(chunk, doc_id, text): documents dealt evenly by a hash of their content, whatever their source or group of copies."""
+def labels(n: int) -> list[int]:
+    """n numbers of which Spark deals each to a partition of its own when it deals ints by hash over n partitions."""
+    found, start = np.full(n, -1), 0
+    while (found < 0).any():
+        x = np.arange(start, start + 16 * n + 64, dtype=np.uint32)
+        with np.errstate(over="ignore"):  # Murmur3 of an int, seed 42, as Spark's hash() has it
+            k = x * np.uint32(0xCC9E2D51)
+            h = (k << np.uint32(15) | k >> np.uint32(17)) * np.uint32(0x1B873593) ^ np.uint32(42)
+            h = (h << np.uint32(13) | h >> np.uint32(19)) * np.uint32(5) + np.uint32(0xE6546B64) ^ np.uint32(4)
+            h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+            h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+        at, first = np.unique((h ^ h >> np.uint32(16)).view(np.int32) % n, return_index=True)
+        found[at] = np.where(found[at] < 0, x[first], found[at])
+        start += len(x)
+    return found.tolist()
+
+
+def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, total: int | None = None, apart: bool = False) -> DataFrame:
+    """(chunk, doc_id, text): documents dealt evenly by a hash of their content, whatever their source or group of copies. apart: chunks bear labels(), so a task has one of them and not, by chance, several."""
     n = max(LEAST_CHUNKS, -(-(text_bytes(docs) if total is None else total) // chunk_bytes))
     chunk = F.pmod(row_key(), F.lit(n)).cast("int")
+    if apart:
+        chunk = F.element_at(F.expr(f"array({','.join(map(str, labels(n)))})"), chunk + 1)
     return docs.select(chunk.alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartition(n, "chunk")
 
 

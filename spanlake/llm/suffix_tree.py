@@ -99,6 +99,27 @@ def _sums(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[edge], np.add.reduceat(count[order], edge)
 
 
+class Tally:
+    """Distinct keys with sums of their counts. Parts of like size are united as they come, so little more than the distinct keys is held."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, key: np.ndarray, count: np.ndarray) -> None:
+        self.parts.append((key, count))
+        while len(self.parts) > 1 and len(self.parts[-2][0]) <= 2 * len(self.parts[-1][0]):
+            self._unite(2)
+
+    def _unite(self, n: int) -> None:
+        last = self.parts[-n:]
+        del self.parts[-n:]
+        self.parts.append(_sums(*map(np.concatenate, zip(*last, strict=True))))
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        self._unite(len(self.parts))
+        return self.parts[0]
+
+
 def _packed(key: np.ndarray) -> bytes:
     """Sorted keys as byte planes, which compress well in an exchange."""
     return key.view(np.uint8).reshape(-1, 8).T.tobytes()
@@ -183,23 +204,23 @@ def probabilities(key: np.ndarray, count: np.ndarray, stem: Stem, least_count: i
     return p, n_nodes
 
 
-def _distinct(table_: pa.Table, learn_from=None):
-    """What a chunk ships and looks up: (distinct words, their training counts, distinct n-grams, their training counts), and per step its Symbols with the places of its words and n-grams among the distinct ones of the step."""
+def _distinct(table_: pa.Table, places: bool = False):
+    """What a chunk ships and looks up: (distinct words, their training counts, distinct n-grams, their training counts), and with places per step (first document, documents, their words, their symbols, distinct words of the step, each word's place among them, distinct n-grams, each symbol's place among them)."""
     train = ~held(table_["doc_id"].to_pylist())
-    words, weights, grams, times, steps = [np.array([_END_WORD])], [np.array([int(train.sum())])], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
+    words, grams, steps = Tally(), Tally(), []
+    words.add(np.array([_END_WORD]), np.array([int(train.sum())]))
+    grams.add(np.zeros(0, np.uint64), np.zeros(0, np.int64))
     for i, part in text_steps(table_["text"]):
         s = Symbols(part)
         learn = train[i : i + s.n]
         w, w_at = np.unique(s.words, return_inverse=True)
-        words.append(w)
-        weights.append(np.bincount(w_at, weights=learn[s.word_doc], minlength=len(w)).astype(np.int64))
-        doc = np.repeat(np.arange(s.n, dtype=np.int32), np.diff(np.append(s.begin_at, len(s.stream))) - DEPTH)
+        words.add(w, np.bincount(w_at, weights=learn[s.word_doc], minlength=len(w)).astype(np.int64))
+        symbols = np.diff(np.append(s.begin_at, len(s.stream))) - DEPTH
         g, g_at = np.unique(s.grams(np.ones(s.n, bool)), return_inverse=True)
-        grams.append(g)
-        times.append(np.bincount(g_at, weights=learn[doc], minlength=len(g)).astype(np.int64))
-        if learn_from is not None:
-            steps.append((i, s.n, s.n_words, s.word_doc, w, w_at.astype(np.int32), doc, g, g_at.astype(np.int32)))
-    return (*_sums(np.concatenate(words), np.concatenate(weights)), *_sums(np.concatenate(grams), np.concatenate(times)), steps)
+        grams.add(g, np.bincount(g_at, weights=np.repeat(learn, symbols), minlength=len(g)).astype(np.int64))
+        if places:
+            steps.append((i, s.n, s.n_words, symbols, w, w_at.astype(np.int32), g, g_at.astype(np.int32)))
+    return (*words.sums(), *grams.sums(), steps)
 
 
 def gather(docs: DataFrame, n_buckets: int) -> DataFrame:
@@ -228,7 +249,10 @@ def added(found: DataFrame, stem: Stem) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         bucket = t["bucket"][0].as_py()
         per = [_unpacked(x.as_py()) for x in t["hashes"]]
-        key, count = _sums(np.concatenate(per), np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in t["counts"]]).astype(np.int64))
+        tally = Tally()
+        for h, x in zip(per, t["counts"], strict=True):
+            tally.add(h, np.frombuffer(x.as_py(), "<u4").astype(np.int64))
+        key, count = tally.sums()
         n = len(per)
         if bucket < 0:
             p, nodes = probabilities(key, count, shared.value)
@@ -257,12 +281,13 @@ def scored(docs: DataFrame, answers: DataFrame, n_buckets: int, n_tokens: int, n
         ids = t["doc_id"].to_pylist()
         n = len(ids)
         n_words, base, n_known, total = np.zeros(n, np.int64), np.full(n, log[end]), np.full(n, int(known[end])), np.zeros(n)
-        for i, m, words, word_doc, w, w_at, doc, g, g_at in steps:
+        for i, m, words, symbols, w, w_at, g, g_at in steps:
             w_at, part = np.searchsorted(key, w)[w_at], slice(i, i + m)
+            word_doc = np.repeat(np.arange(m), words)
             n_words[part] = words
             base[part] += np.bincount(word_doc, weights=log[w_at], minlength=m)
             n_known[part] += np.bincount(word_doc, weights=known[w_at], minlength=m).astype(np.int64)
-            total[part] = np.bincount(doc, weights=value[np.searchsorted(gram, g)][g_at], minlength=m)
+            total[part] = np.bincount(np.repeat(np.arange(m), symbols), weights=value[np.searchsorted(gram, g)][g_at], minlength=m)
         return table(OUT, t["doc_id"], held(ids), n_words + 1, n_known, np.full(n, n_tokens), base, total)
 
     return answer(docs, answers, run, OUT)
@@ -274,7 +299,7 @@ def learn(docs: DataFrame, path: str | None = None):
     total = text_bytes(docs)
     counts, n_tokens = pairs(docs)
     stem = Stem(counts)
-    dealt = chunked(docs, total=total)
+    dealt = chunked(docs, total=total, apart=True)
     n_buckets = buckets_for(spark, total)
     path = path or shared_path(spark, "suffix-tree")
     added(gather(dealt, n_buckets), stem).write.parquet(path)

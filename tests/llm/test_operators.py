@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -13,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanlake.llm import decontaminate, packing, pii, quality, sharding, simhash, suffix_tree, suffixes, toxicity, windows
+from spanlake.llm.common import text_steps
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -661,6 +663,33 @@ def test_suffix_tree(spark, docs, rows, nothing):
     assert suffix_tree.score(unlearnt).first().score == pytest.approx(-4 * math.log10(256))
 
 
+def test_suffix_tree_holds_a_chunk_in_little_memory():
+    """Counts over many steps are those of all symbols at once; a pass holds little beside the text."""
+    rng = np.random.default_rng(8)
+    words = np.array(["".join(x) for x in rng.choice(list("abcdeghiklmnorstu"), (5000, 6))])
+    texts = [" ".join(words[np.minimum(rng.zipf(1.3, 1000), 5000) - 1]) for _ in range(1150)]
+    t = pa.table({"doc_id": range(len(texts)), "text": texts})
+    size, train = sum(map(len, texts)), ~suffix_tree.held(range(len(texts)))
+    peaks = []
+    for places in (False, True):
+        tracemalloc.start()
+        key, count, gram, times, steps = suffix_tree._distinct(t, places)
+        peaks.append(tracemalloc.get_traced_memory()[1] / size)
+        tracemalloc.stop()
+    assert peaks[0] < 7 and peaks[1] < 12
+    assert len(steps) > 10 and count.sum() == (train * 1001).sum()
+    want, n = np.unique(np.concatenate([suffix_tree.Symbols(p).grams(train[i : i + len(p.begin)]) for i, p in text_steps(t["text"])]), return_counts=True)
+    assert (gram[times > 0] == want).all() and (times[times > 0] == n).all() and (np.diff(key) > 0).all() and (np.diff(gram) > 0).all()
+
+
+def test_suffix_tree_chunks_lie_apart(spark, docs):
+    """A task holds one chunk, not by chance several."""
+    dealt = suffix_tree.learn(docs)[0].withColumn("task", F.spark_partition_id())
+    per_task = dealt.groupBy("task").agg(F.countDistinct("chunk").alias("n")).collect()
+    assert len(per_task) > 20 and {r.n for r in per_task} == {1}
+    assert dealt.count() == docs.count()
+
+
 def test_suffix_tree_beats_base(spark):
     r = suffix_tree.op1_suffix_tree(spark, "/root/testdata/sf0.01").where("held_out").toPandas()
     assert r.score.sum() > r.base_score.sum()
