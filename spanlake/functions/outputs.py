@@ -6,6 +6,7 @@ offsets, so nothing gets lost on the way to the counts of ground_stats()."""
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -15,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .text import cuts
+
 ITEM = "array<struct<text: string, label: string, before: string, score: double>>"
 # The tags around a mention, the head of a segment's line, the fence around an output.
 TAG = re.compile(r'<PHI type="([^"]+)">(.*?)</PHI>', re.DOTALL)
@@ -210,41 +213,70 @@ def parse_segments(output: str) -> dict[int, str]:
 ROW = "start int, end int, label string, method string, score double"
 
 
+#: Rows that leave a task in one batch.
+BATCH = 1 << 15
+
+
 def per_row(d: DataFrame, columns: list[str], schema: str, work) -> DataFrame:
-    """work(row of `columns`) -> rows of the schema after doc_id, in Arrow batches; doc_id keeps its type."""
+    """work(row of `columns`) -> rows of the schema after doc_id, in Arrow batches; doc_id keeps its type. The first column is a text: a batch is
+    read in pieces of it, and what is made of a piece or even of one row leaves in several batches, so neither has to fit the memory."""
     id_type = d.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
 
+        fields = [x.strip().split()[0] for x in schema.split(",")]
+        types = {"int": pa.int32(), "string": pa.string(), "double": pa.float64()}
+        kinds = [types[x.strip().split()[1]] for x in schema.split(",")]
+
+        def out(ids, at, rows):
+            cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), *cols], names=["doc_id", *fields])
+
         for b in batches:
-            values = [b.column(c).to_pylist() for c in columns]
-            ids = b.column("doc_id").to_pylist()
-            rows = [(i, *r) for i, *v in zip(ids, *values, strict=True) for r in work(*v)]
-            fields = [x.strip().split()[0] for x in schema.split(",")]
-            types = {"int": pa.int32(), "string": pa.string(), "double": pa.float64()}
-            kinds = [types[x.strip().split()[1]] for x in schema.split(",")]
-            cols = list(zip(*rows, strict=True)) or [()] * (1 + len(fields))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field("doc_id").type), *[pa.array(c, t) for c, t in zip(cols[1:], kinds, strict=True)]], names=["doc_id", *fields])
+            for first, behind in cuts(b.column(columns[0])):
+                part = b.slice(first, behind - first)
+                ids, at, rows = part.column("doc_id"), [], []
+                for i, v in enumerate(zip(*(part.column(c).to_pylist() for c in columns), strict=True)):
+                    for r in work(*v):
+                        at.append(i)
+                        rows.append(r)
+                        if len(rows) >= BATCH:
+                            yield out(ids, at, rows)
+                            at, rows = [], []
+                if rows:
+                    yield out(ids, at, rows)
 
     return d.select("doc_id", *columns).mapInArrow(run, f"doc_id {id_type}, {schema}")
 
 
-def ground(docs: DataFrame, items: DataFrame, every: bool = True, least: float = LEAST_FUZZY) -> DataFrame:
+def ground(docs: DataFrame, items: DataFrame, every: bool = True, least: float = LEAST_FUZZY, once: bool = False) -> DataFrame:
     """(doc_id, item, start, end, label, method, score): each item's places in its document, `every` exact one or the first.
 
     items: (doc_id, item, text, label) and perhaps before. An item that isn't found, or whose document has no text, is one
-    row "failed" without offsets; items of unknown documents are left out, those of repeated ids meet each repeat."""
+    row "failed" without offsets; items of unknown documents are left out, those of repeated ids meet each repeat. With `once`,
+    rows that deduped() would drop anyway stay where they are made: a name under many labels has as many rows a place."""
     before = F.col("before") if "before" in items.columns else F.lit(None)
     one = F.struct(F.col("item").cast("int").alias("item"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("label", F.lit("")).alias("label"), before.cast("string").alias("before"))
     per_doc = items.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("items"))
 
-    def work(text, wanted):
+    def every_row(text, wanted):
         for x in wanted:
             got = ground_item(text or "", x["text"], x["label"], x["before"], every, least)
             for r in got or [(None, None, x["label"], "failed", 0.0)]:
                 yield (x["item"], *r)
 
+    def best(text, wanted):
+        kept: dict[tuple, tuple] = {}  # by item, so that of equal scores the first item's stays
+        for r in every_row(text, sorted(wanted, key=lambda x: -math.inf if x["item"] is None else x["item"])):
+            if r[1] is None:
+                yield r
+            elif (r[1], r[2]) not in kept or kept[r[1], r[2]][-1] < r[-1]:
+                kept[r[1], r[2]] = r
+        yield from kept.values()
+
+    work = best if once else every_row
+
     return per_row(docs.select("doc_id", "text").join(per_doc, "doc_id"), ["text", "items"], f"item int, {ROW}", work)
 
 

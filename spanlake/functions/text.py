@@ -43,10 +43,23 @@ HEADER = r"(?im)^\s*(?:patient|name|mrn|dob|date of birth|attending|dictated by|
 
 #: Matches that leave a task in one batch.
 BATCH = 100_000
-#: Characters that are tokenised at once.
+#: Bytes of text that are worked on at once.
 STEP = 1 << 19
 
 
+def cuts(column):
+    """(first, behind the last) of rows of an Arrow column of strings that hold at most STEP bytes together; a longer text stands alone."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    i = done = 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(ends, done + STEP, side="right")))
+        yield i, j
+        i, done = j, ends[j - 1]
+
+
 def find_all(docs: DataFrame, pattern: str, *keys: str, text: str = "text", gap: bool = False, ahead: int = 0) -> DataFrame:
     """(keys, ix, start, end, found): every match of a Python pattern, in order, per row of docs; of its first group if it has one.
 
@@ -75,25 +88,26 @@ def find_all(docs: DataFrame, pattern: str, *keys: str, text: str = "text", gap:
                 cols += [pa.array(np.ascontiguousarray(p[:, 2 + k])) for k in range(ahead)]
                 return pa.RecordBatch.from_arrays(cols, names=[*types, "ix", "start", "end", "found", *(["gap"] if gap else []), *extra])
 
-            for i, t in enumerate(b.column(len(keys)).to_pylist()):
-                if not t:
-                    continue
-                spots = [m.span(group) for m in rx.finditer(t)]
-                ends = [e for _, e in spots]
-                for k in range(0, len(spots), BATCH):
-                    part = spots[k : k + BATCH]
-                    row += [i] * len(part)
-                    ix += range(k, k + len(part))
-                    found += [t[a:e] for a, e in part]
-                    if gap:
-                        gaps += [None if j == 0 else t[ends[j - 1] : spots[j][0]] for j in range(k, k + len(part))]
-                    if ahead:
-                        places += [(a, e, *(ends[min(j, len(ends) - 1)] for j in range(n + 1, n + 1 + ahead))) for n, (a, e) in enumerate(part, k)]
-                    else:
-                        places += part
-                    if len(row) >= BATCH:
-                        yield out()
-                        row, ix, places, found, gaps = [], [], [], [], []
+            for first, behind in cuts(b.column(len(keys))):
+                for i, t in enumerate(b.column(len(keys)).slice(first, behind - first).to_pylist(), first):
+                    if not t:
+                        continue
+                    spots = [m.span(group) for m in rx.finditer(t)]
+                    ends = [e for _, e in spots]
+                    for k in range(0, len(spots), BATCH):
+                        part = spots[k : k + BATCH]
+                        row += [i] * len(part)
+                        ix += range(k, k + len(part))
+                        found += [t[a:e] for a, e in part]
+                        if gap:
+                            gaps += [None if j == 0 else t[ends[j - 1] : spots[j][0]] for j in range(k, k + len(part))]
+                        if ahead:
+                            places += [(a, e, *(ends[min(j, len(ends) - 1)] for j in range(n + 1, n + 1 + ahead))) for n, (a, e) in enumerate(part, k)]
+                        else:
+                            places += part
+                        if len(row) >= BATCH:
+                            yield out()
+                            row, ix, places, found, gaps = [], [], [], [], []
             if row:
                 yield out()
 
@@ -114,11 +128,12 @@ def kinds():
 _KINDS: list = []
 
 
-def tokenised(docs: DataFrame, *keys: str, text: str = "text", ahead: int = 0, found: bool = True, then=None) -> DataFrame:
+def tokenised(docs: DataFrame, *keys: str, text: str = "text", ahead: int = 0, found: bool = True, then=None, beside=()) -> DataFrame:
     """find_all() for TOKEN, in numpy over the code points of many texts at once: (keys, ix, start, end, found), with `ahead` end1, end2, ...
 
     Without `found` only places leave the workers. `then` is (a function of a RecordBatch of tokens, the DDL of what it gives):
-    it runs where the tokens are made, so that tokens it doesn't want never leave."""
+    it runs where the tokens are made, so that tokens it doesn't want never leave. With columns `beside` the text it gets as well
+    which row each token belongs to, and a RecordBatch of those columns' rows."""
     keys = keys or ("doc_id",)
     head = docs.select(*keys)
     extra = [f"end{k}" for k in range(1, ahead + 1)]
@@ -153,26 +168,22 @@ def tokenised(docs: DataFrame, *keys: str, text: str = "text", ahead: int = 0, f
             data = points[kind != 0].tobytes().decode("utf-32-le").encode()
             cols.append(pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)))
         cols += [pa.array((end[np.minimum(at + k, last[doc] - 1)] - begin[doc]).astype(np.int32)) for k in range(1, ahead + 1)]
-        return pa.RecordBatch.from_arrays(cols, names=names)
+        return pa.RecordBatch.from_arrays(cols, names=names), doc
 
     def run(batches):
         if not _KINDS:
             _KINDS.append(kinds())
         for b in batches:
-            texts = [t or "" for t in b.column(len(keys)).to_pylist()]
-            i = 0
-            while i < len(texts):  # about STEP characters at a time; a longer text is taken whole
-                j, n = i, 0
-                while j < len(texts) and (j == i or n + len(texts[j]) <= STEP):
-                    n += len(texts[j])
-                    j += 1
-                if n:
-                    whole = [k for k in range(i, j) if texts[k]]
-                    made = some(b.take(_indices(whole)), 0, [texts[k] for k in whole])
-                    yield then[0](made) if then else made
-                i = j
-
-    return docs.select(*keys, F.col(text).cast("string")).mapInArrow(run, schema)
+            for i, j in cuts(b.column(len(keys))):
+                part = b.slice(i, j - i)
+                texts = part.column(len(keys)).to_pylist()
+                whole = [k for k, t in enumerate(texts) if t]
+                if whole:
+                    part = part.take(_indices(whole))
+                    made, doc = some(part, 0, [texts[k] for k in whole])
+                    yield then[0](made, *([doc, part.select(list(beside))] if beside else [])) if then else made
+
+    return docs.select(*keys, F.col(text).cast("string"), *beside).mapInArrow(run, schema)
 
 
 def _indices(rows):

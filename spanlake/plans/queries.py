@@ -516,7 +516,7 @@ def ground_items(spark, sf):
     """The surfaces that the second detector names, one item each, grounded anew."""
     llm = all_spans(spark, sf)[2]
     items = llm.groupBy("doc_id", "text", "label").agg(F.min("start").alias("item"))
-    return O.deduped(O.ground(documents(spark, sf), items)).select("doc_id", "start", "end", "label", "method", "score")
+    return O.deduped(O.ground(documents(spark, sf), items, once=True)).select("doc_id", "start", "end", "label", "method", "score")
 
 
 # a detector's spans in order, without those that begin inside one
