@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import CATEGORIES, CATEGORY_OF, OPF_CATEGORY, OPF_OF, SUBTYPES, bioes_tags, literal_map
-from .tokens import encode, windows
+from ..functions.text import tokenised
+from .tokens import beside_texts, encode, owned, prefixes, windows
 
 # Fixed value: the tag id that a loss leaves out.
 IGNORED = -100
@@ -67,3 +70,50 @@ def examples(tokens: DataFrame, gold: DataFrame, space: str = "i2b2_28", longest
     ignored = lambda xs: ids([IGNORED] * len(xs))
     whole = F.concat(ids(before), F.transform("t", lambda x: x["id"].cast("int")), ids(after))
     return rows.select("doc_id", "window", whole.alias("input_ids"), F.array_repeat(F.lit(1), F.size(whole)).alias("attention_mask"), F.concat(ignored(before), F.transform("t", lambda x: x["tag_id"]), ignored(after)).alias("labels"))
+
+
+def examples_of_texts(docs: DataFrame, gold: DataFrame, ids_of, space: str = "i2b2_28", longest: int = 512, stride: int = 64, scheme: str = "bioes", before=(), after=()) -> DataFrame:
+    """examples() for the tokens of texts, made in the pass that makes the tokens: texts and spans are shuffled, tokens aren't.
+
+    ids_of: the ids of a string array of tokens, as an array. docs: (doc_id, text), one row an id."""
+    before, after = np.array(before, np.int32), np.array(after, np.int32)
+    body = longest - len(before) - len(after)
+    if body <= 0 or stride >= body:
+        raise ValueError("windows don't advance")
+    labels, table = label_space(space)
+    tags = {t: i for i, t in enumerate(tag_list(labels, scheme))}
+
+    def made(tokens, doc, rows):
+        mine, at, size, names = owned(tokens, doc, rows.column(0))
+        known = names.dictionary_encode()
+        ids = np.array([[tags[f"{p}-{x}"] if f"{p}-{x}" in tags else -1 for p in "BIES"] for x in known.dictionary.to_pylist()], np.int32).reshape(-1, 4)
+        tag = np.full(len(doc), tags["O"], np.int32)
+        tag[mine] = ids[known.indices.to_numpy(), prefixes(at, size, scheme)]
+        if (tag < 0).any():
+            raise ValueError(f"unknown tag of {names[int(np.flatnonzero(tag[mine] < 0)[0])]}")
+        heads = np.flatnonzero(tokens.column("ix").to_numpy() == 0)
+        n = np.diff(np.append(heads, len(doc)))
+        count = 1 + np.maximum(0, -((body - n) // (body - stride)))
+        which = np.repeat(np.arange(len(heads)), count)
+        window = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+        first = window * (body - stride)
+        length = np.minimum(n[which] - first, body)
+        whole = length + len(before) + len(after)
+        ends = np.append(0, np.cumsum(whole)).astype(np.int32)
+        inner = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+        to, source = np.repeat(ends[:-1] + len(before), length) + inner, np.repeat(heads[which] + first, length) + inner
+        columns = []
+        for values, fill in ((np.asarray(ids_of(tokens.column("found")), np.int32), None), (tag, IGNORED)):
+            x = np.full(ends[-1], IGNORED, np.int32)
+            x[to] = values[source]
+            for k, v in enumerate(before):
+                x[ends[:-1] + k] = v if fill is None else fill
+            for k, v in enumerate(after):
+                x[ends[1:] - len(after) + k] = v if fill is None else fill
+            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(x)))
+        ones = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ones(ends[-1], np.int32)))
+        ids_col = tokens.column("doc_id").take(pa.array(heads[which]))
+        return pa.RecordBatch.from_arrays([ids_col, pa.array(window.astype(np.int32)), columns[0], ones, columns[1]], names=["doc_id", "window", "input_ids", "attention_mask", "labels"])
+
+    d = beside_texts(docs, spans=map_gold(gold, table))
+    return tokenised(d, then=(made, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, window int, input_ids array<int>, attention_mask array<int>, labels array<int>"), beside=["spans"])

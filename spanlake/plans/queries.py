@@ -614,9 +614,12 @@ ci AS (SELECT doc_id, i, ix, {_H("'v' || tok")} % 50000 AS id, list_position([{'
 SELECT doc_id, CAST(i AS INT) AS "window", CAST(count(*) + 2 AS INT) AS n, md5('1,' || string_agg(id, ',' ORDER BY ix) || ',2') AS ids, md5('-100,' || string_agg(tag_id, ',' ORDER BY ix) || ',-100') AS labels FROM ci GROUP BY doc_id, i""")
 def training_examples(spark, sf):
     """Windows to train on in the privacy filter's labels; a token's id is drawn from its text."""
-    t = token_rows(spark, sf)
-    ids = t.select("doc_id", "ix", "start", "end", (T.hashed(F.concat(F.lit("v"), "found")) % 50000).alias("id"))
-    made = training.examples(ids, all_spans(spark, sf)[0], "opf8", 130, 32, before=(1,), after=(2,))
+
+    def ids_of(found):
+        d = found.dictionary_encode()
+        return np.array([int(hashlib.md5(b"v" + x.encode()).hexdigest()[:8], 16) % 50000 for x in d.dictionary.to_pylist()], np.int32)[d.indices.to_numpy()]
+
+    made = training.examples_of_texts(documents(spark, sf), all_spans(spark, sf)[0], ids_of, "opf8", 130, 32, before=(1,), after=(2,))
     digest = lambda c: F.md5(F.array_join(F.col(c).cast("array<string>"), ","))
     return made.select("doc_id", "window", F.size("input_ids").alias("n"), digest("input_ids").alias("ids"), digest("labels").alias("labels"))
 
