@@ -6,8 +6,8 @@ drawn span's text is its first token."""
 
 from __future__ import annotations
 
+import hashlib
 import json
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import outputs as O
 from ..functions import text as T
+from ..functions.digests import md5_heads
 from ..operators import completions, injection, prompts, routing, simulate, spans, splits, tokens, training
 from ..operators import metrics as M
 from ..sources import records
@@ -35,65 +36,32 @@ def token_rows(spark: SparkSession, sf: str) -> DataFrame:
 SPAN = "doc_id bigint, start int, end int, label string, text string, source string, score double"
 
 
-_SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
-_TURNS = [((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))[i // 16][i % 4] for i in range(64)]
-
-
-def md5_heads(prefixes: list[bytes], which: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """What T.hashed() gives for prefixes[which] followed by a number in digits, for many at once; such a key fits MD5's one block."""
-    n, rows = len(which), np.arange(len(which))
-    if not n:
-        return np.zeros(0, np.int64)
-    size = np.array([len(p) for p in prefixes], np.int64)[which]
-    width = max((len(p) for p in prefixes), default=0)
-    block = np.zeros((n, 64), np.uint8)
-    block[:, :width] = np.array([np.frombuffer(p.ljust(width, b"\0"), np.uint8) for p in prefixes]).reshape(-1, width)[which]
-    digits, k = np.ones(n, np.int64), 10
-    while (number >= k).any():
-        digits += number >= k
-        k *= 10
-    for k in range(int(digits.max(initial=0))):
-        some = np.flatnonzero(digits > k)
-        block[some, (size + digits)[some] - 1 - k] = 48 + number[some] // 10**k % 10
-    size += digits
-    block[rows, size] = 128
-    words = np.ascontiguousarray(block.view("<u4").T).astype(np.uint32)
-    words[14] = 8 * size
-    start = [np.uint32(x) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
-    a, b, c, d = (np.full(n, x) for x in start)
-    for i in range(64):
-        mixed, at = ((d ^ (b & (c ^ d)), i), (c ^ (d & (b ^ c)), 5 * i + 1), (b ^ c ^ d, 3 * i + 5), (c ^ (b | ~d), 7 * i))[i // 16]
-        mixed = mixed + a + words[at % 16] + np.uint32(_SINES[i])
-        left = np.uint32(_TURNS[i])
-        a, d, c, b = d, c, b, b + (mixed << left | mixed >> (np.uint32(32) - left))
-    return (a + start[0]).byteswap().astype(np.int64)
-
-
 def drawn(tokens_: pa.RecordBatch) -> pa.RecordBatch:
     """The gold, tc and llm spans that begin at some tokens (of tokenised() with `ahead` 4)."""
     t = {c: tokens_.column(c) for c in tokens_.schema.names}
-    ids, ix = t["doc_id"].to_pylist(), t["ix"].to_numpy()
-    heads = np.append(np.flatnonzero(ix == 0), len(ix))  # documents are whole, their tokens in order
-    whose = np.repeat(np.arange(len(heads) - 1), np.diff(heads))
-    every = np.arange(len(ids))
+    ix = t["ix"].to_numpy()
+    heads = np.flatnonzero(ix == 0)  # documents are whole, their tokens in order
+    ids = t["doc_id"].take(pa.array(heads)).to_pylist()
+    whose = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(ix))))
 
-    def h(prefix: str, rows: np.ndarray = every) -> np.ndarray:
-        return md5_heads([f"{prefix}{ids[i]}:".encode() for i in heads[:-1].tolist()], whose[rows], ix[rows])
+    def h(prefix: str, rows=slice(None)) -> np.ndarray:
+        return md5_heads([f"{prefix}{i}:".encode() for i in ids], whose[rows], ix[rows])
 
     names = np.array(L.SUBTYPES, object)
     g = h("g")
-    gold = g % 50 == 0
-    ends = np.stack([t[c].to_numpy() for c in ("end", "end1", "end2", "end3", "end4")])
-    stop = np.where(gold, ends[(g // 1400) % 5, every], ends[0])
+    gold = np.flatnonzero(g % 50 == 0)
+    other = np.ones(len(ix), bool)
+    other[gold] = False
+    stop = t["end"].to_numpy().copy()
+    stop[gold] = np.stack([t[c].to_numpy()[gold] for c in ("end", "end1", "end2", "end3", "end4")])[g[gold] // 1400 % 5, np.arange(len(gold))]
     label = g // 50 % 28
-    at, end, kind, source, score = [np.flatnonzero(gold)], [stop[gold]], [label[gold]], ["gold"], [np.full(gold.sum(), np.nan)]
+    at, end, kind, source, score = [gold], [stop[gold]], [label[gold]], ["gold"], [np.full(len(gold), np.nan)]
     for p, name, miss, wide in (("t", "tc", 15, 2), ("l", "llm", 25, 3)):
-        hit, stray = np.flatnonzero(gold), np.flatnonzero(~gold & (h(p + "f") % 400 == 0))
-        hit = hit[h(p + "m", hit) % 100 >= miss]
+        hit, stray = gold[h(p + "m", gold) % 100 >= miss], np.flatnonzero(other & (h(p + "f") % 400 == 0))
         some = np.sort(np.append(hit, stray))
         at.append(some)
         end.append(stop[some] + np.where(h(p + "w", some) % 10 == 0, wide, 0))
-        kind.append(np.where(gold[some] & (h(p + "r", some) % 10 > 0), label[some], h(p + "n", some) % 28))
+        kind.append(np.where(~other[some] & (h(p + "r", some) % 10 > 0), label[some], h(p + "n", some) % 28))
         source.append(name)
         score.append(h(p + "s", some) % 100 / 100.0 if p == "t" else np.full(len(some), np.nan))
     rows, score = pa.array(np.concatenate(at)), np.concatenate(score)
@@ -111,8 +79,9 @@ def all_spans(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataF
     return tuple(each.where(F.col("source") == x) for x in ("gold", "tc", "llm"))
 
 
-def train_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return all_spans(spark, sf)[0].where("doc_id % 10 = 0").groupBy("label").agg(F.count("*").alias("n"))
+def train_counts(gold: DataFrame) -> DataFrame:
+    """Counted, not filtered: a filter on documents would go below the draw's exchange, and gold spans would be drawn a second time."""
+    return gold.groupBy("label").agg(F.sum((F.col("doc_id") % 10 == 0).cast("long")).alias("n")).where("n > 0")
 
 
 _NAMES = "[" + ", ".join(f"'{x}'" for x in L.SUBTYPES) + "]"
@@ -206,7 +175,7 @@ def report_micro_macro(spark, sf):
 @query(SPAN_SQL + f", b AS (SELECT {_BUCKET} AS bucket, tp, fp, fn FROM (SELECT s.*, coalesce(n, 0) AS n FROM sums s LEFT JOIN train USING (label))), z AS (SELECT bucket, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM b GROUP BY bucket) SELECT bucket, tp, fp, fn, {PRF_SQL} FROM z")
 def by_bucket(spark, sf):
     g, tc, _ = all_spans(spark, sf)
-    return M.by_bucket(M.doc_counts(M.match(g, tc)), train_counts(spark, sf))
+    return M.by_bucket(M.doc_counts(M.match(g, tc)), train_counts(g))
 
 
 @query(SPAN_SQL + f""", x AS (SELECT t.doc_id, t.ix, EXISTS (FROM gold g WHERE g.doc_id = t.doc_id AND t.s < g.e AND g.s < t.e) AS g, EXISTS (FROM tc p WHERE p.doc_id = t.doc_id AND t.s < p.e AND p.s < t.e) AS p FROM token t),
@@ -277,20 +246,20 @@ def fuse_union(spark, sf):
 
 @query(SPAN_SQL + MERGE.format(out="mr", src=ROUTED) + RESOLVE.format(out="ro", src="mr") + f" SELECT {SPAN_COLUMNS} FROM ro")
 def fuse_label_routed(spark, sf):
-    _, tc, llm = all_spans(spark, sf)
-    return spans.label_routed(tc.unionByName(llm), train_counts(spark, sf))
+    g, tc, llm = all_spans(spark, sf)
+    return spans.label_routed(tc.unionByName(llm), train_counts(g))
 
 
 @query(GATE_SQL + " SELECT rule, NOT ends_with(rule, 'no-verifier') AS accepted, count(*) AS n FROM decided GROUP BY ALL")
 def gate_decisions(spark, sf):
-    _, tc, llm = all_spans(spark, sf)
-    return spans.gate(tc.unionByName(llm), train_counts(spark, sf)).groupBy("rule", "accepted").agg(F.count("*").alias("n"))
+    g, tc, llm = all_spans(spark, sf)
+    return spans.gate(tc.unionByName(llm), train_counts(g)).groupBy("rule", "accepted").agg(F.count("*").alias("n"))
 
 
 @query(GATE_SQL + MERGE.format(out="mg", src=ACCEPTED) + RESOLVE.format(out="co", src="mg") + f" SELECT {SPAN_COLUMNS} FROM co")
 def fuse_confidence_gated(spark, sf):
-    _, tc, llm = all_spans(spark, sf)
-    return spans.confidence_gated(tc.unionByName(llm), train_counts(spark, sf))
+    g, tc, llm = all_spans(spark, sf)
+    return spans.confidence_gated(tc.unionByName(llm), train_counts(g))
 
 
 # gold spans in order take the best free prediction: one step a gold span, all documents at once
