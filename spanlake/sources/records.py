@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.labels import CATEGORIES, OPF_OF, SUBTYPES, literal_map
+from ..functions.labels import CATEGORIES, OPF_OF, SUBTYPES
+from ..functions.text import cuts
 
 SPAN = "struct<start: int, end: int, label: string, text: string, source: string, score: double>"
 DOC = f"doc_id string, text string, spans array<{SPAN}>, meta map<string, string>"
@@ -29,12 +30,29 @@ def invalid(docs: DataFrame) -> DataFrame:
 
 def to_opf(docs: DataFrame) -> DataFrame:
     """(doc_id, text, spans): spans grouped under "<label>: <surface>" as arrays of offsets; labels that the filter lacks are dropped."""
-    # a document's spans are in its row already: nothing is exploded or shuffled
-    named = F.transform("spans", lambda x: F.struct(F.concat(literal_map(OPF_OF)[x["label"]], F.lit(": "), F.substring(F.col("text"), x["start"] + 1, x["end"] - x["start"])).alias("key"), F.array(x["start"], x["end"]).alias("at")))
-    d = docs.select("doc_id", "text", F.filter(F.coalesce(named, F.expr("CAST(array() AS array<struct<key: string, at: array<int>>>)")), lambda x: x["key"].isNotNull()).alias("named"))
-    keys = F.array_sort(F.array_distinct(F.transform("named", lambda x: x["key"])))
-    of = lambda k: F.array_sort(F.transform(F.filter("named", lambda x: x["key"] == k), lambda x: x["at"]))
-    return d.select("doc_id", "text", F.map_from_arrays(keys, F.transform(keys, of)).alias("spans"))
+    # a document's spans are in its row already: nothing is exploded or shuffled, and each span is looked at once
+    bare = F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["label"].alias("label")))
+    d = docs.select("doc_id", F.col("text").cast("string").alias("text"), bare.alias("spans"))
+
+    def places(text, spans):
+        out: dict[str, list] = {}
+        for x in spans or ():
+            label = OPF_OF.get(x["label"])
+            if None not in (text, label, x["start"], x["end"]):
+                out.setdefault(f"{label}: {text[x['start'] : x['end']]}", []).append([x["start"], x["end"]])
+        return [(k, sorted(out[k])) for k in sorted(out)]
+
+    def run(batches):
+        import pyarrow as pa
+
+        kind = pa.map_(pa.string(), pa.list_(pa.list_(pa.int32())))
+        for b in batches:
+            for first, behind in cuts(b.column("text")):
+                part = b.slice(first, behind - first)
+                made = [places(*x) for x in zip(part.column("text").to_pylist(), part.column("spans").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(made, kind)], names=["doc_id", "text", "spans"])
+
+    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, text string, spans map<string, array<array<int>>>")
 
 
 def from_opf(records: DataFrame, source: str = "gold") -> DataFrame:
