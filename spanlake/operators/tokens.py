@@ -112,12 +112,15 @@ def encode(tokens: DataFrame, spans: DataFrame, scheme: str = "bioes") -> DataFr
     return tokens.select("doc_id", "ix").join(tags, ["doc_id", "ix"], "left").select("doc_id", "ix", F.coalesce("tag", F.lit("O")).alias("tag"))
 
 
-def decode(tagged: DataFrame, reduce: str = "mean") -> DataFrame:
-    """(doc_id, start, end, label, score) from rows (doc_id, ix, start, end, tag, prob); tolerant of tags out of order. Empty tokens don't count."""
+def decode(tagged: DataFrame, reduce: str = "mean", sparse: bool = False) -> DataFrame:
+    """(doc_id, start, end, label, score) from rows (doc_id, ix, start, end, tag, prob); tolerant of tags out of order. Empty tokens don't count.
+    `sparse`: tokens tagged O may be missing; a gap between two ix is one (then no token is without extent)."""
     w = W.partitionBy("doc_id").orderBy("ix")
     t = tagged.where("start <> end").withColumn("p", F.substring("tag", 1, 1)).withColumn("label", F.regexp_replace("tag", r"(?i)^[BIESLU]-", ""))
     before = lambda c: F.lag(c).over(w)
     new = F.col("p").isin("B", "S") | before("tag").isNull() | (before("tag") == "O") | before("p").isin("E", "S") | (before("label") != F.col("label"))
+    if sparse:
+        new = new | (before("ix") != F.col("ix") - 1)
     t = t.withColumn("new", ((F.col("tag") != "O") & new).cast("int")).withColumn("island", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
     score = F.min("prob") if reduce == "min" else F.avg("prob")
     return t.where("tag <> 'O'").groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("label").alias("label"), score.alias("score")).drop("island")

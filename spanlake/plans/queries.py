@@ -411,11 +411,10 @@ cuts AS (SELECT *, sum(CASE WHEN tag <> 'O' AND (tag[1] IN ('B', 'S') OR before
 SELECT doc_id, min(s) AS start, max(e) AS "end", any_value(substr(tag, 3)) AS label, round(avg(prob), 6) AS score FROM cuts WHERE tag <> 'O' GROUP BY doc_id, isle""")
 def decode_tags(spark, sf):
     """Tags of which every fifth is spoilt, decoded."""
-    t = token_rows(spark, sf)
-    tags = tokens.encode(t, all_spans(spark, sf)[0])
+    tags = tokens.encode_texts(documents(spark, sf), all_spans(spark, sf)[0], outside=False)
     of = lambda p: T.hashed(F.concat(F.lit(p), F.concat_ws(":", "doc_id", "ix")))
     spoilt = F.when((F.col("tag") != "O") & (of("b") % 5 == 0), F.concat(F.lit("I-"), F.substring("tag", 3, 100))).otherwise(F.col("tag"))
-    got = tokens.decode(t.select("doc_id", "ix", "start", "end").join(tags, ["doc_id", "ix"]).withColumn("tag", spoilt).withColumn("prob", (of("p") % 100) / 100.0))
+    got = tokens.decode(tags.withColumn("tag", spoilt).withColumn("prob", (of("p") % 100) / 100.0), sparse=True)
     return got.withColumn("score", F.round("score", 6))
 
 

@@ -43,6 +43,20 @@ def final_plan(df):
     return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
 
 
+@pytest.mark.parametrize("scheme", ["bioes", "bio"])
+def test_encode_texts(spark, texts, scheme):
+    gold = some_spans(spark, "gold")
+    want = counted(tokens.encode(T.tokenised(texts), gold, scheme))
+    got = tokens.encode_texts(texts, gold, scheme)
+    assert counted(got.select("doc_id", "ix", "tag")) == want and len({t for _, _, t in want}) > 6
+    assert counted(tokens.encode_texts(texts, gold, scheme, outside=False)) == counted(got.where("tag <> 'O'"))
+    probs = got.withColumn("prob", (F.col("ix") % 7) / 7.0)
+    norm = lambda df: Counter((*r[:4], round(r[4], 9)) for r in df.collect())
+    assert norm(tokens.decode(probs.where("tag <> 'O'"), sparse=True)) == norm(tokens.decode(probs))
+    with pytest.raises(ValueError):
+        tokens.encode_texts(texts, gold, "x")
+
+
 @pytest.mark.parametrize("longest,stride", [(9, 3), (130, 32), (4, 0)])
 def test_examples_of_texts(spark, texts, longest, stride):
     gold = some_spans(spark, "gold", ("DATE", "DOCTOR", "PHONE", "AGE"))
