@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.digests import md5_heads
 from ..functions.labels import frequency_bucket, is_hipaa, relabel
+from ..functions.text import tokenised
 from .ranges import islands, overlapping
+from .tokens import beside_texts, covered
 
 KEY = ("start", "end", "label")
 
@@ -91,6 +98,17 @@ def token_prf(tokens: DataFrame, gold: DataFrame, pred: DataFrame) -> DataFrame:
     return c.select("*", *prf())
 
 
+def token_prf_of_texts(docs: DataFrame, gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """token_prf() for the tokens of texts, counted where they are made. docs: (doc_id, text), one row an id."""
+
+    def count(tokens, doc, rows):
+        g, p = (covered(tokens, doc, rows.column(c)) for c in ("gold", "pred"))
+        return pa.RecordBatch.from_arrays([pa.array([int(x.sum())], pa.int64()) for x in (g & p, p & ~g, g & ~p)], names=["tp", "fp", "fn"])
+
+    c = tokenised(beside_texts(docs, gold=gold, pred=pred), found=False, then=(count, "tp bigint, fp bigint, fn bigint"), beside=["gold", "pred"])
+    return c.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("tp", "fp", "fn")]).select("*", *prf())
+
+
 def by_bucket(counts: DataFrame, train: DataFrame) -> DataFrame:
     """(bucket, tp, fp, fn, ...) by how often a label is in training. train: (label, n)."""
     c = counts.groupBy("label").agg(*[F.sum(x).alias(x) for x in ("tp", "fp", "fn")]).join(F.broadcast(train), "label", "left")
@@ -170,6 +188,31 @@ def agreement(gold: DataFrame, systems: dict[str, DataFrame]) -> DataFrame:
 POISSON_EDGES = tuple(int(2**32 * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))) for k in range(10))
 
 
+def weighted_sums(counts: DataFrame, names: list[str], n_resamples: int, seed: int) -> DataFrame:
+    """(r, names): for each resample the sums of columns of counts, each document weighed by its draw; a batch of documents gives a row a resample.
+    A draw is the head of the MD5 of "seed:resample:doc_id" (without the last part for a null id)."""
+    edges = np.array(POISSON_EDGES, np.int64)
+
+    def heads(ids: pa.Array, r: int) -> np.ndarray:
+        if pa.types.is_integer(ids.type) and not ids.null_count and pc.min(ids).as_py() >= 0:
+            return md5_heads([f"{seed}:{r}:".encode()], np.zeros(len(ids), np.int64), ids.to_numpy().astype(np.int64))
+        return np.array([int(hashlib.md5(":".join([str(seed), str(r), *([] if x is None else [x])]).encode()).hexdigest()[:8], 16) for x in ids.cast(pa.string()).to_pylist()], np.int64)
+
+    def run(batches):
+        for b in batches:
+            b = b.take(pc.array_sort_indices(b.column("doc_id")))  # neighbours share all but their last digits
+            x = np.stack([b.column(c).to_numpy() for c in names], axis=1) if b.num_rows else None
+            out = []
+            for r in range(n_resamples if b.num_rows else 0):
+                weight = np.searchsorted(edges, heads(b.column("doc_id"), r), side="right")
+                if weight.any():
+                    out.append((r, *(weight @ x).tolist()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["r", *names])
+
+    return counts.select("doc_id", *[F.col(c).cast("long").alias(c) for c in names]).mapInArrow(run, ", ".join(f"{c} bigint" for c in ("r", *names)))
+
+
 def paired_bootstrap(a: DataFrame, b: DataFrame, metric: str = "recall", n_resamples: int = 1000, seed: int = 0, alpha: float = 0.05, docs: DataFrame | None = None) -> DataFrame:
     """One row: a metric of two systems, its difference, the interval (an order statistic, not interpolated) and the p value.
 
@@ -190,8 +233,6 @@ def paired_bootstrap(a: DataFrame, b: DataFrame, metric: str = "recall", n_resam
         both = both.withColumn("one", F.lit(1))
     both = both.fillna(0)
     both = both.select("*", *[(F.col(f"fn{x}") > 0).cast("long").alias(f"leak{x}") for x in ("_a", "_b")])
-    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "r", "doc_id")), 1, 8), 16, 10).cast("long")
-    weight = sum((h >= e).cast("long") for e in POISSON_EDGES)
     names = [c + x for x in ("_a", "_b") for c in ("tp", "fp", "fn", "leak")] + ["one"]
 
     def value(x: str) -> Column:
@@ -200,8 +241,8 @@ def paired_bootstrap(a: DataFrame, b: DataFrame, metric: str = "recall", n_resam
             return ratio(F.col(f"leak{x}"), F.col("one"))
         return ratio(tp, tp + fn) if metric == "recall" else ratio(tp, tp + fp) if metric == "precision" else ratio(2 * tp, 2 * tp + fp + fn)
 
-    draws = both.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1)))).withColumn("w", weight).where("w > 0")
-    delta = draws.groupBy("r").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in names]).select((value("_a") - value("_b")).alias("d"))
+    draws = weighted_sums(both, names, n_resamples, seed)
+    delta = draws.groupBy("r").agg(*[F.sum(c).alias(c) for c in names]).select((value("_a") - value("_b")).alias("d"))
     spread = delta.agg(F.array_sort(F.collect_list("d")).alias("d"), F.sum((F.col("d") <= 0).cast("long")).alias("le"), F.sum((F.col("d") >= 0).cast("long")).alias("ge"), F.count("*").alias("k"))
     at = lambda q: F.try_element_at("d", (F.floor(q * (F.col("k") - 1)) + 1).cast("int"))
     spread = spread.select(at(F.lit(alpha / 2)).alias("lo"), at(F.lit(1 - alpha / 2)).alias("hi"), F.least(F.lit(1.0), 2 * F.least("le", "ge") / F.col("k")).alias("p"))
