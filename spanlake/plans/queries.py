@@ -27,10 +27,10 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return T.spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
 
 
-def token_rows(spark: SparkSession, sf: str) -> DataFrame:
+def labelled(tokens_: DataFrame) -> DataFrame:
+    """Tokens with a drawn label and the key of their draws."""
     k, names = F.concat_ws(":", "doc_id", "ix"), F.array(*map(F.lit, L.SUBTYPES))
-    t = T.tokenised(documents(spark, sf))
-    return t.withColumn("label", names[(F.floor(T.hashed(F.concat(F.lit("g"), k)) / 50) % 28).cast("int")]).withColumn("k", k)
+    return tokens_.withColumn("label", names[(F.floor(T.hashed(F.concat(F.lit("g"), k)) / 50) % 28).cast("int")]).withColumn("k", k)
 
 
 SPAN = "doc_id bigint, start int, end int, label string, text string, source string, score double"
@@ -432,10 +432,11 @@ def merge_window_predictions(spark, sf):
 @query(SPAN_SQL + f""", q AS (SELECT DISTINCT doc_id, s, e, label FROM tc), m AS (SELECT q.doc_id, q.s, q.e, q.label, avg(CASE WHEN t.label = q.label THEN ({_H("'p' || t.k")} % 100) / 100.0::DOUBLE ELSE 0 END) AS p FROM q JOIN token t ON t.doc_id = q.doc_id AND t.s < q.e AND q.s < t.e GROUP BY ALL)
 SELECT doc_id, s AS start, e AS "end", label, round(p, 6) AS p FROM m""")
 def span_label_probability(spark, sf):
-    t = token_rows(spark, sf)
+    tc = all_spans(spark, sf)[1]
+    t = labelled(tokens.under_spans(documents(spark, sf), tc))
     p = (T.hashed(F.concat(F.lit("p"), "k")) % 100) / 100.0
     dist = t.select("doc_id", "ix", F.col("start").alias("ts"), F.col("end").alias("te"), F.explode(F.array(F.struct(F.concat(F.lit("B-"), "label").alias("tag"), p.alias("p")), F.struct(F.lit("O").alias("tag"), (1 - p).alias("p")))).alias("x")).select("doc_id", "ix", "ts", "te", "x.tag", "x.p")
-    got = tokens.label_probability(dist, all_spans(spark, sf)[1].select("doc_id", "start", "end", "label").distinct())
+    got = tokens.label_probability(dist, tc.select("doc_id", "start", "end", "label").distinct())
     return got.withColumn("p", F.round("p", 6))
 
 
