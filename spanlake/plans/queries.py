@@ -503,7 +503,7 @@ def tagged_outputs(spark, sf):
 @query()
 def inject_identifiers(spark, sf):
     profile = injection.Profile.of({"weights": {"DATE": 40, "DOCTOR": 15, "HOSPITAL": 8, "PATIENT": 7, "AGE": 6, "PHONE": 1.5}})
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source")
+    docs = T.spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source"))
     made = injection.inject(docs, profile, 0, "source")
     return made.select("doc_id", F.length("text").alias("n_chars"), F.size("spans").alias("n_spans"), F.sha1("text").alias("sha"))
 
