@@ -214,8 +214,7 @@ tagged AS (SELECT doc_id, ix, CASE WHEN n = 1 THEN 'S-' WHEN i = 1 THEN 'B-' WHE
 
 @query(SPAN_SQL + ENCODED + " SELECT doc_id, ix, tag FROM tagged")
 def bioes_encode(spark, sf):
-    t = token_rows(spark, sf)
-    return tokens.encode(t, all_spans(spark, sf)[0]).where("tag <> 'O'")
+    return tokens.encode_texts(documents(spark, sf), all_spans(spark, sf)[0], outside=False).where("tag <> 'O'").select("doc_id", "ix", "tag")
 
 
 # the algebra of spans: merging per label, then a fold over each document's spans in order of rank, score and length
