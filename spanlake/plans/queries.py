@@ -422,10 +422,9 @@ p AS (SELECT doc_id, i, unnest(range(i * 96, least(n, i * 96 + 128))) AS ix, i *
 SELECT doc_id, CAST(ix AS INT) AS ix, CAST(i AS VARCHAR) AS tag FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, ix ORDER BY least(ix - a, z - 1 - ix) DESC, i) AS r FROM p) WHERE r = 1""")
 def merge_window_predictions(spark, sf):
     n = T.tokenised(documents(spark, sf), found=False).groupBy("doc_id").agg(F.count("*").alias("n"))
-    w = n.select("doc_id", F.posexplode(tokens.windows(F.col("n"), 128, 32)).alias("window", "w"))
-    p = w.select("doc_id", "window", (F.col("w.last") - F.col("w.first")).alias("size"), "w.first", F.explode(F.expr("sequence(w.first, CAST(w.last AS INT) - 1)")).alias("ix"))
-    p = p.select("doc_id", "window", (F.col("ix") - F.col("first")).alias("k"), "size", "ix", F.col("window").cast("string").alias("tag"), F.lit(1.0).alias("prob"))
-    return tokens.merge_windows(p).select("doc_id", F.col("ix").cast("int").alias("ix"), "tag")
+    n = n.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "doc_id")  # counts are few bytes, so Spark would put them into few tasks
+    said = lambda w, i: F.struct(w["first"].cast("int").alias("first"), F.array_repeat(i.cast("string"), (w["last"] - w["first"]).cast("int")).alias("tags"), F.array_repeat(F.lit(1.0), (w["last"] - w["first"]).cast("int")).alias("probs"))
+    return tokens.merge_nested_windows(n.select("doc_id", F.transform(tokens.windows(F.col("n"), 128, 32), said).alias("windows"))).select("doc_id", "ix", "tag")
 
 
 @query(SPAN_SQL + f""", q AS (SELECT DISTINCT doc_id, s, e, label FROM tc), m AS (SELECT q.doc_id, q.s, q.e, q.label, avg(CASE WHEN t.label = q.label THEN ({_H("'p' || t.k")} % 100) / 100.0::DOUBLE ELSE 0 END) AS p FROM q JOIN token t ON t.doc_id = q.doc_id AND t.s < q.e AND q.s < t.e GROUP BY ALL)
