@@ -5,6 +5,7 @@ in the engine. The wording is this library's own: pass a guideline to replace it
 
 from __future__ import annotations
 
+import json
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -78,15 +79,20 @@ def editor(docs: DataFrame, spans: DataFrame, labels=SUBTYPES, guideline: str |
     return render_tagged(docs, spans).select("doc_id", messages(editor_text(labels, guideline, focus), F.col("text")).alias("messages"))
 
 
-def verifier(docs: DataFrame, spans: DataFrame, guideline: str | None = None, context: int = 200) -> DataFrame:
-    """(doc_id, start, end, label, messages): each span with up to `context` characters on both sides, to be judged."""
+def verifier_asked(docs: DataFrame, spans: DataFrame, context: int = 200) -> DataFrame:
+    """(doc_id, start, end, label, user): what a verifier is asked about each span, with up to `context` characters on both sides."""
     d = spans.select("doc_id", "start", "end", "label").join(docs.select("doc_id", "text"), "doc_id")
     begin = F.greatest(F.lit(0), F.col("start") - context)
     cut = lambda a, n: F.substring(F.col("text"), a + 1, n)
     mention = cut(F.col("start"), F.col("end") - F.col("start"))
     left, right = cut(begin, F.col("start") - begin), cut(F.col("end"), F.lit(context))
     user = F.concat(F.lit("Text around it: ..."), left, F.lit("[["), mention, F.lit("]]"), right, F.lit('...\nCandidate: "'), mention, F.lit('", label '), F.col("label"))
-    return d.select("doc_id", "start", "end", "label", messages(verifier_text(guideline), user).alias("messages"))
+    return d.select("doc_id", "start", "end", "label", user.alias("user"))
+
+
+def verifier(docs: DataFrame, spans: DataFrame, guideline: str | None = None, context: int = 200) -> DataFrame:
+    """(doc_id, start, end, label, messages): each span with up to `context` characters on both sides, to be judged."""
+    return verifier_asked(docs, spans, context).select("doc_id", "start", "end", "label", messages(verifier_text(guideline), F.col("user")).alias("messages"))
 
 
 #: What JSON writes for the characters it may not hold as they are.
@@ -116,3 +122,9 @@ def messages_json(column: Column) -> Column:
 def prompt_hash(column: Column) -> Column:
     """The first 16 digits of the SHA-256 of the list's JSON."""
     return F.substring(F.sha2(messages_json(column), 256), 1, 16)
+
+
+def hash_of(system: str, user: Column) -> Column:
+    """prompt_hash(messages(system, user)); the system's part of the JSON is written once, not for every row."""
+    head = '[{"content": ' + json.dumps(system, ensure_ascii=False) + ', "role": "system"}, {"content": '
+    return F.substring(F.sha2(F.concat(F.lit(head), json_string(F.coalesce(user, F.lit(""))), F.lit(', "role": "user"}]')), 256), 1, 16)

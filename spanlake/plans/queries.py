@@ -545,8 +545,8 @@ def editor_prompts(spark, sf):
 @query(SPAN_SQL + """, asked AS (SELECT doc_id, s, e, label, 'Text around it: ...' || substring(d.text, greatest(0, s - 200) + 1, s - greatest(0, s - 200)) || '[[' || substring(d.text, s + 1, e - s) || ']]' || substring(d.text, e + 1, 200) || '...' || chr(10) || 'Candidate: "' || substring(d.text, s + 1, e - s) || '", label ' || label AS t FROM tc JOIN documents d USING (doc_id))
 SELECT doc_id, s AS start, e AS "end", label, """ + _hash(prompts.verifier_text(), "t") + " AS prompt_hash FROM asked")
 def verifier_prompts(spark, sf):
-    made = prompts.verifier(documents(spark, sf), all_spans(spark, sf)[1])
-    return made.select("doc_id", "start", "end", "label", prompts.prompt_hash(F.col("messages")).alias("prompt_hash"))
+    made = prompts.verifier_asked(documents(spark, sf), all_spans(spark, sf)[1])
+    return made.select("doc_id", "start", "end", "label", prompts.hash_of(prompts.verifier_text(), F.col("user")).alias("prompt_hash"))
 
 
 @query("""WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents), c AS (SELECT DISTINCT t FROM d WHERE lang = 'en'), f AS (SELECT t, min(doc_id) AS first FROM d GROUP BY t)
