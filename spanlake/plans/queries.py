@@ -181,8 +181,7 @@ def by_bucket(spark, sf):
 @query(SPAN_SQL + f""", x AS (SELECT t.doc_id, t.ix, EXISTS (FROM gold g WHERE g.doc_id = t.doc_id AND t.s < g.e AND g.s < t.e) AS g, EXISTS (FROM tc p WHERE p.doc_id = t.doc_id AND t.s < p.e AND p.s < t.e) AS p FROM token t),
 z AS (SELECT count(*) FILTER (g AND p) AS tp, count(*) FILTER (p AND NOT g) AS fp, count(*) FILTER (g AND NOT p) AS fn FROM x) SELECT tp, fp, fn, {PRF_SQL} FROM z""")
 def token_prf(spark, sf):
-    t = token_rows(spark, sf)
-    return M.token_prf(t, *all_spans(spark, sf)[:2])
+    return M.token_prf_of_texts(documents(spark, sf), *all_spans(spark, sf)[:2])
 
 
 @query(SPAN_SQL + _MISS.format(by="", group=""))
