@@ -421,7 +421,7 @@ p AS (SELECT doc_id, i, unnest(range(i * 96, least(n, i * 96 + 128))) AS ix, i *
 SELECT doc_id, CAST(ix AS INT) AS ix, CAST(i AS VARCHAR) AS tag FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, ix ORDER BY least(ix - a, z - 1 - ix) DESC, i) AS r FROM p) WHERE r = 1""")
 def merge_window_predictions(spark, sf):
     n = T.tokenised(documents(spark, sf), found=False).groupBy("doc_id").agg(F.count("*").alias("n"))
-    n = n.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "doc_id")  # counts are few bytes, so Spark would put them into few tasks
+    n = n.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))  # counts are few bytes, so Spark would put them into few tasks
     said = lambda w, i: F.struct(w["first"].cast("int").alias("first"), F.array_repeat(i.cast("string"), (w["last"] - w["first"]).cast("int")).alias("tags"), F.array_repeat(F.lit(1.0), (w["last"] - w["first"]).cast("int")).alias("probs"))
     return tokens.merge_nested_windows(n.select("doc_id", F.transform(tokens.windows(F.col("n"), 128, 32), said).alias("windows"))).select("doc_id", "ix", "tag")
 
